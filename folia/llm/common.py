@@ -52,6 +52,13 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def light_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of whole texts hold at most so many rows, so that long texts don't add up in a worker's memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once, for use inside higher-order functions."""
     return F.element_at(F.transform(F.array(value), body), 1)

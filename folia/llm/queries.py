@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folia.llm.common import documents
+from folia.llm.common import documents, light_batches
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,10 +15,25 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir))
 
 
+def op2_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folia.llm.packing import packed_checksums
+
+    light_batches(spark)
+    return packed_checksums(documents(spark, sf_dir))
+
+
+def op3_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folia.llm.prefix_bpe import round_trip
+
+    light_batches(spark)
+    return round_trip(documents(spark, sf_dir))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folia.llm.exact import deduplicated
 
+    light_batches(spark)
     return deduplicated(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op9_exact_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_packed_ids, op3_prefix_bpe, op9_exact_dedup)}
