@@ -35,6 +35,13 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folia.llm.jaccard import linked
+
+    light_batches(spark)
+    return linked(documents(spark, sf_dir))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folia.llm.exact import deduplicated
 
@@ -48,4 +55,4 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_packed_ids, op3_prefix_bpe, op4_quality_rules, op9_exact_dedup, op10_secret_scan)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_packed_ids, op3_prefix_bpe, op4_quality_rules, op7_ngram_jaccard_join, op9_exact_dedup, op10_secret_scan)}
