@@ -42,6 +42,13 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked(documents(spark, sf_dir))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folia.llm.lines import line_digests
+
+    light_batches(spark)
+    return line_digests(documents(spark, sf_dir))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folia.llm.exact import deduplicated
 
@@ -55,4 +62,4 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_packed_ids, op3_prefix_bpe, op4_quality_rules, op7_ngram_jaccard_join, op9_exact_dedup, op10_secret_scan)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_packed_ids, op3_prefix_bpe, op4_quality_rules, op7_ngram_jaccard_join, op8_line_dedup, op9_exact_dedup, op10_secret_scan)}
