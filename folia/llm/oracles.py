@@ -48,4 +48,30 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM texts WINDOW same AS (PARTITION BY text)
 """
 
-ORACLES = {"op1_mix_sources": OP1, "op9_exact_dedup": OP9}
+
+def _op6() -> str:
+    from folia.llm.licences import HINT, STEPS, known
+
+    def quoted(x: str) -> str:
+        return "'" + x.replace("'", "''") + "'"
+
+    form = "lower(u.unit)"
+    for pattern, put in STEPS:
+        form = f"regexp_replace({form}, {quoted(pattern)}, {quoted(put.replace('$', chr(92)))}, 'g')"
+    table = ", ".join(f"('{d}', '{n}')" for d, n in sorted(known().items()))
+    return f"""
+WITH known(digest, licence) AS (VALUES {table}),
+texts AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text FROM documents),
+units AS (
+  SELECT id, 'text' AS kind, text AS unit FROM texts WHERE regexp_matches(text, {quoted(HINT)})
+  UNION ALL SELECT id, 'part', unnest(list_filter(regexp_split_to_array(text, '\\n[ \\t\\r]*\\n'), lambda x: regexp_matches(x, {quoted(HINT)}))) FROM texts
+  UNION ALL SELECT id, 'part', unnest(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, {quoted(HINT)}))) FROM texts),
+found AS (SELECT u.id, u.kind, k.licence FROM units u JOIN known k ON sha256({form}) = k.digest)
+SELECT t.doc_id, max(CASE WHEN kind = 'text' THEN licence END) AS licence,
+  coalesce(string_agg(DISTINCT CASE WHEN kind <> 'text' THEN licence END, ',' ORDER BY CASE WHEN kind <> 'text' THEN licence END), '') AS notices,
+  count(CASE WHEN kind <> 'text' THEN licence END) AS n_units
+FROM texts t LEFT JOIN found f ON t.id = f.id GROUP BY t.id, t.doc_id
+"""
+
+
+ORACLES = {"op1_mix_sources": OP1, "op6_licence_digests": _op6(), "op9_exact_dedup": OP9}

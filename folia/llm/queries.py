@@ -35,6 +35,18 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
 
 
+def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folia.llm.pii import replaced
+
+    return replaced(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+def op6_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folia.llm.licences import scanned
+
+    return scanned(documents(spark, sf_dir))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folia.llm.jaccard import linked
 
@@ -62,4 +74,4 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_packed_ids, op3_prefix_bpe, op4_quality_rules, op7_ngram_jaccard_join, op8_line_dedup, op9_exact_dedup, op10_secret_scan)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_packed_ids, op3_prefix_bpe, op4_quality_rules, op5_pii_surrogates, op6_licence_digests, op7_ngram_jaccard_join, op8_line_dedup, op9_exact_dedup, op10_secret_scan)}
