@@ -56,19 +56,31 @@ def _covered(hashes: Column) -> Column:
     return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("long")).otherwise(heavy)
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """docs (_row, doc_id, text) with _words and the base figures of each text."""
-    bare = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("_words", words(F.col("text")))
-    hashed = bare.withColumn("_hashes", _windows(F.col("_words"))).withColumn("_lines", F.filter(F.split("text", "\n"), lambda x: F.trim(x, F.lit(BLANKS)) != ""))
-    out = (
-        hashed.withColumn("n_words", F.size("_words").cast("long"))
-        .withColumn("word_chars", F.length(F.array_join("_words", "")).cast("long"))
-        .withColumn("n_symbols", F.regexp_count("text", F.lit(SYMBOLS)).cast("long"))
-        .withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
-        .withColumn("n_repeat_words", _covered(F.col("_hashes")))
-    )
-    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEATED_PERCENT * F.col("n_words"))
-    return out.withColumn("base_failed", failed).drop("_hashes", "_lines", "text")
+def verdict(text: Column, llr: Column, threshold: float, buckets: int) -> Column:
+    """struct(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept) of a text.
+
+    One expression in which every array is bound once, so that no filter pushed below a projection repeats it.
+    """
+    bare = F.coalesce(text, F.lit(""))
+    lines = F.filter(F.split(bare, "\n"), lambda x: F.trim(x, F.lit(BLANKS)) != "")
+
+    def figures(w):
+        return F.struct(
+            F.size(w).cast("long").alias("n_words"),
+            F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+            F.regexp_count(bare, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
+            let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
+            let(_windows(w), _covered).alias("n_repeat_words"),
+            F.aggregate(_features(w, buckets), F.lit(0.0), lambda acc, b: acc + F.get(llr, b)).alias("total"),
+        )
+
+    def judged(x):
+        failed = (x["n_words"] < LEAST_WORDS) | (100 * x["n_repeat_words"] > REPEATED_PERCENT * x["n_words"])
+        score = F.when(x["n_words"] > 0, x["total"] / (2.0 * x["n_words"]))
+        own = [x[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+        return F.struct(*own, failed.alias("base_failed"), score.alias("score"), (~failed & F.coalesce(score >= threshold, F.lit(False))).alias("kept"))
+
+    return let(let(words(text), figures), judged)
 
 
 def trusted(labels: DataFrame, most: int = MAX_TRUSTED) -> DataFrame:
@@ -80,7 +92,7 @@ def trusted(labels: DataFrame, most: int = MAX_TRUSTED) -> DataFrame:
 def ratios(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> DataFrame:
     """One row: llr, an array with log p_target - log p_raw of each bucket."""
     known = target.select(F.col("doc_id").alias("_id"), F.lit(1).alias("_in"))
-    marked = docs.select("doc_id", _features(words(F.col("text")), buckets).alias("f")).join(F.broadcast(known), F.col("doc_id") == F.col("_id"), "left")
+    marked = docs.select("doc_id", let(words(F.col("text")), lambda w: _features(w, buckets)).alias("f")).join(F.broadcast(known), F.col("doc_id") == F.col("_id"), "left")
     counts = marked.select("_in", F.explode("f").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("raw"), F.count("_in").alias("good"))
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("_b"))
     whole = every.join(counts, F.col("_b") == F.col("bucket"), "left").select("_b", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("good", F.lit(0)).alias("good"))
@@ -97,12 +109,8 @@ def assessed(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, b
     ratio, 0, and the base rules decide alone. An empty table gives an empty result.
     """
     llr = written(ratios(docs, trusted(labels, max_trusted), buckets), "quality-ratios")
-    have = llr.select("llr").scalar()
-    packed = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text")
-    out = measured(packed).withColumn("_features", _features(F.col("_words"), buckets)).withColumn("_llr", have)
-    total = F.aggregate("_features", F.lit(0.0), lambda acc, b: acc + F.get(F.col("_llr"), b))
-    scored = out.withColumn("score", F.when(F.col("n_words") > 0, total / (2.0 * F.col("n_words"))))
-    return scored.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("score") >= threshold, F.lit(False))).drop("_words", "_features", "_llr")
+    packed = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text").withColumn("_llr", llr.select("llr").scalar())
+    return packed.withColumn("_v", verdict(F.col("text"), F.col("_llr"), threshold, buckets)).select("_row", "doc_id", "_v.*")
 
 
 def verdicts(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
