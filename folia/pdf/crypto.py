@@ -87,19 +87,31 @@ class Aes:
         mix = lambda w: _MIX[0][w >> 24] ^ _MIX[1][w >> 16 & 255] ^ _MIX[2][w >> 8 & 255] ^ _MIX[3][w & 255]
         self.back = [self.rounds[-1], *[[mix(w) for w in r] for r in self.rounds[-2:0:-1]], self.rounds[0]]
 
-    def _run(self, block: bytes, keys, tables, box, turn: int) -> bytes:
-        state = [int.from_bytes(block[4 * c : 4 * c + 4], "big") ^ keys[0][c] for c in range(4)]
-        t0, t1, t2, t3 = tables
+    @staticmethod
+    def _run(block: bytes, keys, tables, box, order) -> bytes:
+        """One block; decryption is the same walk over the columns in the other order."""
+        i0, i1, i2, i3 = order
+        words = [int.from_bytes(block[4 * c : 4 * c + 4], "big") for c in range(4)]
+        first, last = keys[0], keys[-1]
+        a, b, c, d = words[i0] ^ first[i0], words[i1] ^ first[i1], words[i2] ^ first[i2], words[i3] ^ first[i3]
+        t, u, v, w = tables
         for key in keys[1:-1]:
-            state = [t0[state[c] >> 24] ^ t1[state[(c + turn) % 4] >> 16 & 255] ^ t2[state[(c + 2) % 4] >> 8 & 255] ^ t3[state[(c - turn) % 4] & 255] ^ key[c] for c in range(4)]
-        out = [(box[state[c] >> 24] << 24 | box[state[(c + turn) % 4] >> 16 & 255] << 16 | box[state[(c + 2) % 4] >> 8 & 255] << 8 | box[state[(c - turn) % 4] & 255]) ^ keys[-1][c] for c in range(4)]
-        return b"".join(w.to_bytes(4, "big") for w in out)
+            a, b, c, d = (
+                t[a >> 24] ^ u[b >> 16 & 255] ^ v[c >> 8 & 255] ^ w[d & 255] ^ key[i0],
+                t[b >> 24] ^ u[c >> 16 & 255] ^ v[d >> 8 & 255] ^ w[a & 255] ^ key[i1],
+                t[c >> 24] ^ u[d >> 16 & 255] ^ v[a >> 8 & 255] ^ w[b & 255] ^ key[i2],
+                t[d >> 24] ^ u[a >> 16 & 255] ^ v[b >> 8 & 255] ^ w[c & 255] ^ key[i3],
+            )
+        out = [0, 0, 0, 0]
+        for i, (p, q, r, s) in zip(order, ((a, b, c, d), (b, c, d, a), (c, d, a, b), (d, a, b, c))):
+            out[i] = (box[p >> 24] << 24 | box[q >> 16 & 255] << 16 | box[r >> 8 & 255] << 8 | box[s & 255]) ^ last[i]
+        return (out[0] << 96 | out[1] << 64 | out[2] << 32 | out[3]).to_bytes(16, "big")
 
     def encrypt(self, block: bytes) -> bytes:
-        return self._run(block, self.rounds, _FORTH, _BOX, 1)
+        return self._run(block, self.rounds, _FORTH, _BOX, (0, 1, 2, 3))
 
     def decrypt(self, block: bytes) -> bytes:
-        return self._run(block, self.back, _BACKMIX, _BACK, -1)
+        return self._run(block, self.back, _BACKMIX, _BACK, (0, 3, 2, 1))
 
 
 def _xor(a: bytes, b: bytes) -> bytes:

@@ -167,7 +167,7 @@ def header_version(content) -> object:
 def object_index(files: DataFrame) -> DataFrame:
     """doc_id, obj_num, definitions: how often each number is defined, found by pattern alone."""
     found = F.explode(F.regexp_extract_all(F.decode("content", "ISO-8859-1"), F.lit("(?<![0-9])([0-9]{1,10})\\s+[0-9]{1,5}\\s+obj"), F.lit(1)))
-    return files.select("doc_id", found.cast("long").alias("obj_num")).groupBy("doc_id", "obj_num").agg(F.count("*").alias("definitions"))
+    return files.select("doc_id", found.alias("n")).select("doc_id", F.col("n").cast("long").alias("obj_num")).groupBy("doc_id", "obj_num").agg(F.count("*").alias("definitions"))
 
 
 class Corpus:
