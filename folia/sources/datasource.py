@@ -96,6 +96,7 @@ def _function(name: str):
 
 def register(spark: SparkSession) -> None:
     """The format pdf, and pdf_<table>(doc_id, content) for use with LATERAL in SQL."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(PdfSource)
     for name in SCHEMAS:
         spark.udtf.register(f"pdf_{name}", _function(name))
