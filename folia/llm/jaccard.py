@@ -110,7 +110,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 seen.add((hi, lo))
                 waiting.append(found)
                 held += len(found)
-                if held > 4 << 20:
+                if held > 1 << 20:
                     add()
         columns = list(zip(*rows)) or [()] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, schema)] + [pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.binary())], schema=schema)
@@ -335,8 +335,8 @@ def linked(docs: DataFrame) -> DataFrame:
     texts = docs.select("doc_id", "text")
     tables = written(texts.mapInArrow(_sets, "doc_id long, n long, hi long, lo long, sig binary, piece int, counts binary"), "jaccard-sets")
     rows = tables.where("piece is null").select("doc_id", "n", "hi", "lo", "sig")
-    groups = rows.where("n > 0 and doc_id is not null").groupBy("n", "hi", "lo").agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("last"), F.first("sig").alias("sig"))
-    groups = written(groups, "jaccard-groups")
+    groups = rows.where("n > 0").groupBy("n", "hi", "lo").agg(F.min("doc_id").alias("node"), F.count("*").alias("many"), F.first("sig").alias("sig"))
+    groups = written(groups.where("node is not null"), "jaccard-groups")
     counts = spark.sparkContext.broadcast(sketch(tables))
     postings = texts.mapInArrow(_posted(counts), "token long, lo long, n int, place int").repartition("token").sortWithinPartitions("token", "n", "lo")
     pairs = written(postings.mapInArrow(_paired, "a long, b long, star boolean").groupBy("a", "b").agg(F.min("star").alias("star")), "jaccard-pairs")
@@ -352,7 +352,7 @@ def linked(docs: DataFrame) -> DataFrame:
     moved = moved.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j", "node")
     found = components(moved.mapInArrow(_joined, "a long, b long"), "jaccard-links")
     found = written(found.select(F.col("node").alias("_node"), F.col("component").alias("_component")), "jaccard-components")
-    copies = written(groups.where("node <> last").select("hi", "lo", "n", F.col("node").alias("_first")), "jaccard-copies")
+    copies = written(groups.where("many > 1").select("hi", "lo", "n", F.col("node").alias("_first")), "jaccard-copies")
     named = rows.select("doc_id", "n", "hi", "lo").join(small(copies), ["hi", "lo", "n"], "left").withColumn("_at", F.coalesce("_first", "doc_id"))
     return named.join(small(found), F.col("_at") == F.col("_node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("_component", "_at").alias("component_id"))
 

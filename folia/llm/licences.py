@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Every canonical licence has one of these; the canonical form never makes one.
-HINT = "(?i)licen[cs]|permission|permitted|warrant|public domain|redistribut"
+HINT = "(?i)licen[cs]|permission|permitted|warrant|public domain|redistribut|(released|distributed|available)[^a-z0-9]+under"
 
 #: Spellings that count as equal, each with the one that stands for it.
 EQUIVALENT = (

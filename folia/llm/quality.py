@@ -1,8 +1,8 @@
 """Quality rules: fixed rules on each text, then a hashed n-gram log-likelihood ratio (native).
 
 Unigrams and bigrams of a text's words, hashed into a fixed number of buckets, are counted over the trusted documents
-and over all documents. A document's score is the mean over its n-grams of log p_trusted - log p_raw, with additive
-smoothing; it stays if the score reaches a fixed threshold. Counts are whole numbers and a document's terms are summed
+and over all documents. A document's score is the mean over its n-grams of log p_trusted - log p_raw; it stays if the score reaches
+a fixed threshold. The trusted counts are smoothed by the raw distribution, so few trusted documents pull scores to 0. Counts are whole numbers and a document's terms are summed
 in order, so verdicts never depend on how rows are dealt out.
 
 Scale: two scans of the documents and no shuffle of them. The counts are partial aggregates of one row per bucket and
@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from folia.llm.common import BLANKS, let, words, written
 
-#: Buckets of hashed n-grams, and the count added to each.
-BUCKETS, SMOOTHING = 1 << 14, 1.0
+#: Buckets of hashed n-grams, and the n-grams of the raw distribution that are added to the trusted ones.
+BUCKETS, SMOOTHING = 1 << 14, float(1 << 14)
 #: The least score a document needs: 0 is as likely trusted as raw; one nat in ten n-grams less still passes.
 THRESHOLD = -0.1
 #: At most so many trusted documents make up the target; those with the least hash of their id are taken.
@@ -97,8 +97,8 @@ def ratios(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS, smoothing
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("_b"))
     whole = every.join(counts, F.col("_b") == F.col("bucket"), "left").select("_b", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("good", F.lit(0)).alias("good"))
     totals = whole.agg(F.sort_array(F.collect_list(F.struct("_b", "raw", "good"))).alias("each"), F.sum("raw").alias("raws"), F.sum("good").alias("goods"))
-    more = smoothing * buckets
-    return totals.select(F.transform("each", lambda x: F.log((x["good"] + smoothing) / (F.col("goods") + more)) - F.log((x["raw"] + smoothing) / (F.col("raws") + more))).alias("llr"))
+    ratio = F.transform("each", lambda x: F.when(x["raw"] == 0, 0.0).otherwise(F.log((x["good"] * (F.col("raws") / x["raw"]) + smoothing) / (F.col("goods") + smoothing))))
+    return totals.select(ratio.alias("llr"))
 
 
 def assessed(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS, max_trusted: int = MAX_TRUSTED) -> DataFrame:
