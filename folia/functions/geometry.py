@@ -22,7 +22,17 @@ def _num(value) -> Column:
 
 
 def _made(names, values) -> Column:
-    return F.struct(*[v.alias(n) for n, v in zip(names, values)])
+    """A struct that remembers its fields, so that what is built on it needs no struct around them."""
+    fields = dict(zip(names, values))
+    out = F.struct(*[v.alias(n) for n, v in fields.items()])
+    out.__dict__["_folia"] = fields
+    return out
+
+
+def _at(value: Column, name: str) -> Column:
+    """A field of a struct, as the expression it was made of where that is known."""
+    known = value.__dict__.get("_folia", {})
+    return known[name] if name in known else value[name]
 
 
 # points
@@ -33,54 +43,54 @@ def point(x=0.0, y=0.0) -> Column:
 
 
 def length(p: Column) -> Column:
-    return F.sqrt(p["x"] * p["x"] + p["y"] * p["y"])
+    return F.sqrt(_at(p, "x") * _at(p, "x") + _at(p, "y") * _at(p, "y"))
 
 
 def unit(p: Column) -> Column:
     """The direction of p; the zero vector stays zero."""
     n = length(p)
-    return _made("xy", (F.when(n == 0, 0.0).otherwise(p["x"] / n), F.when(n == 0, 0.0).otherwise(p["y"] / n)))
+    return _made("xy", (F.when(n == 0, 0.0).otherwise(_at(p, "x") / n), F.when(n == 0, 0.0).otherwise(_at(p, "y") / n)))
 
 
 def abs_unit(p: Column) -> Column:
-    return unit(point(F.abs(p["x"]), F.abs(p["y"])))
+    return unit(point(F.abs(_at(p, "x")), F.abs(_at(p, "y"))))
 
 
 def distance(p: Column, q: Column) -> Column:
-    return length(point(p["x"] - q["x"], p["y"] - q["y"]))
+    return length(point(_at(p, "x") - _at(q, "x"), _at(p, "y") - _at(q, "y")))
 
 
 def add(p: Column, q: Column) -> Column:
-    return point(p["x"] + q["x"], p["y"] + q["y"])
+    return point(_at(p, "x") + _at(q, "x"), _at(p, "y") + _at(q, "y"))
 
 
 def subtract(p: Column, q: Column) -> Column:
-    return point(p["x"] - q["x"], p["y"] - q["y"])
+    return point(_at(p, "x") - _at(q, "x"), _at(p, "y") - _at(q, "y"))
 
 
 def multiply(p: Column, q: Column) -> Column:
-    return point(p["x"] * q["x"], p["y"] * q["y"])
+    return point(_at(p, "x") * _at(q, "x"), _at(p, "y") * _at(q, "y"))
 
 
 def divide(p: Column, q: Column) -> Column:
-    return point(p["x"] / q["x"], p["y"] / q["y"])
+    return point(_at(p, "x") / _at(q, "x"), _at(p, "y") / _at(q, "y"))
 
 
 def shift(p: Column, value) -> Column:
     """p plus a number, which counts as (value, 0)."""
-    return point(p["x"] + _num(value), p["y"])
+    return point(_at(p, "x") + _num(value), _at(p, "y"))
 
 
 def scale(p: Column, value) -> Column:
-    return point(p["x"] * _num(value), p["y"] * _num(value))
+    return point(_at(p, "x") * _num(value), _at(p, "y") * _num(value))
 
 
 def transform_point(p: Column, m: Column) -> Column:
-    return point(p["x"] * m["a"] + p["y"] * m["c"] + m["e"], p["x"] * m["b"] + p["y"] * m["d"] + m["f"])
+    return point(_at(p, "x") * _at(m, "a") + _at(p, "y") * _at(m, "c") + _at(m, "e"), _at(p, "x") * _at(m, "b") + _at(p, "y") * _at(m, "d") + _at(m, "f"))
 
 
 def point_array(p: Column) -> Column:
-    return F.array(p["x"], p["y"])
+    return F.array(_at(p, "x"), _at(p, "y"))
 
 
 # matrices
@@ -113,11 +123,11 @@ def shearing(h, v) -> Column:
 
 
 def determinant(m: Column) -> Column:
-    return m["a"] * m["d"] - m["b"] * m["c"]
+    return _at(m, "a") * _at(m, "d") - _at(m, "b") * _at(m, "c")
 
 
 def is_identity(m: Column) -> Column:
-    return functools.reduce(lambda p, q: p & q, [m[k] == (1.0 if k in "ad" else 0.0) for k in MATRIX])
+    return functools.reduce(lambda p, q: p & q, [_at(m, k) == (1.0 if k in "ad" else 0.0) for k in MATRIX])
 
 
 def is_invertible(m: Column) -> Column:
@@ -127,19 +137,19 @@ def is_invertible(m: Column) -> Column:
 def concat(m: Column, n: Column) -> Column:
     """The matrix that does m, then n."""
     return matrix(
-        m["a"] * n["a"] + m["b"] * n["c"],
-        m["a"] * n["b"] + m["b"] * n["d"],
-        m["c"] * n["a"] + m["d"] * n["c"],
-        m["c"] * n["b"] + m["d"] * n["d"],
-        m["e"] * n["a"] + m["f"] * n["c"] + n["e"],
-        m["e"] * n["b"] + m["f"] * n["d"] + n["f"],
+        _at(m, "a") * _at(n, "a") + _at(m, "b") * _at(n, "c"),
+        _at(m, "a") * _at(n, "b") + _at(m, "b") * _at(n, "d"),
+        _at(m, "c") * _at(n, "a") + _at(m, "d") * _at(n, "c"),
+        _at(m, "c") * _at(n, "b") + _at(m, "d") * _at(n, "d"),
+        _at(m, "e") * _at(n, "a") + _at(m, "f") * _at(n, "c") + _at(n, "e"),
+        _at(m, "e") * _at(n, "b") + _at(m, "f") * _at(n, "d") + _at(n, "f"),
     )
 
 
 def try_inverse(m: Column) -> Column:
     """The inverse, null where there is none."""
     det = determinant(m)
-    inverse = matrix(m["d"] / det, -m["b"] / det, -m["c"] / det, m["a"] / det, (m["c"] * m["f"] - m["d"] * m["e"]) / det, (m["b"] * m["e"] - m["a"] * m["f"]) / det)
+    inverse = matrix(_at(m, "d") / det, -_at(m, "b") / det, -_at(m, "c") / det, _at(m, "a") / det, (_at(m, "c") * _at(m, "f") - _at(m, "d") * _at(m, "e")) / det, (_at(m, "b") * _at(m, "e") - _at(m, "a") * _at(m, "f")) / det)
     return F.when(det != 0, inverse)
 
 
@@ -172,7 +182,7 @@ def pre_rotate(m: Column, degrees) -> Column:
 
 
 def matrix_array(m: Column) -> Column:
-    return F.array(*[m[k] for k in MATRIX])
+    return F.array(*[_at(m, k) for k in MATRIX])
 
 
 # rectangles
@@ -184,76 +194,76 @@ def rect(x0=0.0, y0=0.0, x1=0.0, y1=0.0) -> Column:
 
 def irect(r: Column) -> Column:
     """r cut to whole numbers, toward zero."""
-    return _made(BOX, [r[k].cast("long") for k in BOX])
+    return _made(BOX, [_at(r, k).cast("long") for k in BOX])
 
 
 def irect_rect(r: Column) -> Column:
-    return rect(*[r[k] for k in BOX])
+    return rect(*[_at(r, k) for k in BOX])
 
 
 def width(r: Column) -> Column:
-    return F.greatest(F.lit(0.0), r["x1"] - r["x0"])
+    return F.greatest(F.lit(0.0), _at(r, "x1") - _at(r, "x0"))
 
 
 def height(r: Column) -> Column:
-    return F.greatest(F.lit(0.0), r["y1"] - r["y0"])
+    return F.greatest(F.lit(0.0), _at(r, "y1") - _at(r, "y0"))
 
 
 def irect_width(r: Column) -> Column:
     """Negative where the corners are."""
-    return r["x1"] - r["x0"]
+    return _at(r, "x1") - _at(r, "x0")
 
 
 def irect_height(r: Column) -> Column:
-    return r["y1"] - r["y0"]
+    return _at(r, "y1") - _at(r, "y0")
 
 
 def area(r: Column) -> Column:
     """Signed."""
-    return (r["x1"] - r["x0"]) * (r["y1"] - r["y0"])
+    return (_at(r, "x1") - _at(r, "x0")) * (_at(r, "y1") - _at(r, "y0"))
 
 
 def is_empty(r: Column) -> Column:
-    return (r["x0"] >= r["x1"]) | (r["y0"] >= r["y1"])
+    return (_at(r, "x0") >= _at(r, "x1")) | (_at(r, "y0") >= _at(r, "y1"))
 
 
 def is_valid(r: Column) -> Column:
-    return (r["x0"] <= r["x1"]) & (r["y0"] <= r["y1"])
+    return (_at(r, "x0") <= _at(r, "x1")) & (_at(r, "y0") <= _at(r, "y1"))
 
 
 def is_infinite(r: Column) -> Column:
     low, high = F.lit(-INFINITY), F.lit(INFINITY)
-    return (r["x0"] == low) | (r["y0"] == low) | (r["x1"] == high) | (r["y1"] == high)
+    return (_at(r, "x0") == low) | (_at(r, "y0") == low) | (_at(r, "x1") == high) | (_at(r, "y1") == high)
 
 
 def top_left(r: Column) -> Column:
-    return point(r["x0"], r["y0"])
+    return point(_at(r, "x0"), _at(r, "y0"))
 
 
 def top_right(r: Column) -> Column:
-    return point(r["x1"], r["y0"])
+    return point(_at(r, "x1"), _at(r, "y0"))
 
 
 def bottom_left(r: Column) -> Column:
-    return point(r["x0"], r["y1"])
+    return point(_at(r, "x0"), _at(r, "y1"))
 
 
 def bottom_right(r: Column) -> Column:
-    return point(r["x1"], r["y1"])
+    return point(_at(r, "x1"), _at(r, "y1"))
 
 
 def normalize(r: Column) -> Column:
-    return rect(F.least(r["x0"], r["x1"]), F.least(r["y0"], r["y1"]), F.greatest(r["x0"], r["x1"]), F.greatest(r["y0"], r["y1"]))
+    return rect(F.least(_at(r, "x0"), _at(r, "x1")), F.least(_at(r, "y0"), _at(r, "y1")), F.greatest(_at(r, "x0"), _at(r, "x1")), F.greatest(_at(r, "y0"), _at(r, "y1")))
 
 
 def round_out(r: Column) -> Column:
     """The whole-number rectangle around r."""
-    return _made(BOX, (F.floor(r["x0"]), F.floor(r["y0"]), F.ceil(r["x1"]), F.ceil(r["y1"])))
+    return _made(BOX, (F.floor(_at(r, "x0")), F.floor(_at(r, "y0")), F.ceil(_at(r, "x1")), F.ceil(_at(r, "y1"))))
 
 
 def contains_point(r: Column, p: Column) -> Column:
     """Borders count."""
-    return (p["x"] >= r["x0"]) & (p["x"] <= r["x1"]) & (p["y"] >= r["y0"]) & (p["y"] <= r["y1"])
+    return (_at(p, "x") >= _at(r, "x0")) & (_at(p, "x") <= _at(r, "x1")) & (_at(p, "y") >= _at(r, "y0")) & (_at(p, "y") <= _at(r, "y1"))
 
 
 def contains_xy(r: Column, xy: Column) -> Column:
@@ -262,12 +272,12 @@ def contains_xy(r: Column, xy: Column) -> Column:
 
 def contains_rect(r: Column, s: Column) -> Column:
     """An empty rectangle lies in every one."""
-    return is_empty(s) | ((s["x0"] >= r["x0"]) & (s["y0"] >= r["y0"]) & (s["x1"] <= r["x1"]) & (s["y1"] <= r["y1"]))
+    return is_empty(s) | ((_at(s, "x0") >= _at(r, "x0")) & (_at(s, "y0") >= _at(r, "y0")) & (_at(s, "x1") <= _at(r, "x1")) & (_at(s, "y1") <= _at(r, "y1")))
 
 
 def intersection(r: Column, s: Column) -> Column:
     """Corners may be reversed where the two don't meet."""
-    return rect(F.greatest(r["x0"], s["x0"]), F.greatest(r["y0"], s["y0"]), F.least(r["x1"], s["x1"]), F.least(r["y1"], s["y1"]))
+    return rect(F.greatest(_at(r, "x0"), _at(s, "x0")), F.greatest(_at(r, "y0"), _at(s, "y0")), F.least(_at(r, "x1"), _at(s, "x1")), F.least(_at(r, "y1"), _at(s, "y1")))
 
 
 def intersects(r: Column, s: Column) -> Column:
@@ -277,14 +287,14 @@ def intersects(r: Column, s: Column) -> Column:
 
 def union(r: Column, s: Column) -> Column:
     """An empty rectangle adds nothing."""
-    both = rect(F.least(r["x0"], s["x0"]), F.least(r["y0"], s["y0"]), F.greatest(r["x1"], s["x1"]), F.greatest(r["y1"], s["y1"]))
+    both = rect(F.least(_at(r, "x0"), _at(s, "x0")), F.least(_at(r, "y0"), _at(s, "y0")), F.greatest(_at(r, "x1"), _at(s, "x1")), F.greatest(_at(r, "y1"), _at(s, "y1")))
     return F.when(is_empty(s), r).when(is_empty(r), s).otherwise(both)
 
 
 def include_point(r: Column, p: Column) -> Column:
     """r grown to p; an empty one becomes the point."""
-    grown = rect(F.least(r["x0"], p["x"]), F.least(r["y0"], p["y"]), F.greatest(r["x1"], p["x"]), F.greatest(r["y1"], p["y"]))
-    return F.when(is_empty(r), rect(p["x"], p["y"], p["x"], p["y"])).otherwise(grown)
+    grown = rect(F.least(_at(r, "x0"), _at(p, "x")), F.least(_at(r, "y0"), _at(p, "y")), F.greatest(_at(r, "x1"), _at(p, "x")), F.greatest(_at(r, "y1"), _at(p, "y")))
+    return F.when(is_empty(r), rect(_at(p, "x"), _at(p, "y"), _at(p, "x"), _at(p, "y"))).otherwise(grown)
 
 
 def include_points(r: Column, points: Column) -> Column:
@@ -293,7 +303,7 @@ def include_points(r: Column, points: Column) -> Column:
 
 
 def _around(corners) -> Column:
-    xs, ys = [p["x"] for p in corners], [p["y"] for p in corners]
+    xs, ys = [_at(p, "x") for p in corners], [_at(p, "y") for p in corners]
     return rect(F.least(*xs), F.least(*ys), F.greatest(*xs), F.greatest(*ys))
 
 
@@ -305,11 +315,11 @@ def transform_rect(r: Column, m: Column) -> Column:
 def flip(r: Column, page_height) -> Column:
     """Between y up from the bottom and y down from the top of a page."""
     h = _num(page_height)
-    return rect(r["x0"], h - r["y1"], r["x1"], h - r["y0"])
+    return rect(_at(r, "x0"), h - _at(r, "y1"), _at(r, "x1"), h - _at(r, "y0"))
 
 
 def rect_array(r: Column) -> Column:
-    return F.array(*[r[k] for k in BOX])
+    return F.array(*[_at(r, k) for k in BOX])
 
 
 # aggregates
@@ -317,18 +327,18 @@ def rect_array(r: Column) -> Column:
 
 def bbox(r: Column) -> Column:
     """Aggregate: the rectangle around all rectangles that are not empty; null without any."""
-    own = [F.when(~is_empty(r), r[k]) for k in BOX]
+    own = [F.when(~is_empty(r), _at(r, k)) for k in BOX]
     return F.struct(F.min(own[0]).alias("x0"), F.min(own[1]).alias("y0"), F.max(own[2]).alias("x1"), F.max(own[3]).alias("y1"))
 
 
 def common(r: Column) -> Column:
     """Aggregate: the intersection of all rectangles."""
-    return F.struct(F.max(r["x0"]).alias("x0"), F.max(r["y0"]).alias("y0"), F.min(r["x1"]).alias("x1"), F.min(r["y1"]).alias("y1"))
+    return F.struct(F.max(_at(r, "x0")).alias("x0"), F.max(_at(r, "y0")).alias("y0"), F.min(_at(r, "x1")).alias("x1"), F.min(_at(r, "y1")).alias("y1"))
 
 
 def points_bbox(p: Column) -> Column:
     """Aggregate: the rectangle around all points."""
-    return F.struct(F.min(p["x"]).alias("x0"), F.min(p["y"]).alias("y0"), F.max(p["x"]).alias("x1"), F.max(p["y"]).alias("y1"))
+    return F.struct(F.min(_at(p, "x")).alias("x0"), F.min(_at(p, "y")).alias("y0"), F.max(_at(p, "x")).alias("x1"), F.max(_at(p, "y")).alias("y1"))
 
 
 # quads
@@ -343,15 +353,15 @@ def rect_quad(r: Column) -> Column:
 
 
 def quad_rect(q: Column) -> Column:
-    return _around([q[k] for k in CORNERS])
+    return _around([_at(q, k) for k in CORNERS])
 
 
 def transform_quad(q: Column, m: Column) -> Column:
-    return quad(*[transform_point(q[k], m) for k in CORNERS])
+    return quad(*[transform_point(_at(q, k), m) for k in CORNERS])
 
 
 def is_rectangular(q: Column) -> Column:
-    return (q["ul"]["y"] == q["ur"]["y"]) & (q["ll"]["y"] == q["lr"]["y"]) & (q["ul"]["x"] == q["ll"]["x"]) & (q["ur"]["x"] == q["lr"]["x"])
+    return (_at(_at(q, "ul"), "y") == _at(_at(q, "ur"), "y")) & (_at(_at(q, "ll"), "y") == _at(_at(q, "lr"), "y")) & (_at(_at(q, "ul"), "x") == _at(_at(q, "ll"), "x")) & (_at(_at(q, "ur"), "x") == _at(_at(q, "lr"), "x"))
 
 
 def is_empty_quad(q: Column) -> Column:

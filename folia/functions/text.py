@@ -35,7 +35,11 @@ def _units(text: Column, table: Column, other: int) -> Column:
 
 
 def text_units(text: Column, font: Column) -> Column:
-    base = standard_name(font)
+    return _base_units(text, standard_name(font))
+
+
+def _base_units(text: Column, base: Column) -> Column:
+    """text_units of a font by its full name."""
     fixed = F.length(text) * COURIER
     return F.when(base.startswith("Courier"), fixed).when(base.startswith("Helvetica-Bold"), _units(text, _constant(HELVETICA_BOLD), OTHER)).otherwise(_units(text, _constant(HELVETICA), OTHER))
 
@@ -51,12 +55,16 @@ def char_width(code: Column, font: Column) -> Column:
 
 def wrap(text: Column, font: Column, size: Column, width: Column) -> Column:
     """The lines of a text in a box: a fold over the words of each paragraph; the units of a line are kept beside it, so no word is measured twice."""
+    return let(standard_name(font), lambda base: _wrap(text, base, size, width))
+
+
+def _wrap(text: Column, base: Column, size: Column, width: Column) -> Column:
     paragraphs = F.split(F.coalesce(text, F.lit("")), "\n", -1)
     room = width * F.lit(1000.0) / size
-    space = text_units(F.lit(" "), font)
+    space = _base_units(F.lit(" "), base)
 
     def lines(paragraph):
-        words = F.transform(F.split(F.rtrim(paragraph), " "), lambda w: F.struct(w.alias("w"), text_units(w, font).alias("u")))
+        words = F.transform(F.split(F.rtrim(paragraph), " "), lambda w: F.struct(w.alias("w"), _base_units(w, base).alias("u")))
         start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("line"), F.lit(0).alias("u"))
 
         def step(acc, word):
@@ -76,6 +84,10 @@ def wrap(text: Column, font: Column, size: Column, width: Column) -> Column:
 
 def placed(lines: Column, font: Column, size: Column, box: Column, align: Column, valign: Column, spacing: Column) -> Column:
     """struct(x, baseline, text, width) of each line in a box; y runs down."""
+    return let(standard_name(font), lambda base: _placed(lines, base, size, box, align, valign, spacing))
+
+
+def _placed(lines, base, size, box, align, valign, spacing) -> Column:
     step = size * spacing
     total = F.size(lines) * step
     top = F.when(valign == "center", box["y0"] + (box["y1"] - box["y0"] - total) / 2).when(valign == "bottom", box["y1"] - total).otherwise(box["y0"])
@@ -85,7 +97,7 @@ def placed(lines: Column, font: Column, size: Column, box: Column, align: Column
             x = F.when(align == "center", box["x0"] + (box["x1"] - box["x0"] - w) / 2).when(align == "right", box["x1"] - w).otherwise(box["x0"])
             return F.struct(x.alias("x"), (top + k * step + size * 0.8).alias("baseline"), line.alias("text"), w.alias("width"))
 
-        return let(text_width(line, font, size), at)
+        return let(_base_units(line, base) / F.lit(1000.0) * size, at)
 
     return F.transform(lines, one)
 

@@ -28,14 +28,13 @@ def commands(df: DataFrame) -> DataFrame:
 
 def laid_out(df: DataFrame) -> DataFrame:
     """A row for each drawn line: doc_id, page, seq, line, x, baseline (y down), text, font, size, color, and the bounds used by its command."""
-    c = commands(df)
-    box = F.struct("x0", "y0", "x1", "y1")
-    font, size = T.standard_name(F.col("fontname")), F.col("fontsize")
-    lines = T.wrap(F.col("text"), font, size, F.col("x1") - F.col("x0"))
-    put = T.placed(lines, font, size, box, F.col("align"), F.col("valign"), F.col("line_spacing"))
-    one = F.array(F.struct(F.col("x0").alias("x"), F.col("y0").alias("baseline"), F.col("text"), T.text_width(F.col("text"), font, size).alias("width")))
-    c = c.withColumn("placed", F.when(F.col("kind") == "box", put).otherwise(one)).withColumn("used", T.used_bounds(F.col("placed"), size, F.col("line_spacing")))
-    out = c.select("doc_id", "page", "seq", "used", "color", font.alias("font"), size.alias("size"), F.posexplode("placed").alias("line", "p"))
+    c = commands(df).withColumn("font", T.standard_name(F.col("fontname"))).withColumnRenamed("fontsize", "size")
+    box, font, size, spacing = F.struct("x0", "y0", "x1", "y1"), F.col("font"), F.col("size"), F.col("line_spacing")
+    c = c.withColumn("lines", F.when(F.col("kind") == "box", T.wrap(F.col("text"), font, size, F.col("x1") - F.col("x0"))).otherwise(F.array("text")))
+    put = T.placed(F.col("lines"), font, size, box, F.col("align"), F.col("valign"), spacing)
+    at = F.transform(put, lambda p: F.struct(F.when(F.col("kind") == "box", p["x"]).otherwise(F.col("x0")).alias("x"), F.when(F.col("kind") == "box", p["baseline"]).otherwise(F.col("y0")).alias("baseline"), p["text"].alias("text"), p["width"].alias("width")))
+    c = c.withColumn("both", T.let(at, lambda p: F.struct(p.alias("placed"), T.used_bounds(p, size, spacing).alias("used"))))
+    out = c.select("doc_id", "page", "seq", F.col("both.used").alias("used"), "color", "font", "size", F.posexplode("both.placed").alias("line", "p"))
     return out.select("doc_id", "page", "seq", "line", "p.x", "p.baseline", "p.text", "p.width", "font", "size", "color", "used")
 
 

@@ -69,8 +69,11 @@ GEOM_MATRICES = f"WITH {ITEMS} SELECT {KEYS}, " + _select({
 
 
 def _boxes(spark, sf_dir):
-    a = G.rect("q", F.col("d") * 100, F.col("t") * 500, F.col("q") * 1.5)
-    return _items(spark, sf_dir).withColumn("a", a).withColumn("r", G.normalize(F.col("a"))).withColumn("s", G.rect(10, 5, 30, 40)).withColumn("pt", G.point("q", F.col("d") * 200))
+    """Rectangles over plain columns: a struct of attributes costs nothing where it is used."""
+    flat = _items(spark, sf_dir).selectExpr("*", "q AS a0", "d * 100 AS a1", "t * 500 AS a2", "q * 1.5D AS a3", "d * 200 AS py")
+    n = G.normalize(G.rect("a0", "a1", "a2", "a3"))
+    flat = flat.select("*", *[n[c].alias(c) for c in G.BOX])
+    return flat.select("*", G.rect("a0", "a1", "a2", "a3").alias("a"), G.rect("x0", "y0", "x1", "y1").alias("r"), G.rect(10, 5, 30, 40).alias("s"), G.point("q", "py").alias("pt"))
 
 
 BOXES = ITEMS + ", raw AS (SELECT *, q AS a0, d * 100 AS a1, t * 500 AS a2, q * 1.5::DOUBLE AS a3 FROM items), boxes AS (SELECT *, least(a0, a2) AS x0, least(a1, a3) AS y0, greatest(a0, a2) AS x1, greatest(a1, a3) AS y1, q AS px, d * 200 AS py FROM raw)"
