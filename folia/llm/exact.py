@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folia.llm.common import small, written
+from folia.llm.common import small, tidied, written
 
 #: Fixed values of the fingerprint: two primes below 2**31 and a base for each.
 PRIMES = (2147483647, 2147483629)
@@ -90,9 +90,9 @@ def fingerprinted(docs: DataFrame, huge: int = HUGE, piece: int = PIECE) -> Data
     base = docs.select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("bytes"))
     base = base.withColumn("text_sha256", F.sha2("bytes", 256))
     fields, made = "doc_id long, text_sha256 string", "n_bytes long, f1 long, f2 long, s1 long, s2 long"
-    usual = base.where(F.length("bytes") <= huge).select("doc_id", "text_sha256", "bytes").mapInArrow(_hash, f"{fields}, {made}")
+    usual = base.where(F.length("bytes") <= huge).select("doc_id", "text_sha256", "bytes").mapInArrow(tidied(_hash), f"{fields}, {made}")
     large = base.where(F.length("bytes") > huge).withColumn("uid", F.monotonically_increasing_id())
-    parts = _pieces(large.select("uid", "doc_id", "text_sha256", "bytes"), piece).repartition("uid", "no").mapInArrow(_hash, f"uid long, {fields}, no int, {made}")
+    parts = _pieces(large.select("uid", "doc_id", "text_sha256", "bytes"), piece).repartition("uid", "no").mapInArrow(tidied(_hash), f"uid long, {fields}, no int, {made}")
 
     def step(k):
         return (lambda acc, x: (acc * x[f"s{k}"] + x[f"f{k}"]) % F.lit(PRIMES[k - 1])), F.lit(0).cast("long")

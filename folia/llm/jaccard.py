@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folia.llm.common import components, small, written
+from folia.llm.common import components, small, tidied, written
 
 #: Words in a shingle, and the similarity from which documents link, in hundredths.
 WORDS, PERCENT = 5, 80
@@ -144,7 +144,7 @@ def sketch(tables: DataFrame) -> np.ndarray:
     """The counts of all tasks: 2**SKETCH_BITS numbers, whatever the input's size."""
     rows = tables.where("piece is not null").select("piece", "counts")
     for key in (["piece", F.spark_partition_id() % 16], ["piece"]):
-        rows = rows.repartition(*[F.col(k) if isinstance(k, str) else k for k in key]).mapInArrow(_added, "piece int, counts binary")
+        rows = rows.repartition(*[F.col(k) if isinstance(k, str) else k for k in key]).mapInArrow(tidied(_added), "piece int, counts binary")
     out = np.zeros((SKETCH_PIECES, (1 << SKETCH_BITS) // SKETCH_PIECES), dtype=np.uint32)
     for r in rows.toLocalIterator():
         _dense(bytes(r.counts), out[r.piece])
@@ -333,16 +333,16 @@ def linked(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     texts = docs.select("doc_id", "text")
-    tables = written(texts.mapInArrow(_sets, "doc_id long, n long, hi long, lo long, sig binary, piece int, counts binary"), "jaccard-sets")
+    tables = written(texts.mapInArrow(tidied(_sets), "doc_id long, n long, hi long, lo long, sig binary, piece int, counts binary"), "jaccard-sets")
     rows = tables.where("piece is null").select("doc_id", "n", "hi", "lo", "sig")
     groups = rows.where("n > 0").groupBy("n", "hi", "lo").agg(F.min("doc_id").alias("node"), F.count("*").alias("many"), F.first("sig").alias("sig"))
     groups = written(groups.where("node is not null"), "jaccard-groups")
     counts = spark.sparkContext.broadcast(sketch(tables))
-    postings = texts.mapInArrow(_posted(counts), "token long, lo long, n int, place int").repartition("token").sortWithinPartitions("token", "n", "lo")
-    pairs = written(postings.mapInArrow(_paired, "a long, b long, star boolean").groupBy("a", "b").agg(F.min("star").alias("star")), "jaccard-pairs")
+    postings = texts.mapInArrow(tidied(_posted(counts)), "token long, lo long, n int, place int").repartition("token").sortWithinPartitions("token", "n", "lo")
+    pairs = written(postings.mapInArrow(tidied(_paired), "a long, b long, star boolean").groupBy("a", "b").agg(F.min("star").alias("star")), "jaccard-pairs")
     sigs = written(groups.select("lo", "n", "sig"), "jaccard-signatures")
     first, second = (sigs.select(F.col("lo").alias(k), F.col("n").alias(f"n_{k}"), F.col("sig").alias(f"sig_{k}")) for k in "ab")
-    near = pairs.where("not star").select("a", "b").join(first, "a").join(second, "b").select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(_suffixed, "a long, b long")
+    near = pairs.where("not star").select("a", "b").join(first, "a").join(second, "b").select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(tidied(_suffixed), "a long, b long")
     blocks = components(near.union(pairs.where("star").select("a", "b")), "jaccard-blocks")
     members = written(groups.select("lo", "node").join(blocks.withColumnRenamed("node", "lo").withColumnRenamed("component", "block"), "lo").select("node", "block"), "jaccard-members")
     sized = members.groupBy("block").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")).where("parts > 1")
@@ -350,7 +350,7 @@ def linked(docs: DataFrame) -> DataFrame:
     tiles = tiles.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("node", "block", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
     moved = texts.join(small(written(tiles, "jaccard-tiles")), F.col("doc_id") == F.col("node")).select("block", "i", "j", "part", "node", "text")
     moved = moved.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j", "node")
-    found = components(moved.mapInArrow(_joined, "a long, b long"), "jaccard-links")
+    found = components(moved.mapInArrow(tidied(_joined), "a long, b long"), "jaccard-links")
     found = written(found.select(F.col("node").alias("_node"), F.col("component").alias("_component")), "jaccard-components")
     copies = written(groups.where("many > 1").select("hi", "lo", "n", F.col("node").alias("_first")), "jaccard-copies")
     named = rows.select("doc_id", "n", "hi", "lo").join(small(copies), ["hi", "lo", "n"], "left").withColumn("_at", F.coalesce("_first", "doc_id"))

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folia.llm.common import BLANKS, components, small, written
+from folia.llm.common import BLANKS, components, small, tidied, written
 
 #: Edits up to which lines link, and the characters that a line needs to take part; shorter lines always stay.
 EDITS, LEAST_CHARS = 2, 40
@@ -266,8 +266,8 @@ def _texts(least: int, wanted):
 def classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
     """(node, class) of the lines that link with another line, from docs (doc_id, text)."""
     spark, texts = docs.sparkSession, docs.where("doc_id is not null").select("text")
-    keys = texts.mapInArrow(_keyed(edits, least), "key long, node long, indexed boolean").repartition("key").sortWithinPartitions("key", F.desc("indexed"), "node")
-    blocks = components(keys.mapInArrow(_starred, "a long, b long"), "lines-blocks")
+    keys = texts.mapInArrow(tidied(_keyed(edits, least)), "key long, node long, indexed boolean").repartition("key").sortWithinPartitions("key", F.desc("indexed"), "node")
+    blocks = components(keys.mapInArrow(tidied(_starred), "a long, b long"), "lines-blocks")
     members = written(blocks.withColumnRenamed("component", "block"), "lines-members")
     large = written(members.groupBy("block").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")).where("parts > 1"), "lines-large")
     tiles = members.join(small(large), "block", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
@@ -275,13 +275,13 @@ def classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> Da
     tiles, wanted = written(tiles, "lines-tiles"), None
     if members.limit(FILTERED + 1).count() <= FILTERED:
         wanted = spark.sparkContext.broadcast({r.node for r in members.select("node").toLocalIterator()})
-    moved = texts.mapInArrow(_texts(least, wanted), "node long, line string").join(small(tiles), "node").repartition("block", "i", "j").sortWithinPartitions("block", "i", "j", "node", "line")
-    return components(moved.mapInArrow(_verified(edits), "a long, b long"), "lines-links").select("node", F.col("component").alias("class"))
+    moved = texts.mapInArrow(tidied(_texts(least, wanted)), "node long, line string").join(small(tiles), "node").repartition("block", "i", "j").sortWithinPartitions("block", "i", "j", "node", "line")
+    return components(moved.mapInArrow(tidied(_verified(edits)), "a long, b long"), "lines-links").select("node", F.col("component").alias("class"))
 
 
 def dropped(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
     """doc_id and lines, an array of struct(number, node) of the lines of that document that go."""
-    occurring = written(docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(_occurring(least), "doc_id long, number int, node long"), "lines-occurring")
+    occurring = written(docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(tidied(_occurring(least)), "doc_id long, number int, node long"), "lines-occurring")
     linked = written(classes(docs, edits, least), "lines-classes")
     named = occurring.join(small(linked, FILTERED), "node", "left").withColumn("class", F.coalesce("class", "node"))
     first = named.groupBy("class").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "number")).alias("first")).where("n > 1").select("class", F.col("first.doc_id").alias("_doc"), F.col("first.number").alias("_number"))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folia.llm.common import shared_path, small
+from folia.llm.common import shared_path, small, tidied
 from folia.llm.pretokens import Memo, pieces, plain
 
 MAGIC, VERSION = b"FOLIAIDS", 1
@@ -233,7 +233,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None =
             yield pa.RecordBatch.from_pydict({"shard": [number], "n_docs": [len(out.doc_ids)], "n_ids": [out.starts[-1]]}, schema=pa.schema([("shard", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(shard, "shard int, n_docs long, n_ids long").write.parquet(f"{folder}/index")
+    ordered.mapInArrow(tidied(shard), "shard int, n_docs long, n_ids long").write.parquet(f"{folder}/index")
     return spark.read.schema("shard int, n_docs long, n_ids long").parquet(f"{folder}/index")
 
 
@@ -262,7 +262,7 @@ def _read(spark: SparkSession, folder: str, schema: str, make) -> DataFrame:
     n = max(1, index.count())
     files = index.select("shard").repartition(n)
     base = index.select(F.col("shard").alias("_s"), (F.sum("n_ids").over(W.orderBy("shard")) - F.col("n_ids")).alias("_base"))
-    found = files.mapInArrow(rows, schema).join(small(base), F.col("shard") == F.col("_s")).withColumn("start", F.col("_base") + F.col("within"))
+    found = files.mapInArrow(tidied(rows), schema).join(small(base), F.col("shard") == F.col("_s")).withColumn("start", F.col("_base") + F.col("within"))
     return found.drop("_s", "_base", "within")
 
 

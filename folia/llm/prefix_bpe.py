@@ -13,11 +13,13 @@ import base64
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from folia.llm.common import tidied
 from folia.llm.pretokens import Memo, pieces
 
 
@@ -27,15 +29,19 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
 
 
+#: More than any rank.
+WIDE = 1 << 32
+
+
 class Vocabulary:
     """Tokens by rank, the pair each was merged from, and whether two tokens may stand side by side."""
 
-    def __init__(self, ranks: dict[bytes, int], most_pairs: int = 2_000_000):
+    def __init__(self, ranks: dict[bytes, int], most_pairs: int = 300_000):
         self.ranks, self.most_pairs = ranks, most_pairs
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.merged: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int]] = {}
-        self.known: dict[tuple[int, int], bool] = {}
+        self.known: dict[int, bool] = {}  # by a * WIDE + b
         for rank in sorted(self.tokens):
             token = self.tokens[rank]
             for cut in range(1, len(token)):
@@ -71,11 +77,12 @@ class Vocabulary:
                 return True
 
     def side_by_side(self, a: int, b: int) -> bool:
-        found = self.known.get((a, b))
+        key = a * WIDE + b
+        found = self.known.get(key)
         if found is None:
             if len(self.known) >= self.most_pairs:
                 self.known.clear()
-            found = self.known[a, b] = self._apart(a, b)
+            found = self.known[key] = self._apart(a, b)
         return found
 
 
@@ -99,7 +106,7 @@ class Prefixes:
             if j == 0:
                 return token
             before = last[j]
-            ok = known.get((before, token))
+            ok = known.get(before * WIDE + token)
             if ok or (ok is None and check(before, token)):
                 return token
         raise ValueError(f"byte {data[i - 1]} is not in the vocabulary")
@@ -148,6 +155,7 @@ class Encoder:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.vocabulary = Vocabulary(ranks)
+        self.packed = Memo(lambda piece: np.array(encode_piece(self.vocabulary, piece.encode()), "<u4").tobytes())
         self.listed = Memo(lambda piece: b",".join(b"%d" % t for t in encode_piece(self.vocabulary, piece.encode())))
         self.bytes_of = {b"%d" % rank: token for rank, token in self.vocabulary.tokens.items()}
 
@@ -158,9 +166,12 @@ class Encoder:
     def decode_listed(self, listed: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, listed.split(b","))) if listed else b""
 
+    def encode_packed(self, text: str) -> np.ndarray:
+        """The ids as an array."""
+        return np.frombuffer(b"".join(map(self.packed.__getitem__, pieces(text))), "<u4")
+
     def encode(self, text: str) -> list[int]:
-        listed = self.encode_listed(text)
-        return [int(x) for x in listed.split(b",")] if listed else []
+        return self.encode_packed(text).tolist()
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(self.vocabulary.tokens[i] for i in ids)
@@ -239,7 +250,7 @@ def round_trip(docs: DataFrame, ranks: str | None = None) -> DataFrame:
                 decoded.append(_sha(own.decode_listed(listed)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids), pa.array(decoded)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(tidied(rows), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encoded(docs: DataFrame, ranks: str | None = None) -> DataFrame:
@@ -251,8 +262,10 @@ def encoded(docs: DataFrame, ranks: str | None = None) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         for batch in batches:
-            ids = [own.encode(text.as_py() or "") for text in batch.column("text")]
-            arrays = [pa.array(ids, pa.list_(pa.int32())), pa.array([len(x) for x in ids], pa.int64())]
+            ids = [own.encode_packed(text.as_py() or "") for text in batch.column("text")]
+            ends = np.cumsum([0, *map(len, ids)])
+            flat = pa.array(np.concatenate([np.zeros(0, "<u4"), *ids]).astype(np.int32))
+            arrays = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), pa.array(np.diff(ends), pa.int64())]
             yield pa.RecordBatch.from_arrays(batch.columns + arrays, names=[*batch.schema.names, "token_ids", "n_tokens"])
 
-    return base.mapInArrow(rows, schema)
+    return base.mapInArrow(tidied(rows), schema)

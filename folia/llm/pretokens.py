@@ -24,16 +24,19 @@ def pieces(text: str) -> list[str]:
 
 
 class Memo(dict):
-    """What make gives for a piece, kept for short pieces and for so many of them at most."""
+    """What make gives for a piece, kept for short pieces. When most are held they become the older generation and the one before goes, so pieces in use stay."""
 
-    def __init__(self, make, most: int = 1_000_000, longest: int = 64):
+    def __init__(self, make, most: int = 100_000, longest: int = 64):
         super().__init__()
-        self.make, self.most, self.longest = make, most, longest
+        self.make, self.most, self.longest, self.older = make, most, longest, {}
 
     def __missing__(self, piece):
-        made = self.make(piece)
+        made = self.older.get(piece)
+        if made is None:
+            made = self.make(piece)
         if len(piece) <= self.longest:
             if len(self) >= self.most:
+                self.older = dict(self)
                 self.clear()
             self[piece] = made
         return made
