@@ -29,6 +29,8 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
 
 
+#: Pieces whose ids a worker keeps (two generations of so many, about 200 bytes each), as numbers and as digits.
+KEPT_PACKED, KEPT_LISTED = 100_000, 500_000
 #: More than any rank.
 WIDE = 1 << 32
 
@@ -36,7 +38,7 @@ WIDE = 1 << 32
 class Vocabulary:
     """Tokens by rank, the pair each was merged from, and whether two tokens may stand side by side."""
 
-    def __init__(self, ranks: dict[bytes, int], most_pairs: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], most_pairs: int = 400_000):
         self.ranks, self.most_pairs = ranks, most_pairs
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.merged: dict[tuple[int, int], int] = {}
@@ -52,7 +54,8 @@ class Vocabulary:
         #: Tokens that merges can make, by their bytes; others only encode a piece that equals them.
         self.usable = {token: rank for token, rank in ranks.items() if self._reachable(rank)}
         self.longest = max(map(len, self.usable), default=1)
-        self.by_last = {b: sorted({len(t) for t in self.usable if t[-1] == b}, reverse=True) for b in range(256)}
+        #: Every ending of these tokens, with the rank of the token that it is, or -1.
+        self.endings = {token[k:]: -1 for token in self.usable for k in range(1, len(token))} | self.usable
 
     def _reachable(self, rank: int) -> bool:
         return len(self.tokens[rank]) == 1 or rank in self.parts
@@ -93,31 +96,31 @@ class Prefixes:
         self.vocabulary, self.data, self.last = vocabulary, b"", [-1]
         self.append(data)
 
-    def _token(self, data: bytes, last: list[int], i: int) -> int:
+    def _fill(self, data: bytes, last: list[int], stop: int) -> None:
+        """Adds the entries up to stop. Endings are followed back while a token may still begin there; the longest token that fits is the one."""
         v = self.vocabulary
-        usable, known, check = v.usable, v.known, v.side_by_side
-        for n in v.by_last[data[i - 1]]:
-            j = i - n
-            if j < 0:
-                continue
-            token = usable.get(data[j:i])
-            if token is None:
-                continue
-            if j == 0:
-                return token
-            before = last[j]
-            ok = known.get(before * WIDE + token)
-            if ok or (ok is None and check(before, token)):
-                return token
-        raise ValueError(f"byte {data[i - 1]} is not in the vocabulary")
+        ending, known, check = v.endings.get, v.known.get, v.side_by_side
+        for i in range(len(last), stop + 1):
+            found, j = [], i - 1
+            while j >= 0 and (token := ending(data[j:i])) is not None:
+                if token >= 0:
+                    found.append((j, token))
+                j -= 1
+            for j, token in reversed(found):
+                if j == 0:
+                    break
+                before = last[j]
+                fits = known(before * WIDE + token)
+                if fits or (fits is None and check(before, token)):
+                    break
+            else:
+                raise ValueError(f"byte {data[i - 1]} is not in the vocabulary")
+            last.append(token)
 
     def append(self, more: bytes) -> None:
         """Extends the string; the entries before stay as they are."""
-        start = len(self.data)
         self.data += more
-        data, last = self.data, self.last
-        for i in range(start + 1, len(data) + 1):
-            last.append(self._token(data, last, i))
+        self._fill(self.data, self.last, len(self.data))
 
     def edit(self, start: int, stop: int, put: bytes) -> int:
         """Replaces bytes start to stop; returns how many entries were filled anew."""
@@ -128,10 +131,9 @@ class Prefixes:
             if same > self.vocabulary.longest:
                 last.extend(old[i - shift :])
                 break
-            token = self._token(data, last, i)
+            self._fill(data, last, i)
             filled += 1
-            same = same + 1 if i >= start + len(put) and i - shift <= len(self.data) and old[i - shift] == token else 0
-            last.append(token)
+            same = same + 1 if i >= start + len(put) and i - shift <= len(self.data) and old[i - shift] == last[i] else 0
         self.data, self.last = data, last
         return filled
 
@@ -155,8 +157,8 @@ class Encoder:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.vocabulary = Vocabulary(ranks)
-        self.packed = Memo(lambda piece: np.array(encode_piece(self.vocabulary, piece.encode()), "<u4").tobytes())
-        self.listed = Memo(lambda piece: b",".join(b"%d" % t for t in encode_piece(self.vocabulary, piece.encode())))
+        self.packed = Memo(lambda piece: np.array(encode_piece(self.vocabulary, piece.encode()), "<u4").tobytes(), KEPT_PACKED)
+        self.listed = Memo(lambda piece: b",".join(b"%d" % t for t in encode_piece(self.vocabulary, piece.encode())), KEPT_LISTED)
         self.bytes_of = {b"%d" % rank: token for rank, token in self.vocabulary.tokens.items()}
 
     def encode_listed(self, text: str) -> bytes:

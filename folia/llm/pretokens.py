@@ -26,7 +26,7 @@ def pieces(text: str) -> list[str]:
 class Memo(dict):
     """What make gives for a piece, kept for short pieces. When most are held they become the older generation and the one before goes, so pieces in use stay."""
 
-    def __init__(self, make, most: int = 100_000, longest: int = 64):
+    def __init__(self, make, most: int = 200_000, longest: int = 64):
         super().__init__()
         self.make, self.most, self.longest, self.older = make, most, longest, {}
 
