@@ -34,6 +34,8 @@ from folia.llm.pretokens import Memo, pieces, plain
 MAGIC, VERSION = b"FOLIAIDS", 1
 #: Ids in a block: a multiple of 8, so that blocks end on whole bytes at any width.
 BLOCK = 8192
+#: Pieces whose ids a worker keeps (two generations of so many, about 200 bytes each).
+KEPT = 400_000
 #: Ids that are read and unpacked at once.
 WINDOW = 1 << 20
 
@@ -188,7 +190,7 @@ def library_encoder(path: str) -> tuple[Callable[[str], np.ndarray], int]:
     before = spec.get("pre_tokenizer") or {}
     by_piece = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not spec.get("normalizer") and not spec.get("truncation") and not spec.get("padding")
     letters, tokenize = _byte_letters(), library.model.tokenize
-    memo = Memo(lambda piece: np.array([t.id for t in tokenize(piece.encode().decode("latin-1").translate(letters))], "<u4").tobytes())
+    memo = Memo(lambda piece: np.array([t.id for t in tokenize(piece.encode().decode("latin-1").translate(letters))], "<u4").tobytes(), KEPT)
 
     def encode(text: str) -> np.ndarray:
         if by_piece and plain(text):
