@@ -7,6 +7,12 @@ substrings that can match (bounds from the left and from the right of each segme
 connect lines to blocks by stars, never by all pairs; every link lies within a block. In a block the same join runs in
 memory, and banded bit-parallel edit distance verifies each pair of lines that are not yet connected.
 
+With edits=None the bound grows with the line (the registered query and the pipeline): lines also link if at most one in
+SHARE of the longer one's words is inserted, deleted or replaced. Such lines have a run of words in common that is long
+enough to hold a selected gram of GRAM words: of each window of grams the smallest hash is selected, in windows that
+BANDS fixes by the number of words. Lines with a gram in common are paired if lengths and places allow a link; a gram of
+more than POSTED lines chains lines of near lengths instead. A letter of a script written without blanks is a word.
+
 Linked lines form classes. The occurrence of a class with the smallest (doc_id, line number) stays, all others go.
 
 Scale: only hashes move for all lines, 3 index and 12 probe keys of 16 bytes a distinct line. Texts move only for lines
@@ -15,6 +21,7 @@ in blocks. Equal lines are one line from the start, so a line that a third of al
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -30,9 +37,16 @@ from folia.llm.common import BLANKS, components, small, tidied, written
 EDITS, LEAST_CHARS = 2, 40
 #: Lines of a block that meet in one task, and lines of blocks up to which tasks filter texts before they move.
 PART, FILTERED = 1500, 500_000
+#: One in so many words may differ where the bound grows with the line, words in a gram, and lines of a gram up to which pairs are made.
+SHARE, GRAM, POSTED = 10, 4, 32
+#: (words from which, grams in a window): two lines that link, the longer one of so many words, share a run of GRAM + window - 1 words.
+BANDS = [(10, 2), (30, 4), (40, 5), (90, 6)]
+
+_WORDS = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]|[^\x20\x09-\x0d\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]+")
+_FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 
-def edit_distance(a: str, b: str, most: int) -> int:
+def edit_distance(a: str | tuple, b: str | tuple, most: int) -> int:
     """The edit distance of a and b, or most + 1 if it is greater. Bit-parallel over a band of 2 * most + 1 diagonals."""
     if abs(len(a) - len(b)) > most:
         return most + 1
@@ -98,19 +112,28 @@ def segments(n: int, edits: int = EDITS) -> list[tuple[int, int]]:
     return out
 
 
-def index_keys(line: str, edits: int = EDITS) -> list[int]:
+def bound(n: int, edits: int | None = EDITS) -> int:
+    """The edits up to which a line of n characters and one that is no shorter link."""
+    return EDITS if edits is None else edits
+
+
+def index_keys(line: str, edits: int | None = EDITS) -> list[int]:
     n = len(line)
+    edits = bound(n, edits)
     return [_key(line[s : s + w], n, k, edits) for k, (s, w) in enumerate(segments(n, edits))]
 
 
-def probe_keys(line: str, edits: int = EDITS) -> list[int]:
+def probe_keys(line: str, edits: int | None = EDITS) -> list[int]:
     """The keys under which lines of at most this length within the edits are indexed, one of them at least for each."""
     n, out = len(line), []
-    for less in range(edits + 1):
-        for k, (s, w) in enumerate(segments(n - less, edits)):
-            low = max(s - k, s + less - (edits - k), 0)
-            high = min(s + k, s + less + (edits - k), n - w)
-            out.extend(_key(line[p : p + w], n - less, k, edits) for p in range(low, high + 1))
+    for less in range(min(n, bound(n, edits)) + 1):
+        most = bound(n - less, edits)
+        if less > most:
+            break
+        for k, (s, w) in enumerate(segments(n - less, most)):
+            low = max(s - k, s + less - (most - k), 0)
+            high = min(s + k, s + less + (most - k), n - w)
+            out.extend(_key(line[p : p + w], n - less, k, most) for p in range(low, high + 1))
     return out
 
 
@@ -122,6 +145,43 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def line_words(line: str) -> list[str]:
+    return _WORDS.findall(line)
+
+
+def bands(m: int) -> list[int]:
+    """The bands in which a line of m words meets lines that it may link with: its own, and the next if they reach down to m."""
+    return [k for k, (low, _) in enumerate(BANDS) if (k + 1 == len(BANDS) or m < BANDS[k + 1][0]) and low - low // SHARE <= m]
+
+
+def grams(lines: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, number of the line, place in it) of the selected grams of lines, given as words; two lines that link by words share a key."""
+    sizes = np.array([len(x) for x in lines], dtype=np.int64)
+    none = np.zeros(0, dtype=np.int64)
+    if sizes.sum() < GRAM:
+        return none, none, none
+    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for x in lines for w in x), dtype=np.uint64, count=int(sizes.sum()))
+    n = len(hashes) - GRAM + 1
+    found = np.zeros(n, dtype=np.uint64)
+    for k in range(GRAM):
+        found += hashes[k : k + n] * _FACTORS[k]
+    found ^= found >> np.uint64(32)
+    found *= np.uint64(0xD6E8FEB86659FD93)
+    found ^= found >> np.uint64(29)
+    ends = np.cumsum(sizes)
+    line = np.repeat(np.arange(len(lines)), sizes)[:n]
+    posts = [bands(int(m)) for m in sizes]
+    out = []
+    for band, (_, window) in enumerate(BANDS):
+        taking = np.array([band in x for x in posts], dtype=bool)
+        if n < window or not taking.any():
+            continue
+        at = np.flatnonzero(taking[line[: n - window + 1]] & (np.arange(n - window + 1) + window + GRAM - 1 <= ends[line[: n - window + 1]]))
+        chosen = np.unique(at + np.lib.stride_tricks.sliding_window_view(found, window)[at].argmin(1))
+        out.append(((found[chosen] + np.uint64(band) * _FACTORS[0]).view(np.int64), line[chosen], chosen - (ends - sizes)[line[chosen]]))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (none, none, none)
+
+
 def node_of(line: str) -> int:
     """The number of a line: the same as Spark's xxhash64 of it."""
     return _signed(xxhash.xxh64_intdigest(line.encode(), seed=42))
@@ -147,13 +207,13 @@ def _occurring(least: int):
     return rows
 
 
-def _keyed(edits: int, least: int):
-    """(key, node, indexed): the keys of a task's distinct lines."""
+def _keyed(edits: int | None, least: int):
+    """(key, node, info): the keys of a task's distinct lines. info is 0 for index keys, 1 for probes, and from 2 on for grams (words << 32 | place) + 2."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            keys, nodes, indexed = [], [], []
+            keys, nodes, infos, fresh, worded, held = [], [], [], [], [], 0
             for text in batch.column("text"):
                 for _, line in _long_lines(text.as_py(), least):
                     node = node_of(line)
@@ -163,38 +223,99 @@ def _keyed(edits: int, least: int):
                     own, probes = index_keys(line, edits), probe_keys(line, edits)
                     keys += own + probes
                     nodes += [node] * (len(own) + len(probes))
-                    indexed += [True] * len(own) + [False] * len(probes)
+                    infos += [0] * len(own) + [1] * len(probes)
+                    if edits is None and len(w := line_words(line)) >= SHARE - 1:
+                        fresh.append(node)
+                        worded.append(w)
+                        held += len(w)
+                        if held > 100_000:
+                            yield _gram_rows(fresh, worded)
+                            fresh, worded, held = [], [], 0
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, dtype=np.uint64).view(np.int64)), pa.array(nodes, pa.int64()), pa.array(indexed, pa.bool_())], names=["key", "node", "indexed"])
+                yield _key_rows(np.array(keys, dtype=np.uint64).view(np.int64), np.array(nodes, dtype=np.int64), np.array(infos, dtype=np.int64))
+            if fresh:
+                yield _gram_rows(fresh, worded)
 
     return rows
 
 
+def _key_rows(*columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "node", "info"])
+
+
+def _gram_rows(nodes: list[int], lines: list[list[str]]) -> pa.RecordBatch:
+    key, line, place = grams(lines)
+    many = np.array([len(x) for x in lines], dtype=np.int64)
+    return _key_rows(key, np.array(nodes, dtype=np.int64)[line], (many[line] << 32 | place) + 2)
+
+
 def _starred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From keys sorted by (key, indexed first): each row of a key whose first row is an index row, with that row's node."""
+    """Edges from keys sorted by (key, info): each row of a key whose first row is an index row with that row's node, and what _chained makes of grams."""
     last_key, center = None, None
+    held = [np.zeros(0, dtype=np.int64)] * 3
+
+    def out(a, b):
+        pairs = np.unique(np.stack([a, b], 1)[a != b], axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], names=["a", "b"])
+
     for batch in batches:
-        key, node, indexed = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "node", "indexed"))
+        columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "node", "info")]
+        words = columns[2] >= 2
+        if words.any():
+            held = [np.concatenate([h, x[words]]) for h, x in zip(held, columns)]
+            last = int(np.searchsorted(held[0], held[0][-1]))
+            if last:
+                yield out(*_chained(*[x[:last] for x in held]))
+                held = [x[last:] for x in held]
+            if len(held[0]) > 20_000:  # the rest of a long group: its last lines are enough to go on
+                yield out(*_chained(*held))
+                held = [x[-POSTED - 1 :] for x in held]
+        key, node, info = (x[~words] for x in columns)
         if not len(key):
             continue
         first = np.r_[True, key[1:] != key[:-1]]
         carried = last_key is not None and key[0] == last_key
         head = np.flatnonzero(first)
-        heads = np.where(indexed[head], node[head], 0)
-        usable = indexed[head].astype(bool).copy()
+        usable = info[head] == 0
+        heads = np.where(usable, node[head], 0)
         if carried:
             heads[0], usable[0] = (center, True) if center is not None else (0, False)
         sizes = np.diff(np.r_[head, len(key)])
         centers, ok = np.repeat(heads, sizes), np.repeat(usable, sizes)
         last_key, center = key[-1], (int(heads[-1]) if usable[-1] else None)
-        ok &= centers != node
-        pairs = np.unique(np.stack([centers[ok], node[ok]], 1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], names=["a", "b"])
-
-
-def link_lines(lines: list[str], side: list[int] | None = None, edits: int = EDITS) -> list[tuple[int, int]]:
+        yield out(centers[ok], node[ok])
+    if len(held[0]):
+        yield out(*_chained(*held))
+
+
+def _chained(key: np.ndarray, node: np.ndarray, info: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (a, b) of lines with a gram in common: those that may link, or for grams of more than POSTED rows a chain by length that breaks where no link can cross."""
+    many, place = (info - 2) >> 32, (info - 2) & 0xFFFFFFFF
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    sizes = np.diff(np.r_[starts, len(key)])
+    size = np.repeat(sizes, sizes)
+    found_a, found_b = [], []
+    for d in range(1, POSTED):
+        i = np.flatnonzero((key[:-d] == key[d:]) & ((size[d:] <= POSTED) | (d == 1))) if len(key) > d else np.zeros(0, dtype=np.int64)
+        if not len(i):
+            break
+        j, most = i + d, many[i + d] // SHARE
+        ok = (many[j] - many[i] <= most) & ((size[i] > POSTED) | ((np.abs(place[j] - place[i]) <= most) & (np.abs(many[j] - place[j] - many[i] + place[i]) <= most)))
+        found_a.append(node[i[ok]])
+        found_b.append(node[j[ok]])
+    return (np.concatenate(found_a), np.concatenate(found_b)) if found_a else (node[:0], node[:0])
+
+
+def link_lines(lines: list[str], side: list[int] | None = None, edits: int | None = EDITS) -> list[tuple[int, int]]:
     """A spanning forest of the links among lines; with side, only links between different sides count."""
     up, forest, index = list(range(len(lines))), [], defaultdict(list)
+    words = [tuple(line_words(x)) for x in lines] if edits is None else []
+    sets = [set(x) for x in words]
+    shared: dict[int, set[int]] = defaultdict(set)
+    if words:
+        for key, x, _ in zip(*(c.tolist() for c in grams(words))):
+            shared[x].add(key)
+    posted = defaultdict(list)
 
     def root(x):
         while up[x] != x:
@@ -209,17 +330,27 @@ def link_lines(lines: list[str], side: list[int] | None = None, edits: int = EDI
                 if up[y] == own or y in tried or (side is not None and side[x] == side[y]):
                     continue
                 tried.add(y)
-                other = root(y)
-                if other != own and edit_distance(lines[x], lines[y], edits) <= edits:
+                other, most = root(y), bound(min(len(lines[x]), len(lines[y])), edits)
+                if other != own and edit_distance(lines[x], lines[y], most) <= most:
                     up[own] = other
                     own = other
                     forest.append((x, y))
         for key in index_keys(lines[x], edits):
             index[key].append(x)
+        for y in set().union(*(posted[key] for key in shared[x])) if words else ():
+            if up[y] == own or (side is not None and side[x] == side[y]):
+                continue
+            other, most = root(y), max(len(words[x]), len(words[y])) // SHARE
+            if other != own and len(sets[x] - sets[y]) <= most and edit_distance(words[x], words[y], most) <= most:
+                up[own] = other
+                own = other
+                forest.append((x, y))
+        for key in shared[x] if words else ():
+            posted[key].append(x)
     return forest
 
 
-def _verified(edits: int):
+def _verified(edits: int | None):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, nodes, lines, parts = None, [], [], []
 
@@ -263,10 +394,10 @@ def _texts(least: int, wanted):
     return rows
 
 
-def classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
+def classes(docs: DataFrame, edits: int | None = EDITS, least: int = LEAST_CHARS) -> DataFrame:
     """(node, class) of the lines that link with another line, from docs (doc_id, text)."""
     spark, texts = docs.sparkSession, docs.where("doc_id is not null").select("text")
-    keys = texts.mapInArrow(tidied(_keyed(edits, least)), "key long, node long, indexed boolean").repartition("key").sortWithinPartitions("key", F.desc("indexed"), "node")
+    keys = texts.mapInArrow(tidied(_keyed(edits, least)), "key long, node long, info long").repartition("key").sortWithinPartitions("key", "info", "node")
     blocks = components(keys.mapInArrow(tidied(_starred), "a long, b long"), "lines-blocks")
     members = written(blocks.withColumnRenamed("component", "block"), "lines-members")
     large = written(members.groupBy("block").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")).where("parts > 1"), "lines-large")
@@ -279,7 +410,7 @@ def classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> Da
     return components(moved.mapInArrow(tidied(_verified(edits)), "a long, b long"), "lines-links").select("node", F.col("component").alias("class"))
 
 
-def dropped(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
+def dropped(docs: DataFrame, edits: int | None = EDITS, least: int = LEAST_CHARS) -> DataFrame:
     """doc_id and lines, an array of struct(number, node) of the lines of that document that go."""
     occurring = written(docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(tidied(_occurring(least)), "doc_id long, number int, node long"), "lines-occurring")
     linked = written(classes(docs, edits, least), "lines-classes")
@@ -290,7 +421,7 @@ def dropped(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> Da
     return written(gone.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("number", "node"))).alias("lines")), "lines-dropped")
 
 
-def without_repeats(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, counts: bool = False) -> DataFrame:
+def without_repeats(docs: DataFrame, edits: int | None = EDITS, least: int = LEAST_CHARS, counts: bool = False) -> DataFrame:
     """docs with the repeated lines taken out of text; with counts also n_lines and n_dropped.
 
     Every line counts in full, however long; lines of fewer than least characters and blank ones always stay. A text that
@@ -310,7 +441,7 @@ def without_repeats(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHAR
     return joined.select(*columns)
 
 
-def line_digests(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
+def line_digests(docs: DataFrame, edits: int | None = EDITS, least: int = LEAST_CHARS) -> DataFrame:
     """doc_id, n_lines, n_dropped, text_sha256 (of the text that is left, null as empty) for every row of docs."""
     out = without_repeats(docs.select("doc_id", "text"), edits, least, counts=True)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("text_sha256"))

@@ -461,6 +461,58 @@ def test_lines(spark, rows, docs, empty, monkeypatch):
     assert got == sorted(without_lines(more), key=str)
 
 
+def plain_classes(lines):
+    """The smallest line of each line's class where the bound grows with the line, by all pairs."""
+    from folia.llm.lines import _plain, bound, edit_distance, line_words
+
+    up = {x: x for x in lines}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for x in lines:
+        for y in lines:
+            a, b = line_words(x), line_words(y)
+            if x < y and (edit_distance(x, y, most := bound(min(len(x), len(y)), None)) <= most or _plain(a, b, 99) <= max(len(a), len(b)) // 10):
+                up[root(x)] = root(y)
+    groups = collections.defaultdict(list)
+    for x in lines:
+        groups[root(x)].append(x)
+    return {x: min(g) for g in groups.values() for x in g}
+
+
+def test_lines_with_replaced_words(spark, monkeypatch):
+    """The bound grows with the line: one word in ten may be another, and typos may be in as many words."""
+    import folia.llm.lines as M
+
+    r = random.Random(17)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(3, 9)))
+    lines = []
+    for n in (8, 9, 10, 11, 19, 20, 27, 29, 30, 31, 36, 40, 41, 81, 90, 100, 140):
+        base = [word() for _ in range(n)]
+        for edits in (0, 1, n // 10, n // 10 + 1):
+            w = list(base)
+            for k in r.sample(range(n), edits):
+                w[k] = r.choice([word(), f"{word()} {word()}", w[k][:1] + "zz" + w[k][2:], ""])
+            lines.append(" ".join(x for x in w if x))
+    a, b = "menu " + " ".join(word() for _ in range(11)), "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(60))
+    lines += [a, a.replace("menu", "another"), b, b[:20] + "\u4e00\u4e01\u4e02\u4e03" + b[24:]]
+    lines = sorted({x for x in lines if len(x) >= 40})
+    expected = plain_classes(lines)
+    assert len(set(expected.values())) < len(lines) - 20 and expected[a] == expected[a.replace("menu", "another")]
+    for posted in (M.POSTED, 2):
+        monkeypatch.setattr(M, "POSTED", posted)
+        r.shuffle(lines)
+        got = M.without_repeats(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(3), edits=None)
+        kept = {x.text for x in got.collect() if x.text}
+        firsts = {}
+        for x in lines:
+            firsts.setdefault(expected[x], x)
+        assert kept == set(firsts.values())
+
+
 # 9 equal texts
 
 
