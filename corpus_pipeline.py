@@ -25,7 +25,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Near copies of earlier lines go from the texts; n_chars follows the text."""
     light_batches(spark)
-    out = without_repeats(docs, edits=None)
+    out = without_repeats(docs, edits=None, least=1)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

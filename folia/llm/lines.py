@@ -7,7 +7,8 @@ substrings that can match (bounds from the left and from the right of each segme
 connect lines to blocks by stars, never by all pairs; every link lies within a block. In a block the same join runs in
 memory, and banded bit-parallel edit distance verifies each pair of lines that are not yet connected.
 
-With edits=None the bound grows with the line (the registered query and the pipeline): lines also link if at most one in
+With edits=None the bound grows with the line (the registered query and the pipeline, over all lines that aren't blank):
+0 edits below 20 characters of the shorter line, 1 below 40, then 2; lines of 40 and more also link if at most one in
 SHARE of the longer one's words is inserted, deleted or replaced. Such lines have a run of words in common that is long
 enough to hold a selected gram of GRAM words: of each window of grams the smallest hash is selected, in windows that
 BANDS fixes by the number of words. Lines with a gram in common are paired if lengths and places allow a link; a gram of
@@ -35,6 +36,8 @@ from folia.llm.common import BLANKS, components, small, tidied, written
 
 #: Edits up to which lines link, and the characters that a line needs to take part; shorter lines always stay.
 EDITS, LEAST_CHARS = 2, 40
+#: With edits=None: the characters that a line needs for each edit, and so those below which only equal lines are one.
+SHORT = 20
 #: Lines of a block that meet in one task, and lines of blocks up to which tasks filter texts before they move.
 PART, FILTERED = 1500, 500_000
 #: One in so many words may differ where the bound grows with the line, words in a gram, and lines of a gram up to which pairs are made.
@@ -114,11 +117,13 @@ def segments(n: int, edits: int = EDITS) -> list[tuple[int, int]]:
 
 def bound(n: int, edits: int | None = EDITS) -> int:
     """The edits up to which a line of n characters and one that is no shorter link."""
-    return EDITS if edits is None else edits
+    return min(EDITS, n // SHORT) if edits is None else edits
 
 
 def index_keys(line: str, edits: int | None = EDITS) -> list[int]:
     n = len(line)
+    if edits is None and n < SHORT:
+        return []
     edits = bound(n, edits)
     return [_key(line[s : s + w], n, k, edits) for k, (s, w) in enumerate(segments(n, edits))]
 
@@ -126,6 +131,8 @@ def index_keys(line: str, edits: int | None = EDITS) -> list[int]:
 def probe_keys(line: str, edits: int | None = EDITS) -> list[int]:
     """The keys under which lines of at most this length within the edits are indexed, one of them at least for each."""
     n, out = len(line), []
+    if edits is None and n < SHORT:
+        return []
     for less in range(min(n, bound(n, edits)) + 1):
         most = bound(n - less, edits)
         if less > most:
@@ -224,7 +231,7 @@ def _keyed(edits: int | None, least: int):
                     keys += own + probes
                     nodes += [node] * (len(own) + len(probes))
                     infos += [0] * len(own) + [1] * len(probes)
-                    if edits is None and len(w := line_words(line)) >= SHARE - 1:
+                    if edits is None and len(line) >= LEAST_CHARS and len(w := line_words(line)) >= SHARE - 1:
                         fresh.append(node)
                         worded.append(w)
                         held += len(w)
@@ -309,7 +316,7 @@ def _chained(key: np.ndarray, node: np.ndarray, info: np.ndarray) -> tuple[np.nd
 def link_lines(lines: list[str], side: list[int] | None = None, edits: int | None = EDITS) -> list[tuple[int, int]]:
     """A spanning forest of the links among lines; with side, only links between different sides count."""
     up, forest, index = list(range(len(lines))), [], defaultdict(list)
-    words = [tuple(line_words(x)) for x in lines] if edits is None else []
+    words = [tuple(line_words(x)) if len(x) >= LEAST_CHARS else () for x in lines] if edits is None else []
     sets = [set(x) for x in words]
     shared: dict[int, set[int]] = defaultdict(set)
     if words:
@@ -424,7 +431,7 @@ def dropped(docs: DataFrame, edits: int | None = EDITS, least: int = LEAST_CHARS
 def without_repeats(docs: DataFrame, edits: int | None = EDITS, least: int = LEAST_CHARS, counts: bool = False) -> DataFrame:
     """docs with the repeated lines taken out of text; with counts also n_lines and n_dropped.
 
-    Every line counts in full, however long; lines of fewer than least characters and blank ones always stay. A text that
+    Every line counts in full, however long; lines of fewer than least characters (none with least=1) and blank ones always stay. A text that
     loses all its lines becomes empty and its row stays. Null and empty texts stay as they are. Rows with a null doc_id
     stay as they are and are not looked at. Rows that share a doc_id and a text are one document and lose the same lines.
     An empty table gives an empty result. Other columns pass through.

@@ -58,7 +58,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folia.llm.lines import line_digests
 
     light_batches(spark)
-    return line_digests(documents(spark, sf_dir), edits=None)
+    return line_digests(documents(spark, sf_dir), edits=None, least=1)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -513,6 +513,19 @@ def test_lines_with_replaced_words(spark, monkeypatch):
         assert kept == set(firsts.values())
 
 
+def test_short_lines(spark):
+    """Short lines take part: equal ones of any length, those of 20 characters and more within one edit."""
+    import folia.llm.lines as M
+
+    a, b, c = "a notice of 25 characters", "x" * 19, "a line of words that has 39 characters."
+    rows = [(0, f"Menu\n \n{a}\n{b}\nx"), (1, f"Menu\n\n{a}s\n{b[1:]}y\n{c}"), (2, f"Menu\n{a[2:]}\n{b}\n{c[:10]}{c[11:]}\n{c}!!"), (3, "x\nMenu")]
+    assert (len(a), len(c)) == (25, 39)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = {r.doc_id: r.text for r in M.without_repeats(df, edits=None, least=1).collect()}
+    assert got == {0: rows[0][1], 1: f"\n{b[1:]}y\n{c}", 2: f"{a[2:]}\n{c}!!", 3: ""}
+    assert [r.n_dropped for r in M.line_digests(df, edits=None, least=1).orderBy("doc_id").collect()] == [0, 2, 3, 2]
+
+
 # 9 equal texts
 
 
