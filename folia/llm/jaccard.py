@@ -233,6 +233,11 @@ def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from work(*held)
 
 
+def _once(edges: DataFrame) -> DataFrame:
+    """Each edge once. An edge that any star needs is a star's: the suffix filter mustn't take a member out of its star."""
+    return edges.groupBy("a", "b").agg(F.max("star").alias("star"))
+
+
 def _suffixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         c = [batch.column(x).to_pylist() for x in ("a", "b", "n_a", "n_b", "sig_a", "sig_b")]
@@ -339,7 +344,7 @@ def linked(docs: DataFrame) -> DataFrame:
     groups = written(groups.where("node is not null"), "jaccard-groups")
     counts = spark.sparkContext.broadcast(sketch(tables))
     postings = texts.mapInArrow(tidied(_posted(counts)), "token long, lo long, n int, place int").repartition("token").sortWithinPartitions("token", "n", "lo")
-    pairs = written(postings.mapInArrow(tidied(_paired), "a long, b long, star boolean").groupBy("a", "b").agg(F.min("star").alias("star")), "jaccard-pairs")
+    pairs = written(postings.mapInArrow(tidied(_paired), "a long, b long, star boolean").transform(_once), "jaccard-pairs")
     sigs = written(groups.select("lo", "n", "sig"), "jaccard-signatures")
     first, second = (sigs.select(F.col("lo").alias(k), F.col("n").alias(f"n_{k}"), F.col("sig").alias(f"sig_{k}")) for k in "ab")
     near = pairs.where("not star").select("a", "b").join(first, "a").join(second, "b").select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(tidied(_suffixed), "a long, b long")

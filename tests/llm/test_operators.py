@@ -372,6 +372,14 @@ def test_jaccard_with_stars_and_parts(spark, monkeypatch):
     assert {x.doc_id: x.component_id for x in J.linked(df).collect()} == {i: c for i, (_, c) in expected.items()}
 
 
+def test_edges_of_stars_stay(spark):
+    """An edge of a star that a rare shingle also yields as a pair stays an edge of the star."""
+    from folia.llm.jaccard import _once
+
+    df = spark.createDataFrame([(1, 2, True), (1, 2, False), (1, 3, False), (1, 3, False), (1, 4, True)], "a long, b long, star boolean")
+    assert sorted(map(tuple, _once(df).collect())) == [(1, 2, True), (1, 3, False), (1, 4, True)]
+
+
 def test_link_sets_equals_all_pairs():
     from folia.llm.jaccard import histogram, least_overlap, link_sets, may_link
 
