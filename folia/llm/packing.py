@@ -179,21 +179,22 @@ def library_encoder(path: str) -> tuple[Callable[[str], np.ndarray], int]:
     """How the tokenizers library encodes a text with the file at path, without special tokens, and its vocabulary's size.
 
     A byte-level file without normaliser encodes each piece of a text alone, so its model is asked once for a piece and
-    the answer is kept. Texts with characters beyond the plain ones, and other kinds of files, go to the library whole.
+    the answer is kept. Texts that contain an added token or characters beyond the plain ones, and other kinds of files, go
+    to the library whole.
     """
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     before = spec.get("pre_tokenizer") or {}
     by_piece = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not spec.get("normalizer") and not spec.get("truncation") and not spec.get("padding")
+    added = [x["content"] for x in spec.get("added_tokens") or []]
     letters, tokenize = _byte_letters(), library.model.tokenize
     memo = Memo(lambda piece: np.array([t.id for t in tokenize(piece.encode().decode("latin-1").translate(letters))], "<u4").tobytes(), KEPT)
 
     def encode(text: str) -> np.ndarray:
-        if by_piece and plain(text):
+        if by_piece and plain(text) and not any(x in text for x in added):
             return np.frombuffer(b"".join(map(memo.__getitem__, pieces(text))), "<u4")
         return np.array(library.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 

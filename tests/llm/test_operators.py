@@ -136,6 +136,17 @@ def test_encoder_equals_the_library():
         assert encode(s).tolist() == library.encode(s, add_special_tokens=False).ids
 
 
+def test_added_tokens_equal_the_library():
+    """The library as it is loaded takes an added token in a text as that token."""
+    from folia.llm.packing import library_encoder
+
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    encode, _ = library_encoder(P.path("byte_bpe_50k.json"))
+    assert encode("x <|endoftext|> y").tolist() == [87, 220, 50256, 331]
+    for s in ("<|endoftext|>", "a<|endoftext|><|endoftext|> b", "漢 <|endoftext|>é", "<|endoftext|", "one two"):
+        assert encode(s).tolist() == library.encode(s, add_special_tokens=False).ids
+
+
 # 3 prefix tables
 
 
