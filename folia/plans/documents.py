@@ -327,9 +327,9 @@ UNION ALL SELECT 'n' || n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 90 ELSE
 
 
 def metadata(spark, sf_dir):
-    """Titles in UTF-16 from the first characters of documents, authors in Latin-1."""
-    d = _t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string"), F.substring("text", 1, 40).alias("title"), F.concat(F.lit("é "), "source").alias("author"), F.lit("20240101").alias("day"))
-    return Corpus(corpora.titled(d)).documents.select("doc_id", "version", "page_count", "encrypted", *[f"metadata.{x}" for x in ("format", "title", "author", "subject", "creationDate", "encryption")])
+    """Titles in UTF-16 from whole texts of documents, authors in Latin-1; the SQL shows the first characters of a title."""
+    d = _t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string"), F.col("text").alias("title"), F.concat(F.lit("é "), "source").alias("author"), F.lit("20240101").alias("day"))
+    return Corpus(corpora.titled(d)).documents.select("doc_id", "version", "page_count", "encrypted", "metadata.format", F.substring("metadata.title", 1, 40).alias("title"), *[f"metadata.{x}" for x in ("author", "subject", "creationDate", "encryption")])
 
 
 METADATA = "SELECT CAST(doc_id AS VARCHAR) AS doc_id, '1.7' AS version, 0 AS page_count, false AS encrypted, 'PDF 1.7' AS format, text[1:40] AS title, 'é ' || source AS author, NULL::VARCHAR AS subject, 'D:20240101' AS creationDate, NULL::VARCHAR AS encryption FROM documents"

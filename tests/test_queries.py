@@ -42,3 +42,16 @@ def test_entry_without_the_optional_subpackage(monkeypatch):
 
     monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
     assert set(entry.queries()) == set(QUERIES) and set(entry.oracle_sql()) == set(ORACLES)
+
+
+def test_titles_are_whole_texts(spark, monkeypatch):
+    """metadata writes the whole text of each document as its title, and whole titles are read."""
+    from folia.plans import corpora
+    from folia.sources.tables import Corpus
+
+    seen, titled = [], corpora.titled
+    monkeypatch.setattr(documents.corpora, "titled", lambda df: seen.append(df) or titled(df))
+    assert documents.metadata(spark, SF).where("length(title) > 40").count() == 0
+    texts = {str(r.doc_id): r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect() if r.text}
+    found = {r.doc_id: r.title for r in Corpus(titled(seen[0])).documents.select("doc_id", "metadata.title").collect() if r.doc_id in texts}
+    assert max(map(len, texts.values())) > 10_000 and found == texts
