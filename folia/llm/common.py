@@ -25,10 +25,12 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or a new one where it is unset."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir, or where it is unset and Spark runs in this machine alone, a new one."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="folia-shared-"))
         found = sc.getCheckpointDir()
     return found.rstrip("/")
@@ -50,9 +52,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcast if it was counted and is small; otherwise df as it is. df should be cheap to count."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, weight: Column | None = None) -> DataFrame:
+    """df marked for broadcast if it has at most so many rows (with weight: of at most ten times that weight in all); otherwise df as it is. df should be cheap to count."""
+    head = df.limit(rows + 1)
+    n, heavy = head.agg(F.count("*"), F.coalesce(F.sum(weight if weight is not None else F.lit(0)), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and heavy <= 10 * rows else df
+
+
+def column(name: str) -> Column:
+    """The column of exactly this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def light_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -92,16 +101,17 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def components(edges: DataFrame, label: str = "components", rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """The connected components of undirected edges (a long, b long): rows (node, component), component the smallest node.
 
     Large-star and small-star steps alternate, each a shuffle on one end of the edges; the driver sees counts alone.
-    Every round is written to the shared folder. Loops and repeated edges are harmless; null ends are left out.
+    Every round is written to the shared folder; rounds go on until every edge leads to the smallest node, or nothing changes.
+    Loops and repeated edges are harmless; null ends are left out.
     """
     pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u is not null and v is not null and u <> v").distinct()
     pairs = written(pairs, label)
     state = None
-    for _ in range(rounds):
+    while True:
         both = pairs.select("u", "v").union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()

@@ -26,12 +26,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folia.llm import sketch
 from folia.llm.common import components, small, tidied, written
 
 #: Words in a shingle, and the similarity from which documents link, in hundredths.
 WORDS, PERCENT = 5, 80
-#: Bits of the sketch's width (4 million counts) and its pieces.
-SKETCH_BITS, SKETCH_PIECES = 22, 64
 #: Sets that may post a shingle before it yields a star in place of pairs, and sets of a block that meet in one task.
 POSTED, PART = 32, 1500
 
@@ -89,16 +88,9 @@ def may_link(a: bytes, n_a: int, b: bytes, n_b: int) -> bool:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each document, then the task's counts, each piece as 16-bit places and 32-bit counts. Copies count once in a task."""
+    """A row for each document, then the pieces of the task's counts. Copies count once in a task."""
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("sig", pa.binary()), ("piece", pa.int32()), ("counts", pa.binary())])
-    counts, waiting, held, seen = np.zeros(1 << SKETCH_BITS, dtype=np.uint32), [], 0, set()
-
-    def add():
-        nonlocal waiting, held
-        if waiting:
-            counts[:] += np.bincount((np.concatenate(waiting) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts)).astype(np.uint32)
-        waiting, held = [], 0
-
+    counter, seen = sketch.Counter(), set()
     for batch in batches:
         rows = []
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
@@ -108,49 +100,14 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows.append((doc_id, len(found), hi, lo, histogram(found).tobytes() if len(found) else None))
             if (hi, lo) not in seen:
                 seen.add((hi, lo))
-                waiting.append(found)
-                held += len(found)
-                if held > 1 << 20:
-                    add()
+                counter.add(found)
         columns = list(zip(*rows)) or [()] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, schema)] + [pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.binary())], schema=schema)
-    add()
-    if counts.any():
-        pieces = [(k, _sparse(x)) for k, x in enumerate(counts.reshape(SKETCH_PIECES, -1)) if x.any()]
+    if pieces := counter.pieces():
         n = len(pieces)
         yield pa.RecordBatch.from_arrays([pa.nulls(n, f.type) for f in list(schema)[:5]] + [pa.array([k for k, _ in pieces], pa.int32()), pa.array([x for _, x in pieces], pa.binary())], schema=schema)
 
 
-def _sparse(x: np.ndarray) -> bytes:
-    at = np.flatnonzero(x)
-    return at.astype("<u2").tobytes() + x[at].astype("<u4").tobytes()
-
-
-def _dense(data: bytes, into: np.ndarray) -> None:
-    n = len(data) // 6
-    into[np.frombuffer(data, "<u2", n)] += np.frombuffer(data, "<u4", n, 2 * n)
-
-
-def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sum of each piece's counts in a partition."""
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for piece, data in zip(batch.column("piece").to_pylist(), batch.column("counts").to_pylist()):
-            _dense(data, sums.setdefault(piece, np.zeros((1 << SKETCH_BITS) // SKETCH_PIECES, dtype=np.uint32)))
-    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([_sparse(x) for x in sums.values()], pa.binary())], names=["piece", "counts"])
-
-
-def sketch(tables: DataFrame) -> np.ndarray:
-    """The counts of all tasks: 2**SKETCH_BITS numbers, whatever the input's size."""
-    rows = tables.where("piece is not null").select("piece", "counts")
-    for key in (["piece", F.spark_partition_id() % 16], ["piece"]):
-        rows = rows.repartition(*[F.col(k) if isinstance(k, str) else k for k in key]).mapInArrow(tidied(_added), "piece int, counts binary")
-    out = np.zeros((SKETCH_PIECES, (1 << SKETCH_BITS) // SKETCH_PIECES), dtype=np.uint32)
-    for r in rows.toLocalIterator():
-        _dense(bytes(r.counts), out[r.piece])
-    return out.ravel()
-
-
 def _posted(shared):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = shared.value, set()
@@ -163,7 +120,7 @@ def _posted(shared):
                     continue
                 seen.add(lo)
                 n, k = len(found), prefix_length(len(found))
-                known = np.minimum(counts[(found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], (1 << 23) - 1).astype(np.uint64)
+                known = np.minimum(counts[sketch.places(found)], (1 << 23) - 1).astype(np.uint64)
                 first = np.argsort((known << np.uint64(40)) | (found >> np.uint64(24)), kind="stable")[:k]
                 tokens.append(found[first].view(np.int64))
                 los.append(np.full(k, lo))
@@ -342,7 +299,7 @@ def linked(docs: DataFrame) -> DataFrame:
     rows = tables.where("piece is null").select("doc_id", "n", "hi", "lo", "sig")
     groups = rows.where("n > 0").groupBy("n", "hi", "lo").agg(F.min("doc_id").alias("node"), F.count("*").alias("many"), F.first("sig").alias("sig"))
     groups = written(groups.where("node is not null"), "jaccard-groups")
-    counts = spark.sparkContext.broadcast(sketch(tables))
+    counts = spark.sparkContext.broadcast(sketch.total(tables.where("piece is not null").select("piece", "counts")))
     postings = texts.mapInArrow(tidied(_posted(counts)), "token long, lo long, n int, place int").repartition("token").sortWithinPartitions("token", "n", "lo")
     pairs = written(postings.mapInArrow(tidied(_paired), "a long, b long, star boolean").transform(_once), "jaccard-pairs")
     sigs = written(groups.select("lo", "n", "sig"), "jaccard-signatures")

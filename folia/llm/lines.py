@@ -3,50 +3,57 @@
 Two lines link if at most EDITS insertions, deletions or substitutions of characters turn one into the other. A line is
 cut into EDITS + 1 segments; a line within EDITS of it must contain one of them unchanged, near its place. So each line
 is indexed by (length, segment number, segment), and probes the lengths from its own down to EDITS less with the few
-substrings that can match (bounds from the left and from the right of each segment). Index and probe keys that meet
-connect lines to blocks by stars, never by all pairs; every link lies within a block. In a block the same join runs in
-memory, and banded bit-parallel edit distance verifies each pair of lines that are not yet connected.
+substrings that can match (bounds from the left and from the right of each segment). Banded bit-parallel edit distance
+verifies the pairs of lines whose keys meet.
 
 With edits=None the bound grows with the line (the registered query and the pipeline, over all lines that aren't blank):
 0 edits below 20 characters of the shorter line, 1 below 40, then 2; lines of 40 and more also link if at most one in
-SHARE of the longer one's words is inserted, deleted or replaced. Such lines have a run of words in common that is long
-enough to hold a selected gram of GRAM words: of each window of grams the smallest hash is selected, in windows that
-BANDS fixes by the number of words. Lines with a gram in common are paired if lengths and places allow a link; a gram of
-more than POSTED lines chains lines of near lengths instead. A letter of a script written without blanks is a word.
-
-Linked lines form classes. The occurrence of a class with the smallest (doc_id, line number) stays, all others go.
-
-Scale: only hashes move for all lines, 3 index and 12 probe keys of 16 bytes a distinct line. Texts move only for lines
-in blocks. Equal lines are one line from the start, so a line that a third of all documents share costs no more.
+SHARE of the longer one's words is inserted, deleted or replaced. Where that is one word, lines are cut into two segments
+of words. Beyond, probes would grow as the cube of the edits; such a line posts its rarest pairs of neighbouring words
+instead, as many as the edits can break and one more, so two lines that link share one, at about the same place. A sketch
+of all pairs gives the order; any order finds every link. From WORDY words on these keys also find what EDITS edits of
+characters leave alike. A letter of a script written without blanks is a word.
+
+Keys of up to POSTED lines yield their pairs. A more frequent key first yields a chain, in which each line meets its next
+CHAIN ones; then the lines of such keys, as numbers and histograms of characters and words, are compared with all lines of
+the key that are in another class by then, in tiles of PART by PART lines, and only pairs whose histograms leave room for a
+link are verified. So copies in great numbers cost a chain, and no link is lost.
+
+Linked lines form classes. The occurrence of a class with the smallest (doc_id, line number) stays, all others go. Lines
+are told apart by two 64-bit hashes.
+
+Scale: only hashes move for all lines, about 24 bytes for each key; a line has up to 21 keys when it is short, and one for
+five words when it is long. Texts move only for lines whose keys meet another's. Equal lines are one line from the start, so
+a line that a third of all documents share costs no more.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter as Tally
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folia.llm.common import BLANKS, components, small, tidied, written
+from folia.llm import sketch
+from folia.llm.common import BLANKS, column, components, small, tidied, written
+from folia.llm.line_keys import ANYWHERE, EDITS, KINDS, LEAST_CHARS, SHARE, Chunk, bound, keys, pair_hashes, slack, worded
 
-#: Edits up to which lines link, and the characters that a line needs to take part; shorter lines always stay.
-EDITS, LEAST_CHARS = 2, 40
-#: With edits=None: the characters that a line needs for each edit, and so those below which only equal lines are one.
-SHORT = 20
-#: Lines of a block that meet in one task, and lines of blocks up to which tasks filter texts before they move.
-PART, FILTERED = 1500, 500_000
-#: One in so many words may differ where the bound grows with the line, words in a gram, and lines of a gram up to which pairs are made.
-SHARE, GRAM, POSTED = 10, 4, 32
-#: (words from which, grams in a window): two lines that link, the longer one of so many words, share a run of GRAM + window - 1 words.
-BANDS = [(10, 2), (30, 4), (40, 5), (90, 6)]
+#: Lines of a key up to which all its pairs are made, and the next ones that a line of a more frequent key meets in its chain.
+POSTED, CHAIN = 32, 4
+#: Lines of a frequent key that meet in one task, and rows of numbers up to which a side is broadcast.
+PART, FILTERED = 20_000, 500_000
+#: Characters whose keys are made at once.
+CHUNK = 200_000
+#: Buckets of the histograms of characters and words.
+CHARS, WORDS = 16, 32
 
 _WORDS = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]|[^\x20\x09-\x0d\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]+")
-_FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 
 def edit_distance(a: str | tuple, b: str | tuple, most: int) -> int:
@@ -104,347 +111,324 @@ def _plain(a: str, b: str, most: int) -> int:
     return min(row[-1], most + 1)
 
 
-def segments(n: int, edits: int = EDITS) -> list[tuple[int, int]]:
-    """(start, length) of the segments of a line of n characters; the later ones are longer by one where n doesn't divide."""
-    size, more = divmod(n, edits + 1)
-    out, at = [], 0
-    for k in range(edits + 1):
-        step = size + (k >= edits + 1 - more)
-        out.append((at, step))
-        at += step
-    return out
-
-
-def bound(n: int, edits: int | None = EDITS) -> int:
-    """The edits up to which a line of n characters and one that is no shorter link."""
-    return min(EDITS, n // SHORT) if edits is None else edits
-
-
 def index_keys(line: str, edits: int | None = EDITS) -> list[int]:
-    n = len(line)
-    if edits is None and n < SHORT:
-        return []
-    edits = bound(n, edits)
-    return [_key(line[s : s + w], n, k, edits) for k, (s, w) in enumerate(segments(n, edits))]
+    """The keys under which a line is indexed by its segments."""
+    key, _, info = keys([line], edits, np.zeros(1 << sketch.BITS, dtype=np.uint32) if edits is None else None)
+    return key[info == 0].tolist()
 
 
 def probe_keys(line: str, edits: int | None = EDITS) -> list[int]:
     """The keys under which lines of at most this length within the edits are indexed, one of them at least for each."""
-    n, out = len(line), []
-    if edits is None and n < SHORT:
-        return []
-    for less in range(min(n, bound(n, edits)) + 1):
-        most = bound(n - less, edits)
-        if less > most:
-            break
-        for k, (s, w) in enumerate(segments(n - less, most)):
-            low = max(s - k, s + less - (most - k), 0)
-            high = min(s + k, s + less + (most - k), n - w)
-            out.extend(_key(line[p : p + w], n - less, k, most) for p in range(low, high + 1))
-    return out
-
-
-def _key(segment: str, n: int, k: int, edits: int) -> int:
-    return xxhash.xxh3_64_intdigest(segment.encode("utf-8", "surrogatepass"), seed=n * (edits + 1) + k)
-
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+    key, _, info = keys([line], edits, np.zeros(1 << sketch.BITS, dtype=np.uint32) if edits is None else None)
+    return key[info == 1].tolist()
 
 
 def line_words(line: str) -> list[str]:
     return _WORDS.findall(line)
 
 
-def bands(m: int) -> list[int]:
-    """The bands in which a line of m words meets lines that it may link with: its own, and the next if they reach down to m."""
-    return [k for k, (low, _) in enumerate(BANDS) if (k + 1 == len(BANDS) or m < BANDS[k + 1][0]) and low - low // SHARE <= m]
-
-
-def grams(lines: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, number of the line, place in it) of the selected grams of lines, given as words; two lines that link by words share a key."""
-    sizes = np.array([len(x) for x in lines], dtype=np.int64)
-    none = np.zeros(0, dtype=np.int64)
-    if sizes.sum() < GRAM:
-        return none, none, none
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for x in lines for w in x), dtype=np.uint64, count=int(sizes.sum()))
-    n = len(hashes) - GRAM + 1
-    found = np.zeros(n, dtype=np.uint64)
-    for k in range(GRAM):
-        found += hashes[k : k + n] * _FACTORS[k]
-    found ^= found >> np.uint64(32)
-    found *= np.uint64(0xD6E8FEB86659FD93)
-    found ^= found >> np.uint64(29)
-    ends = np.cumsum(sizes)
-    line = np.repeat(np.arange(len(lines)), sizes)[:n]
-    posts = [bands(int(m)) for m in sizes]
-    out = []
-    for band, (_, window) in enumerate(BANDS):
-        taking = np.array([band in x for x in posts], dtype=bool)
-        if n < window or not taking.any():
-            continue
-        at = np.flatnonzero(taking[line[: n - window + 1]] & (np.arange(n - window + 1) + window + GRAM - 1 <= ends[line[: n - window + 1]]))
-        chosen = np.unique(at + np.lib.stride_tricks.sliding_window_view(found, window)[at].argmin(1))
-        out.append(((found[chosen] + np.uint64(band) * _FACTORS[0]).view(np.int64), line[chosen], chosen - (ends - sizes)[line[chosen]]))
-    return tuple(np.concatenate(x) for x in zip(*out)) if out else (none, none, none)
-
-
-def node_of(line: str) -> int:
-    """The number of a line: the same as Spark's xxhash64 of it."""
-    return _signed(xxhash.xxh64_intdigest(line.encode(), seed=42))
-
+def links(x: str, y: str, edits: int | None = EDITS) -> bool:
+    """Whether two lines link."""
+    most = int(bound(min(len(x), len(y)), edits))
+    if edit_distance(x, y, most) <= most:
+        return True
+    if edits is not None or min(len(x), len(y)) < LEAST_CHARS:
+        return False
+    a, b = line_words(x), line_words(y)
+    most = max(len(a), len(b)) // SHARE
+    if not most or abs(len(a) - len(b)) > most or sum((Tally(a) - Tally(b)).values()) > most:
+        return False
+    return edit_distance(tuple(a), tuple(b), most) <= most
+
+
+def _distinct(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[list[int], list[str]]]:
+    """The distinct lines of a task, as many at a time as make up CHUNK characters, and their numbers."""
+    seen: set[int] = set()
+    nodes, lines, held = [], [], 0
+    for batch in batches:
+        for text in batch.column("text"):
+            for line in (text.as_py() or "").split("\n"):
+                if len(line) < least or not line.strip(BLANKS):
+                    continue
+                node = xxhash.xxh64_intdigest(line.encode(), seed=42)
+                if node in seen:
+                    continue
+                seen.add(node)
+                nodes.append(node)
+                lines.append(line)
+                held += len(line)
+                if held >= CHUNK:
+                    yield nodes, lines
+                    nodes, lines, held = [], [], 0
+    if lines:
+        yield nodes, lines
 
-def _long_lines(text: str | None, least: int) -> Iterator[tuple[int, str]]:
-    for number, line in enumerate((text or "").split("\n")):
-        if len(line) >= least and line.strip(BLANKS):
-            yield number, line
 
+def _counted(least: int):
+    """The pieces of a task's counts of pairs of words in lines that meet by them."""
 
-def _occurring(least: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, numbers, nodes = [], [], []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                for number, line in _long_lines(text.as_py(), least):
-                    ids.append(doc_id)
-                    numbers.append(number)
-                    nodes.append(node_of(line))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(nodes, pa.int64())], names=["doc_id", "number", "node"])
+        counter = sketch.Counter()
+        for _, lines in _distinct(batches, max(least, LEAST_CHARS)):
+            chunk = Chunk(lines)
+            counter.add(pair_hashes(chunk, worded(chunk))[0])
+        pieces = counter.pieces()
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in pieces], pa.int32()), pa.array([x for _, x in pieces], pa.binary())], names=["piece", "counts"])
 
     return rows
 
 
-def _keyed(edits: int | None, least: int):
-    """(key, node, info): the keys of a task's distinct lines. info is 0 for index keys, 1 for probes, and from 2 on for grams (words << 32 | place) + 2."""
+def _keyed(edits: int | None, least: int, shared):
+    """(key, node, info): the keys of a task's distinct lines. info is 0 for index keys, 1 for probes, and from 2 on for pairs of words (words << 32 | place) + 2."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            keys, nodes, infos, fresh, worded, held = [], [], [], [], [], 0
-            for text in batch.column("text"):
-                for _, line in _long_lines(text.as_py(), least):
-                    node = node_of(line)
-                    if node in seen:
-                        continue
-                    seen.add(node)
-                    own, probes = index_keys(line, edits), probe_keys(line, edits)
-                    keys += own + probes
-                    nodes += [node] * (len(own) + len(probes))
-                    infos += [0] * len(own) + [1] * len(probes)
-                    if edits is None and len(line) >= LEAST_CHARS and len(w := line_words(line)) >= SHARE - 1:
-                        fresh.append(node)
-                        worded.append(w)
-                        held += len(w)
-                        if held > 100_000:
-                            yield _gram_rows(fresh, worded)
-                            fresh, worded, held = [], [], 0
-            if keys:
-                yield _key_rows(np.array(keys, dtype=np.uint64).view(np.int64), np.array(nodes, dtype=np.int64), np.array(infos, dtype=np.int64))
-            if fresh:
-                yield _gram_rows(fresh, worded)
+        counts = shared.value if shared is not None else None
+        for nodes, lines in _distinct(batches, least if edits is not None else max(least, 1)):
+            key, line, info = keys(lines, edits, counts)
+            node = np.array(nodes, dtype=np.uint64).view(np.int64)[line]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, node, info)], names=["key", "node", "info"])
 
     return rows
 
 
-def _key_rows(*columns: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "node", "info"])
+def _may_link(info_a, info_b):
+    """Whether rows of a key can be of lines that link: segments always, pairs of words by the number of words and their places in them."""
+    m_a, m_b, at_a, at_b = (info_a - 2) >> 32, (info_b - 2) >> 32, (info_a - 2) & ANYWHERE, (info_b - 2) & ANYWHERE
+    most = slack(np.maximum(m_a, m_b))
+    near = (np.abs(at_a - at_b) <= most) & (np.abs((m_a - at_a) - (m_b - at_b)) <= most)
+    return (info_a < 2) | ((np.abs(m_a - m_b) <= most) & (near | (at_a == ANYWHERE) | (at_b == ANYWHERE)))
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From keys sorted by (key, info, node): pairs (a, b) of lines that may link, and for keys of more than POSTED rows chains and the rows (a, key, info) themselves."""
+    names = ["key", "node", "info"]
+    held, old = [np.zeros(0, dtype=np.int64)] * 3, 0  # rows of a key that goes on; of a frequent one the last rows, of which `old` have been given out
+
+    def out(found, rows=None):
+        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), dtype=np.int64)
+        n, (key, node, info) = len(pairs), rows or [pairs[:0, 0]] * 3
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.r_[pairs[:, 0], node]), pa.concat_arrays([pa.array(pairs[:, 1]), pa.nulls(len(node), pa.int64())]), pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(key)]), pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(info)])],
+            names=["a", "b", "key", "info"],
+        )
+
+    def paired(node, i, j):
+        low, high = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+        return np.stack([low, high], 1)[low != high]
+
+    def few(key, node, info):
+        """All pairs of keys of up to POSTED rows."""
+        found = []
+        for d in range(1, POSTED):
+            i = np.flatnonzero(key[:-d] == key[d:]) if len(key) > d else key[:0]
+            if not len(i):
+                break
+            ok = ((info[i] != 0) | (info[i + d] == 1)) & ((info[i] != 1)) & _may_link(info[i], info[i + d])
+            found.append(paired(node, i[ok], i[ok] + d))
+        return out(found)
+
+    def many(rows, given):
+        """The chain of rows of frequent keys, all but the first `given` of them new."""
+        key, node, info = rows
+        found = []
+        for d in range(1, CHAIN + 1):
+            i = np.flatnonzero((key[:-d] == key[d:]) & _may_link(info[:-d], info[d:])) if len(key) > d else key[:0]
+            found.append(paired(node, i[i + d >= given], i[i + d >= given] + d))
+        return out(found, [x[given:] for x in rows])
+
+    def whole(rows):
+        key = rows[0]
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        sizes = np.diff(np.r_[starts, len(key)])
+        size = np.repeat(sizes, sizes)
+        if (pick := (size > 1) & (size <= POSTED)).any():
+            yield few(*[x[pick] for x in rows])
+        if (pick := size > POSTED).any():
+            yield many([x[pick] for x in rows], 0)
 
+    for batch in batches:
+        now = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+        if not len(now[0]):
+            continue
+        if old:
+            more = int(np.searchsorted(now[0], held[0][0], "right"))
+            rows = [np.concatenate([h, x[:more]]) for h, x in zip(held, now)]
+            if more:
+                yield many(rows, old)
+            now = [x[more:] for x in now]
+            if not len(now[0]):
+                held = [x[-CHAIN:] for x in rows]
+                old = len(held[0])
+                continue
+            held, old = [x[:0] for x in held], 0
+        now = [np.concatenate([h, x]) for h, x in zip(held, now)]
+        cut = int(np.searchsorted(now[0], now[0][-1]))
+        if cut:
+            yield from whole([x[:cut] for x in now])
+        held = [x[cut:] for x in now]
+        if len(held[0]) > POSTED:
+            yield many(held, 0)
+            held = [x[-CHAIN:] for x in held]
+            old = len(held[0])
+    if not old and len(held[0]):
+        yield from whole(held)
+
+
+def _verified(edits: int | None):
+    """The links among pairs of lines."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = pa.array([links(x, y, edits) for x, y in zip(batch.column("line_a").to_pylist(), batch.column("line_b").to_pylist())], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(ok) for c in ("a", "check_a", "b", "check_b")], names=["a", "check_a", "b", "check_b"])
 
-def _gram_rows(nodes: list[int], lines: list[list[str]]) -> pa.RecordBatch:
-    key, line, place = grams(lines)
-    many = np.array([len(x) for x in lines], dtype=np.int64)
-    return _key_rows(key, np.array(nodes, dtype=np.int64)[line], (many[line] << 32 | place) + 2)
+    return rows
 
 
-def _starred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges from keys sorted by (key, info): each row of a key whose first row is an index row with that row's node, and what _chained makes of grams."""
-    last_key, center = None, None
-    held = [np.zeros(0, dtype=np.int64)] * 3
+def shape(line: str) -> bytes:
+    """Histograms of a line's characters and words: one edit moves each by 2 at most."""
+    codes = np.frombuffer(line.encode("utf-32-le"), dtype="<u4")
+    words = np.fromiter((xxhash.xxh3_64_intdigest(w.encode()) % WORDS for w in line_words(line)), dtype=np.int64)
+    counts = np.r_[np.bincount((codes * np.uint32(0x9E3779B1)) >> np.uint32(28), minlength=CHARS), np.bincount(words, minlength=WORDS)]
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
-    def out(a, b):
-        pairs = np.unique(np.stack([a, b], 1)[a != b], axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], names=["a", "b"])
 
+def _shaped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "node", "info")]
-        words = columns[2] >= 2
-        if words.any():
-            held = [np.concatenate([h, x[words]]) for h, x in zip(held, columns)]
-            last = int(np.searchsorted(held[0], held[0][-1]))
-            if last:
-                yield out(*_chained(*[x[:last] for x in held]))
-                held = [x[last:] for x in held]
-            if len(held[0]) > 20_000:  # the rest of a long group: its last lines are enough to go on
-                yield out(*_chained(*held))
-                held = [x[-POSTED - 1 :] for x in held]
-        key, node, info = (x[~words] for x in columns)
-        if not len(key):
-            continue
-        first = np.r_[True, key[1:] != key[:-1]]
-        carried = last_key is not None and key[0] == last_key
-        head = np.flatnonzero(first)
-        usable = info[head] == 0
-        heads = np.where(usable, node[head], 0)
-        if carried:
-            heads[0], usable[0] = (center, True) if center is not None else (0, False)
-        sizes = np.diff(np.r_[head, len(key)])
-        centers, ok = np.repeat(heads, sizes), np.repeat(usable, sizes)
-        last_key, center = key[-1], (int(heads[-1]) if usable[-1] else None)
-        yield out(centers[ok], node[ok])
-    if len(held[0]):
-        yield out(*_chained(*held))
-
-
-def _chained(key: np.ndarray, node: np.ndarray, info: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (a, b) of lines with a gram in common: those that may link, or for grams of more than POSTED rows a chain by length that breaks where no link can cross."""
-    many, place = (info - 2) >> 32, (info - 2) & 0xFFFFFFFF
-    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    sizes = np.diff(np.r_[starts, len(key)])
-    size = np.repeat(sizes, sizes)
-    found_a, found_b = [], []
-    for d in range(1, POSTED):
-        i = np.flatnonzero((key[:-d] == key[d:]) & ((size[d:] <= POSTED) | (d == 1))) if len(key) > d else np.zeros(0, dtype=np.int64)
-        if not len(i):
-            break
-        j, most = i + d, many[i + d] // SHARE
-        ok = (many[j] - many[i] <= most) & ((size[i] > POSTED) | ((np.abs(place[j] - place[i]) <= most) & (np.abs(many[j] - place[j] - many[i] + place[i]) <= most)))
-        found_a.append(node[i[ok]])
-        found_b.append(node[j[ok]])
-    return (np.concatenate(found_a), np.concatenate(found_b)) if found_a else (node[:0], node[:0])
-
-
-def link_lines(lines: list[str], side: list[int] | None = None, edits: int | None = EDITS) -> list[tuple[int, int]]:
-    """A spanning forest of the links among lines; with side, only links between different sides count."""
-    up, forest, index = list(range(len(lines))), [], defaultdict(list)
-    words = [tuple(line_words(x)) if len(x) >= LEAST_CHARS else () for x in lines] if edits is None else []
-    sets = [set(x) for x in words]
-    shared: dict[int, set[int]] = defaultdict(set)
-    if words:
-        for key, x, _ in zip(*(c.tolist() for c in grams(words))):
-            shared[x].add(key)
-    posted = defaultdict(list)
-
-    def root(x):
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    for x in sorted(range(len(lines)), key=lambda i: (len(lines[i]), lines[i])):
-        own, tried = root(x), set()
-        for key in probe_keys(lines[x], edits):
-            for y in index.get(key, ()):
-                if up[y] == own or y in tried or (side is not None and side[x] == side[y]):
-                    continue
-                tried.add(y)
-                other, most = root(y), bound(min(len(lines[x]), len(lines[y])), edits)
-                if other != own and edit_distance(lines[x], lines[y], most) <= most:
-                    up[own] = other
-                    own = other
-                    forest.append((x, y))
-        for key in index_keys(lines[x], edits):
-            index[key].append(x)
-        for y in set().union(*(posted[key] for key in shared[x])) if words else ():
-            if up[y] == own or (side is not None and side[x] == side[y]):
+        lines = batch.column("line").to_pylist()
+        sizes = [pa.array([len(x) for x in lines], pa.int64()), pa.array([len(line_words(x)) for x in lines], pa.int64())]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), *sizes, pa.array([shape(x) for x in lines], pa.binary())], names=["node", "n", "m", "shape"])
+
+
+def _compared(edits: int | None):
+    """Pairs (a, b) from tiles (key, i, j) of the rows of a frequent key, sorted by tile and info: those of different classes whose histograms leave room for a link."""
+
+    def compare(rows, across):
+        node, info, part, group, n, m, shapes = rows
+        found = []
+        for x in range(len(node) - 1):
+            y = np.arange(x + 1, len(node))
+            if info[x] >= 2:  # sorted by words: no link reaches further
+                y = y[: int(np.searchsorted(m[x + 1 :], m[x] * SHARE // (SHARE - 1) + 5))]
+            y = y[(group[y] != group[x]) & (node[y] != node[x]) & _may_link(info[x], info[y])]
+            if across:
+                y = y[part[y] != part[x]]
+            if not len(y):
                 continue
-            other, most = root(y), max(len(words[x]), len(words[y])) // SHARE
-            if other != own and len(sets[x] - sets[y]) <= most and edit_distance(words[x], words[y], most) <= most:
-                up[own] = other
-                own = other
-                forest.append((x, y))
-        for key in shared[x] if words else ():
-            posted[key].append(x)
-    return forest
+            apart = np.abs(shapes[y] - shapes[x])
+            least, most = np.minimum(n[y], n[x]), np.maximum(m[y], m[x]) // SHARE
+            ok = (np.abs(n[y] - n[x]) <= bound(least, edits)) & (apart[:, :CHARS].sum(1) <= 2 * bound(least, edits))
+            if edits is None:
+                ok |= (least >= LEAST_CHARS) & (np.abs(m[y] - m[x]) <= most) & (apart[:, CHARS:].sum(1) <= 2 * most)
+            y = y[ok]
+            found.append(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])], 1))
+        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), dtype=np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-
-def _verified(edits: int | None):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, nodes, lines, parts = None, [], [], []
+        tile, held = None, []
 
         def done():
-            links = link_lines(lines, None if key[1] == key[2] else parts, edits) if len(lines) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([nodes[x] for x, _ in links], pa.int64()), pa.array([nodes[y] for _, y in links], pa.int64())], names=["a", "b"]) if links else None
+            columns = [np.concatenate([h[c] for h in held]) for c in range(7)]
+            return compare(columns, tile[1] != tile[2])
 
         for batch in batches:
-            for *now, part, node, line in zip(*[batch.column(c).to_pylist() for c in ("block", "i", "j", "part", "node", "line")]):
-                if now != key:
-                    if key and (found := done()) is not None:
-                        yield found
-                    key, nodes, lines, parts = now, [], [], []
-                if not lines or lines[-1] != line:  # equal lines of several documents follow each other
-                    nodes.append(node)
-                    lines.append(line)
-                    parts.append(part)
-        if key and (found := done()) is not None:
-            yield found
+            numbers = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "i", "j", "node", "info", "part", "group", "n", "m")]
+            shapes = np.frombuffer(b"".join(batch.column("shape").to_pylist()), dtype=np.uint8).reshape(-1, CHARS + WORDS).astype(np.int16)
+            tiles = np.stack(numbers[:3], 1)
+            edges = np.r_[0, np.flatnonzero((tiles[1:] != tiles[:-1]).any(1)) + 1, len(tiles)]
+            for low, high in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                if low == high:
+                    continue
+                if held and tuple(tiles[low]) != tile:
+                    yield done()
+                    held = []
+                tile = tuple(tiles[low])
+                held.append([x[low:high] for x in numbers[3:]] + [shapes[low:high]])
+        if held:
+            yield done()
 
     return rows
 
 
-def _texts(least: int, wanted):
-    """(node, line) of a task's distinct lines, those wanted alone if that is known."""
+def numbered(line: Column) -> tuple[Column, Column]:
+    """The number of a line, and a second hash: what tells lines apart."""
+    return F.xxhash64(line), F.xxhash64(F.lit(1), line)
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        chosen = wanted.value if wanted is not None else None
-        for batch in batches:
-            nodes, lines = [], []
-            for text in batch.column("text"):
-                for _, line in _long_lines(text.as_py(), least):
-                    node = node_of(line)
-                    if node not in seen and (chosen is None or node in chosen):
-                        seen.add(node)
-                        nodes.append(node)
-                        lines.append(line)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(lines, pa.string())], names=["node", "line"])
 
-    return rows
+def _taking_part(docs: DataFrame, least: int, *more: Column) -> DataFrame:
+    """number, line and more columns for the lines of docs that take part."""
+    lines = docs.select(*more, F.posexplode(F.split("text", "\n")).alias("number", "line")).where(F.trim("line", F.lit(BLANKS)) != "")
+    return lines.where(F.length("line") >= least) if least > 1 else lines
 
 
 def classes(docs: DataFrame, edits: int | None = EDITS, least: int = LEAST_CHARS) -> DataFrame:
-    """(node, class) of the lines that link with another line, from docs (doc_id, text)."""
-    spark, texts = docs.sparkSession, docs.where("doc_id is not null").select("text")
-    keys = texts.mapInArrow(tidied(_keyed(edits, least)), "key long, node long, info long").repartition("key").sortWithinPartitions("key", "info", "node")
-    blocks = components(keys.mapInArrow(tidied(_starred), "a long, b long"), "lines-blocks")
-    members = written(blocks.withColumnRenamed("component", "block"), "lines-members")
-    large = written(members.groupBy("block").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")).where("parts > 1"), "lines-large")
-    tiles = members.join(small(large), "block", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    tiles = tiles.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("node", "block", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-    tiles, wanted = written(tiles, "lines-tiles"), None
-    if members.limit(FILTERED + 1).count() <= FILTERED:
-        wanted = spark.sparkContext.broadcast({r.node for r in members.select("node").toLocalIterator()})
-    moved = texts.mapInArrow(tidied(_texts(least, wanted)), "node long, line string").join(small(tiles), "node").repartition("block", "i", "j").sortWithinPartitions("block", "i", "j", "node", "line")
-    return components(moved.mapInArrow(tidied(_verified(edits)), "a long, b long"), "lines-links").select("node", F.col("component").alias("class"))
+    """(node, check, class) of the lines that link with another line, from docs (doc_id, text)."""
+    spark, texts, shared = docs.sparkSession, docs.select("text"), None
+    if edits is None:
+        shared = spark.sparkContext.broadcast(sketch.total(texts.mapInArrow(tidied(_counted(least)), "piece int, counts binary")))
+    posted = texts.mapInArrow(tidied(_keyed(edits, least, shared)), "key long, node long, info long").repartition("key").sortWithinPartitions("key", "info", "node")
+    met = written(posted.mapInArrow(tidied(_met), "a long, b long, key long, info long"), "lines-met")
+    pairs = written(met.where("key is null").select("a", "b").distinct(), "lines-pairs")
+    frequent = met.where("key is not null").select("key", F.col("a").alias("node"), "info")
+    wanted = written(pairs.select("a").union(pairs.select("b")).union(frequent.select("node")).distinct().select(F.col("a").alias("node")), "lines-wanted")
+    node, check = numbered(F.col("line"))
+    lines = _taking_part(texts, least).select(node.alias("node"), check.alias("check"), "line").join(small(wanted, FILTERED), "node")
+    lines = written(lines.groupBy("node").agg(F.min(F.struct("check", "line")).alias("_")).select("node", "_.*"), "lines-texts")
+    first, second = (lines.select(F.col("node").alias(k), F.col("check").alias(f"check_{k}"), F.col("line").alias(f"line_{k}")) for k in "ab")
+
+    def verified(found: DataFrame) -> DataFrame:
+        both = found.join(first, "a").join(second, "b").select("a", "check_a", "line_a", "b", "check_b", "line_b")
+        return written(both.mapInArrow(tidied(_verified(edits)), "a long, check_a long, b long, check_b long"), "lines-links")
+
+    linked = verified(pairs)
+    if frequent.limit(1).count():
+        near = written(components(linked.select("a", "b"), "lines-near").withColumnRenamed("component", "group"), "lines-groups")
+        shapes = lines.join(frequent.select("node").distinct(), "node", "left_semi").mapInArrow(tidied(_shaped), "node long, n long, m long, shape binary")
+        rows = written(frequent.join(shapes, "node").join(near, "node", "left").withColumn("group", F.coalesce("group", "node")), "lines-frequent")
+        open_keys = rows.groupBy("key").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"), F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("key", "parts")
+        tiles = rows.join(small(written(open_keys, "lines-open")), "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        tiles = tiles.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
+        tiles = tiles.select("key", "i", "j", "node", "info", "part", "group", "n", "m", "shape").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "info", "node")
+        late = written(tiles.mapInArrow(tidied(_compared(edits)), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"), "lines-late")
+        linked = linked.union(verified(late))
+    ends = linked.select(F.col("a").alias("node"), F.col("check_a").alias("check")).union(linked.select("b", "check_b")).distinct()
+    return ends.join(components(linked.select("a", "b"), "lines-classes"), "node").select("node", "check", F.col("component").alias("class"))
 
 
 def dropped(docs: DataFrame, edits: int | None = EDITS, least: int = LEAST_CHARS) -> DataFrame:
-    """doc_id and lines, an array of struct(number, node) of the lines of that document that go."""
-    occurring = written(docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(tidied(_occurring(least)), "doc_id long, number int, node long"), "lines-occurring")
-    linked = written(classes(docs, edits, least), "lines-classes")
-    named = occurring.join(small(linked, FILTERED), "node", "left").withColumn("class", F.coalesce("class", "node"))
-    first = named.groupBy("class").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "number")).alias("first")).where("n > 1").select("class", F.col("first.doc_id").alias("_doc"), F.col("first.number").alias("_number"))
-    first = written(first, "lines-first")
-    gone = named.join(small(first), "class").where("doc_id <> _doc or number <> _number")
-    return written(gone.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("number", "node"))).alias("lines")), "lines-dropped")
+    """doc_id, text_id (xxhash64 of the text) and gone, an array of struct(block, bits): bit k of a block stands for line 64 * block + k of that text, which goes."""
+    node, check = numbered(F.col("line"))
+    occurring = _taking_part(docs, least, F.col("doc_id"), F.xxhash64("text").alias("text_id")).select("doc_id", "text_id", "number", node.alias("node"), check.alias("check"))
+    occurring = written(occurring, "lines-occurring")
+    linked = written(classes(docs.select("doc_id", "text"), edits, least), "lines-linked")
+    place = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_id", "number")
+    named = occurring.join(small(linked, FILTERED), ["node", "check"], "left")
+    named = named.select("doc_id", "text_id", "number", place.alias("place"), F.coalesce("class", "node").alias("class"), F.when(F.col("class").isNull(), F.col("check")).otherwise(0).alias("alone"))
+    first = written(named.groupBy("class", "alone").agg(F.count("*").alias("n"), F.min("place").alias("first")).where("n > 1").drop("n"), "lines-first")
+    gone = named.join(small(first), ["class", "alone"]).where(F.col("place") != F.col("first")).select("doc_id", "text_id", "number")
+    bits = gone.groupBy("doc_id", "text_id", F.floor(F.col("number") / 64).cast("int").alias("block")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("number") % 64)).alias("bits"))
+    return written(bits.groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("block", "bits")).alias("gone")), "lines-dropped")
 
 
 def without_repeats(docs: DataFrame, edits: int | None = EDITS, least: int = LEAST_CHARS, counts: bool = False) -> DataFrame:
     """docs with the repeated lines taken out of text; with counts also n_lines and n_dropped.
 
     Every line counts in full, however long; lines of fewer than least characters (none with least=1) and blank ones always stay. A text that
-    loses all its lines becomes empty and its row stays. Null and empty texts stay as they are. Rows with a null doc_id
-    stay as they are and are not looked at. Rows that share a doc_id and a text are one document and lose the same lines.
-    An empty table gives an empty result. Other columns pass through.
+    loses all its lines becomes empty and its row stays. Null and empty texts stay as they are. Rows with a null doc_id come
+    after all others. Rows that share a doc_id and a text are one document and lose the same lines; of different texts that
+    share a doc_id one comes first, the same in every run. An empty table gives an empty result. Other columns pass through.
     """
-    gone = dropped(docs, edits, least).select(F.col("doc_id").alias("_id"), F.col("lines").alias("_gone"))
-    packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_doc"), "text")
-    joined = packed.join(small(gone), F.col("_doc") == F.col("_id"), "left").withColumn("_all", F.split("text", "\n"))
-    left = F.filter("_all", lambda x, i: ~F.array_contains(F.col("_gone"), F.struct(i.alias("number"), F.xxhash64(x).alias("node"))))
+    gone = dropped(docs.select("doc_id", "text"), edits, least).select(F.col("doc_id").alias("_id"), F.col("text_id").alias("_text_id"), F.map_from_entries("gone").alias("_gone"))
+    packed = docs.select(F.struct(*[column(c) for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_doc"), F.col("text").alias("_text"))
+    same = F.col("_doc").eqNullSafe(F.col("_id")) & (F.xxhash64("_text") == F.col("_text_id"))
+    joined = packed.join(small(gone, weight=F.size("_gone")), same, "left").withColumn("_all", F.split("_text", "\n"))
+    left = F.filter("_all", lambda _, i: F.coalesce(F.bit_get(F.element_at("_gone", F.floor(i / 64).cast("int")), i % 64), F.lit(0)) == 0)
     joined = joined.withColumn("_left", F.when(F.col("_gone").isNull(), F.col("_all")).otherwise(left))
-    columns = [F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join("_left", "\n")).alias(c) if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns]
+    columns = [F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(F.array_join("_left", "\n")).alias(c) if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns]
     if counts:
-        size = F.coalesce(F.size("_all"), F.lit(0)).cast("long")
-        columns += [F.when(F.col("text").isNull(), 0).otherwise(size).cast("long").alias("n_lines"), F.when(F.col("text").isNull(), 0).otherwise(F.size("_all") - F.size("_left")).cast("long").alias("n_dropped")]
+        sizes = F.coalesce(F.size("_all"), F.lit(0)), F.coalesce(F.size("_all") - F.size("_left"), F.lit(0))
+        columns += [F.when(F.col("_text").isNull(), 0).otherwise(x).cast("long").alias(name) for name, x in zip(("n_lines", "n_dropped"), sizes)]
     return joined.select(*columns)
 
 

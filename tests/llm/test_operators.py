@@ -435,7 +435,7 @@ def test_edit_distance_equals_the_table():
 def without_lines(rows):
     from folia.llm.lines import _plain
 
-    lines = sorted({x for i, t in rows if i is not None for x in (t or "").split("\n") if len(x) >= 40 and words(x)}, key=lambda x: (len(x), x))
+    lines = sorted({x for _, t in rows for x in (t or "").split("\n") if len(x) >= 40 and words(x)}, key=lambda x: (len(x), x))
     up = {x: x for x in lines}
 
     def root(x):
@@ -453,12 +453,12 @@ def without_lines(rows):
     first = {}
     for i, t in rows:
         for k, x in enumerate((t or "").split("\n")):
-            if i is not None and x in up:
-                first[root(x)] = min(first.get(root(x), (1 << 60, 0)), (i, k))
+            if x in up:
+                first[root(x)] = min(first.get(root(x), (True, 1 << 60, 0)), (i is None, i, k))
     out = []
     for i, t in rows:
         own = t.split("\n") if t is not None else []
-        left = [x for k, x in enumerate(own) if i is None or x not in up or first[root(x)] == (i, k)]
+        left = [x for k, x in enumerate(own) if x not in up or first[root(x)] == (i is None, i, k)]
         out.append((i, len(own), len(own) - len(left), hashlib.sha256("\n".join(left).encode()).hexdigest()))
     return out
 
@@ -476,8 +476,43 @@ def test_lines(spark, rows, docs, empty, monkeypatch):
     more = [(k, "\n".join(base[:a] + r.choice("xyz") + base[a + r.randrange(2) :] for a in (r.randrange(60), r.randrange(60)))) for k in range(60)]
     monkeypatch.setattr(M, "PART", 20)
     monkeypatch.setattr(M, "FILTERED", 3)
-    got = sorted(map(tuple, M.line_digests(spark.createDataFrame(more, "doc_id long, text string")).collect()), key=str)
-    assert got == sorted(without_lines(more), key=str)
+    for posted in (M.POSTED, 3):  # keys of more lines make chains, then tiles
+        monkeypatch.setattr(M, "POSTED", posted)
+        got = sorted(map(tuple, M.line_digests(spark.createDataFrame(more, "doc_id long, text string")).collect()), key=str)
+        assert got == sorted(without_lines(more), key=str)
+
+
+def test_numbers_of_lines(spark):
+    """The driver's numbers of lines are those of the workers, and equal numbers alone don't make two lines one."""
+    from folia.llm.lines import numbered
+
+    lines = ["", "a", "é line", "x" * 100]
+    rows = spark.createDataFrame([(x,) for x in lines], "line string").select("line", *numbered(F.col("line"))).collect()
+    assert [r[1] % (1 << 64) for r in rows] == [xxhash.xxh64_intdigest(r.line.encode(), seed=42) for r in rows]
+    assert all(r[1] != r[2] for r in rows) and len({r[2] for r in rows}) == 4
+
+
+def test_met_finds_every_pair_that_keys_allow(monkeypatch):
+    """Pairs of keys of few rows, chains and rows of frequent ones, wherever batches end."""
+    import pyarrow as pa
+
+    import folia.llm.lines as M
+
+    monkeypatch.setattr(M, "POSTED", 5)
+    r = random.Random(6)
+    rows = sorted({(k, (r.randrange(20, 22) << 32 | r.randrange(2)) + 2, r.randrange(10**6)) for k in range(40) for _ in range(r.choice([1, 2, 4, 5, 6, 9, 30]))})
+    groups = collections.defaultdict(list)
+    for k, info, node in rows:
+        groups[k].append((node, info))
+    for size in (1, 3, 7, 1000):
+        batches = [pa.RecordBatch.from_arrays([pa.array([x[c] for x in rows[s : s + size]], pa.int64()) for c in (0, 2, 1)], names=["key", "node", "info"]) for s in range(0, len(rows), size)]
+        got = [x for b in M._met(iter(batches)) for x in b.to_pylist()]
+        pairs = {(x["a"], x["b"]) for x in got if x["key"] is None}
+        frequent = sorted((x["key"], x["info"], x["a"]) for x in got if x["key"] is not None)
+        assert frequent == [x for x in rows if len(groups[x[0]]) > 5]
+        small = {tuple(sorted((a, b))) for g in groups.values() if len(g) <= 5 for a, _ in g for b, _ in g if a < b}
+        chains = {tuple(sorted((g[i][0], g[i + d][0]))) for g in groups.values() if len(g) > 5 for d in range(1, M.CHAIN + 1) for i in range(len(g) - d)}
+        assert pairs == small | chains
 
 
 def plain_classes(lines):
@@ -521,8 +556,9 @@ def test_lines_with_replaced_words(spark, monkeypatch):
     lines = sorted({x for x in lines if len(x) >= 40})
     expected = plain_classes(lines)
     assert len(set(expected.values())) < len(lines) - 20 and expected[a] == expected[a.replace("menu", "another")]
-    for posted in (M.POSTED, 2):
+    for posted, part in ((M.POSTED, M.PART), (2, 3)):
         monkeypatch.setattr(M, "POSTED", posted)
+        monkeypatch.setattr(M, "PART", part)
         r.shuffle(lines)
         got = M.without_repeats(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(3), edits=None)
         kept = {x.text for x in got.collect() if x.text}
