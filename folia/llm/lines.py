@@ -48,16 +48,17 @@ from folia.llm.line_keys import ANYWHERE, EDITS, KINDS, LEAST_CHARS, SHARE, Chun
 POSTED, CHAIN = 32, 4
 #: Lines of a frequent key that meet in one task, and rows of numbers up to which a side is broadcast.
 PART, FILTERED = 20_000, 500_000
-#: Characters whose keys are made at once.
-CHUNK = 200_000
+#: Characters whose keys are made at once, rows of keys that are gathered before they are paired, and pairs of lines that are compared at once.
+CHUNK, GATHERED, CELLS = 200_000, 100_000, 1 << 18
 #: Buckets of the histograms of characters and words.
-CHARS, WORDS = 16, 32
+CHARS, WORDS = 16, 128
 
 _WORDS = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]|[^\x20\x09-\x0d\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]+")
 
 
 def edit_distance(a: str | tuple, b: str | tuple, most: int) -> int:
     """The edit distance of a and b, or most + 1 if it is greater. Bit-parallel over a band of 2 * most + 1 diagonals."""
+    most = int(most)  # the masks below need whole numbers of any size
     if abs(len(a) - len(b)) > most:
         return most + 1
     start, stop = 0, min(len(a), len(b))
@@ -199,6 +200,20 @@ def _may_link(info_a, info_b):
     return (info_a < 2) | ((np.abs(m_a - m_b) <= most) & (near | (at_a == ANYWHERE) | (at_b == ANYWHERE)))
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[np.ndarray]]:
+    """The columns of batches, GATHERED rows or more at a time."""
+    waiting, n = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            waiting.append([batch.column(c).to_numpy(zero_copy_only=False) for c in names])
+            n += batch.num_rows
+        if n >= GATHERED:
+            yield [np.concatenate(x) for x in zip(*waiting)]
+            waiting, n = [], 0
+    if n:
+        yield [np.concatenate(x) for x in zip(*waiting)]
+
+
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From keys sorted by (key, info, node): pairs (a, b) of lines that may link, and for keys of more than POSTED rows chains and the rows (a, key, info) themselves."""
     names = ["key", "node", "info"]
@@ -246,10 +261,7 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (pick := size > POSTED).any():
             yield many([x[pick] for x in rows], 0)
 
-    for batch in batches:
-        now = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
-        if not len(now[0]):
-            continue
+    for now in _gathered(batches, names):
         if old:
             more = int(np.searchsorted(now[0], held[0][0], "right"))
             rows = [np.concatenate([h, x[:more]]) for h, x in zip(held, now)]
@@ -285,19 +297,44 @@ def _verified(edits: int | None):
     return rows
 
 
-def shape(line: str) -> bytes:
-    """Histograms of a line's characters and words: one edit moves each by 2 at most."""
-    codes = np.frombuffer(line.encode("utf-32-le"), dtype="<u4")
-    words = np.fromiter((xxhash.xxh3_64_intdigest(w.encode()) % WORDS for w in line_words(line)), dtype=np.int64)
-    counts = np.r_[np.bincount((codes * np.uint32(0x9E3779B1)) >> np.uint32(28), minlength=CHARS), np.bincount(words, minlength=WORDS)]
-    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+def shape(line: str) -> tuple[int, int, bytes]:
+    """The number of a line's characters and words, and histograms of them: one edit moves each by 2 at most."""
+    codes, words = np.frombuffer(line.encode("utf-32-le"), dtype="<u4"), line_words(line)
+    places = np.fromiter((xxhash.xxh3_64_intdigest(w.encode()) % WORDS for w in words), dtype=np.int64, count=len(words))
+    counts = np.r_[np.bincount((codes * np.uint32(0x9E3779B1)) >> np.uint32(28), minlength=CHARS), np.bincount(places, minlength=WORDS)]
+    return len(line), len(words), np.minimum(counts, 255).astype(np.uint8).tobytes()
 
 
 def _shaped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        lines = batch.column("line").to_pylist()
-        sizes = [pa.array([len(x) for x in lines], pa.int64()), pa.array([len(line_words(x)) for x in lines], pa.int64())]
-        yield pa.RecordBatch.from_arrays([batch.column("node"), *sizes, pa.array([shape(x) for x in lines], pa.binary())], names=["node", "n", "m", "shape"])
+        n, m, shapes = list(zip(*map(shape, batch.column("line").to_pylist()))) or [()] * 3
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(shapes, pa.binary())], names=["node", "n", "m", "shape"])
+
+
+def _shapes(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, CHARS + WORDS).astype(np.int16)
+
+
+def _room(n_a, n_b, m_a, m_b, apart, edits: int | None):
+    """Whether sizes and the differences of histograms leave room for a link."""
+    least, most = np.minimum(n_a, n_b), np.maximum(m_a, m_b) // SHARE
+    few = bound(least, edits)
+    ok = (np.abs(n_a - n_b) <= few) & (apart[..., :CHARS].sum(-1) <= 2 * few)
+    if edits is None:
+        ok |= (least >= LEAST_CHARS) & (np.abs(m_a - m_b) <= most) & (apart[..., CHARS:].sum(-1) <= 2 * most)
+    return ok
+
+
+def _roomy(edits: int | None):
+    """The pairs whose histograms leave room for a link."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("n_a", "n_b", "m_a", "m_b")]
+            ok = pa.array(_room(*sizes, np.abs(_shapes(batch.column("shape_a")) - _shapes(batch.column("shape_b"))), edits))
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(ok) for c in ("a", "b")], names=["a", "b"])
+
+    return rows
 
 
 def _compared(edits: int | None):
@@ -305,23 +342,24 @@ def _compared(edits: int | None):
 
     def compare(rows, across):
         node, info, part, group, n, m, shapes = rows
-        found = []
-        for x in range(len(node) - 1):
-            y = np.arange(x + 1, len(node))
+        found, x = [], 0
+        while x < len(node) - 1:
+            end = len(node)
+            rows = max(1, CELLS // (end - x))
             if info[x] >= 2:  # sorted by words: no link reaches further
-                y = y[: int(np.searchsorted(m[x + 1 :], m[x] * SHARE // (SHARE - 1) + 5))]
-            y = y[(group[y] != group[x]) & (node[y] != node[x]) & _may_link(info[x], info[y])]
+                end = int(np.searchsorted(m, m[min(x + rows, end) - 1] * SHARE // (SHARE - 1) + 5))
+            i, j = np.meshgrid(np.arange(x, min(x + rows, end)), np.arange(x + 1, end), indexing="ij")
+            ok = (j > i) & (group[i] != group[j]) & (node[i] != node[j])
             if across:
-                y = y[part[y] != part[x]]
-            if not len(y):
-                continue
-            apart = np.abs(shapes[y] - shapes[x])
-            least, most = np.minimum(n[y], n[x]), np.maximum(m[y], m[x]) // SHARE
-            ok = (np.abs(n[y] - n[x]) <= bound(least, edits)) & (apart[:, :CHARS].sum(1) <= 2 * bound(least, edits))
-            if edits is None:
-                ok |= (least >= LEAST_CHARS) & (np.abs(m[y] - m[x]) <= most) & (apart[:, CHARS:].sum(1) <= 2 * most)
-            y = y[ok]
-            found.append(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])], 1))
+                ok &= part[i] != part[j]
+            i, j = i[ok], j[ok]
+            ok = _may_link(info[i], info[j])
+            i, j = i[ok], j[ok]
+            for s in range(0, len(i), CELLS // WORDS):
+                a, b = i[s : s + CELLS // WORDS], j[s : s + CELLS // WORDS]
+                ok = _room(n[a], n[b], m[a], m[b], np.abs(shapes[a] - shapes[b]), edits)
+                found.append(np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b])], 1)[ok])
+            x += rows
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), dtype=np.int64)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
@@ -334,8 +372,7 @@ def _compared(edits: int | None):
 
         for batch in batches:
             numbers = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "i", "j", "node", "info", "part", "group", "n", "m")]
-            shapes = np.frombuffer(b"".join(batch.column("shape").to_pylist()), dtype=np.uint8).reshape(-1, CHARS + WORDS).astype(np.int16)
-            tiles = np.stack(numbers[:3], 1)
+            shapes, tiles = _shapes(batch.column("shape")), np.stack(numbers[:3], 1)
             edges = np.r_[0, np.flatnonzero((tiles[1:] != tiles[:-1]).any(1)) + 1, len(tiles)]
             for low, high in zip(edges[:-1].tolist(), edges[1:].tolist()):
                 if low == high:
@@ -375,16 +412,17 @@ def classes(docs: DataFrame, edits: int | None = EDITS, least: int = LEAST_CHARS
     node, check = numbered(F.col("line"))
     lines = _taking_part(texts, least).select(node.alias("node"), check.alias("check"), "line").join(small(wanted, FILTERED), "node")
     lines = written(lines.groupBy("node").agg(F.min(F.struct("check", "line")).alias("_")).select("node", "_.*"), "lines-texts")
+    shapes = written(lines.select("node", "line").mapInArrow(tidied(_shaped), "node long, n long, m long, shape binary"), "lines-shapes")
     first, second = (lines.select(F.col("node").alias(k), F.col("check").alias(f"check_{k}"), F.col("line").alias(f"line_{k}")) for k in "ab")
 
     def verified(found: DataFrame) -> DataFrame:
         both = found.join(first, "a").join(second, "b").select("a", "check_a", "line_a", "b", "check_b", "line_b")
         return written(both.mapInArrow(tidied(_verified(edits)), "a long, check_a long, b long, check_b long"), "lines-links")
 
-    linked = verified(pairs)
+    one, other = (shapes.select(F.col("node").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("n", "m", "shape")]) for k in "ab")
+    linked = verified(written(pairs.join(one, "a").join(other, "b").mapInArrow(tidied(_roomy(edits)), "a long, b long"), "lines-roomy"))
     if frequent.limit(1).count():
         near = written(components(linked.select("a", "b"), "lines-near").withColumnRenamed("component", "group"), "lines-groups")
-        shapes = lines.join(frequent.select("node").distinct(), "node", "left_semi").mapInArrow(tidied(_shaped), "node long, n long, m long, shape binary")
         rows = written(frequent.join(shapes, "node").join(near, "node", "left").withColumn("group", F.coalesce("group", "node")), "lines-frequent")
         open_keys = rows.groupBy("key").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"), F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("key", "parts")
         tiles = rows.join(small(written(open_keys, "lines-open")), "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
