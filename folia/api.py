@@ -42,7 +42,8 @@ class Page:
         if mode == "blocks":
             return [(*L.bbox([g for line in block for g in line]), "\n".join(map(L.line_text, block)), b, 0) for b, block in enumerate(self.blocks)]
         if mode in ("dict", "rawdict"):
-            return {"width": self.width, "height": self.height, "blocks": [{"type": 0, "number": b, "bbox": L.bbox([g for line in block for g in line]), "lines": [{"bbox": L.bbox(line), "spans": [{"text": "".join(g.text for g in s), "font": "Font", "size": s[0].size, "bbox": L.bbox(s)} for s in L.line_spans(line)]} for line in block]} for b, block in enumerate(self.blocks)]}
+            x0, y0, x1, y1 = self.mediabox
+            return {"width": x1 - x0, "height": y1 - y0, "blocks": [{"type": 0, "number": b, "bbox": L.bbox([g for line in block for g in line]), "lines": [{"bbox": L.bbox(line), "spans": [{"text": "".join(g.text for g in s), "font": "Font", "size": s[0].size, "bbox": L.bbox(s)} for s in L.line_spans(line)]} for line in block]} for b, block in enumerate(self.blocks)]}
         raise ValueError(f"unknown text mode: {mode}")
 
     def links(self) -> list[dict]:

@@ -31,15 +31,17 @@ def line_numbers(glyphs: DataFrame) -> DataFrame:
     rest = [c for c in glyphs.columns if c not in (*PAGE, "ox", "seq")]
     item = F.struct(F.round("oy", 1).alias("_k"), "ox", "seq", *rest)
     folded = glyphs.groupBy(*PAGE).agg(F.sort_array(F.collect_list(item)).alias("g"))
-    start = F.struct(F.lit(None).cast("double").alias("base"), F.lit(-1).alias("line"), F.array().cast("array<int>").alias("out"))
+    # The fold writes only where a line starts, so its cost is that of the glyphs; lines are slices between the starts.
+    start = F.struct(F.lit(None).cast("double").alias("base"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
 
     def step(acc, g):
         new = acc["base"].isNull() | (F.abs(g["oy"] - acc["base"]) > F.greatest(0.5 * g["size"], F.lit(3.0)))
-        line = acc["line"] + new.cast("int")
-        return F.struct(F.when(new, g["oy"]).otherwise(acc["base"]).alias("base"), line.alias("line"), F.array_append(acc["out"], line).alias("out"))
+        return F.struct(F.when(new, g["oy"]).otherwise(acc["base"]).alias("base"), (acc["at"] + 1).alias("at"), F.when(new, F.array_append(acc["out"], acc["at"])).otherwise(acc["out"]).alias("out"))
 
-    numbered = folded.withColumn("n", F.aggregate("g", start, step, lambda acc: acc["out"])).select(*PAGE, F.explode(F.arrays_zip("g", "n")).alias("x"))
-    return numbered.select(*[c if c in PAGE else F.col("x.g").getField(c).alias(c) for c in glyphs.columns], F.col("x.n").alias("line_no"))
+    starts = folded.withColumn("s", F.aggregate("g", start, step, lambda acc: acc["out"]))
+    lines = F.transform("s", lambda x, k: F.struct(k.alias("line_no"), F.slice("g", x + 1, F.coalesce(F.get("s", k + 1), F.size("g")) - x).alias("g")))
+    sliced = starts.select(*PAGE, F.inline(lines))
+    return sliced.select(*PAGE, "line_no", F.explode("g").alias("x")).select(*[c if c in PAGE else F.col("x").getField(c).alias(c) for c in glyphs.columns], "line_no")
 
 
 def structured(glyphs: DataFrame) -> DataFrame:
@@ -102,7 +104,7 @@ def spans(glyphs: DataFrame, corpus=None) -> DataFrame:
 
 
 def page_dict(glyphs: DataFrame, corpus=None) -> DataFrame:
-    """doc_id, page and blocks, nested to lines and spans; with the corpus also the page's width and height."""
+    """doc_id, page and blocks, nested to lines and spans; with the corpus also the width and height of the page's media box."""
     box = F.struct("x0", "y0", "x1", "y1").alias("bbox")
 
     def collected(*fields, key):
@@ -112,7 +114,7 @@ def page_dict(glyphs: DataFrame, corpus=None) -> DataFrame:
     by_block = by_line.groupBy(*PAGE, "block").agg(collected(box, "spans", key="line").alias("lines"), *_bbox())
     shown = by_block.select(*PAGE, "block", F.struct(F.lit(0).alias("type"), F.col("block").alias("number"), box, "lines").alias("b"))
     out = shown.groupBy(*PAGE).agg(F.transform(F.sort_array(F.collect_list(F.struct("block", "b"))), lambda x: x["b"]).alias("blocks"))
-    return out if corpus is None else corpus.pages.select(*PAGE, "width", "height").join(out, PAGE, "left")
+    return out if corpus is None else corpus.pages.select(*PAGE, (F.col("mediabox.x1") - F.col("mediabox.x0")).alias("width"), (F.col("mediabox.y1") - F.col("mediabox.y0")).alias("height")).join(out, PAGE, "left")
 
 
 TABLES = {"words": words, "lines": lines, "blocks": blocks, "spans": spans, "text": text, "page_dict": page_dict}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folia.storage import written
+
 
 def dereference(objects: DataFrame) -> DataFrame:
     """doc_id, obj_num, ref_num, kind: what each object refers to; kind is null where the target is missing."""
@@ -28,18 +30,23 @@ def latest(objects: DataFrame, order: str) -> DataFrame:
     return objects.groupBy("doc_id", "obj_num").agg(F.max_by(F.struct(*rest), order).alias("_l")).select("doc_id", "obj_num", *[F.col("_l").getField(c).alias(c) for c in rest])
 
 
-def inherited(nodes: DataFrame, columns: list[str], depth: int = 32) -> DataFrame:
-    """nodes (doc_id, node, parent, columns) with each column from the nearest ancestor that has one.
+def inherited(nodes: DataFrame, columns: list[str]) -> DataFrame:
+    """nodes (doc_id, node, parent, columns) with each column from the nearest ancestor that has one, at any depth.
 
-    Each round joins one level up and ends when no node has a parent left to ask; depth bounds cycles.
+    Pointers double: each round every node takes what its ancestor so far has gathered and asks that one's ancestor next, so a
+    tree of depth d takes log2(d) rounds, each written once. As many rounds as the nodes of the largest document need in a
+    row end cycles.
     """
-    up = nodes.select("doc_id", F.col("node").alias("above"), F.col("parent").alias("next"), *[F.col(c).alias(f"_{c}") for c in columns])
-    out = nodes.withColumn("above", F.col("parent"))
-    for _ in range(depth):
-        if out.where("above is not null").limit(1).count() == 0:
+    kept = [c for c in nodes.columns if c not in columns]
+    out = written(nodes.withColumn("_above", F.col("parent")), "inherited")
+    longest = out.groupBy("doc_id").count().agg(F.max("count")).first()[0] or 0
+    for _ in range(longest.bit_length()):
+        if out.where("_above is not null").limit(1).count() == 0:
             break
-        out = out.join(up, ["doc_id", "above"], "left").select(*[c for c in nodes.columns if c not in columns], *[F.coalesce(c, f"_{c}").alias(c) for c in columns], F.col("next").alias("above"))
-    return out.drop("above")
+        up = out.select(F.col("doc_id").alias("_doc"), F.col("node").alias("_node"), F.col("_above").alias("_next"), *[F.col(c).alias(f"_up_{c}") for c in columns])
+        joined = out.join(up, (F.col("doc_id") == F.col("_doc")) & (F.col("_above") == F.col("_node")), "left")
+        out = written(joined.select(*kept, *[F.coalesce(c, f"_up_{c}").alias(c) for c in columns], F.col("_next").alias("_above")), "inherited")
+    return out.select(*nodes.columns)
 
 
 def image_files(images: DataFrame, image_data: DataFrame) -> DataFrame:

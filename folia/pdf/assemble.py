@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from folia.errors import FoliaError
+from folia.errors import FoliaError, PageNotFound
 from folia.pdf.document import Document
 from folia.pdf.fonts import standard_name
 from folia.pdf.layout import place
@@ -122,6 +122,8 @@ class Stamps:
         if self.document.encrypted:
             raise FoliaError("an encrypted document can't be edited")
         page = self.document.page(k)
+        if page.num is None:
+            raise PageNotFound(f"page {k} has no object of its own")
         if page.number not in self.ink:
             resources = self.document.file.resolve(page.spec.get("Resources"))
             fonts = self.document.file.resolve(resources.get("Font")) if isinstance(resources, dict) else None
@@ -144,7 +146,7 @@ class Stamps:
 
         for k in sorted(self.ink):
             ink, page = self.ink[k], self.document.pages[k]
-            if not ink.data or page.num is None:
+            if not ink.data:
                 continue
             content, free = free, free + 1
             put(content, Stream({}, ink.data))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
+from folia.errors import Malformed
 from folia.pdf.fonts import Font
 from folia.pdf.syntax import END, Name, Scanner, Word
 
@@ -42,16 +44,26 @@ class TextState:
 def glyphs(content: bytes, font_of: Callable[[str], Font | None], height: float) -> Iterator[tuple]:
     """(code, text, x0, y0, x1, y1, ox, oy, size) of each glyph in order of showing, y down from the page's top.
 
-    Operators without a part in text are passed over with their operands. Missing operands count as 0. Without a font
-    nothing shows and nothing moves. Stray delimiters are passed over.
+    Operators without a part in text are passed over with their operands. Of surplus operands the first count. Missing ones
+    count as 0; a matrix of no operands is all zeros, one of a single number a turn by so many degrees, one of two a scaling, and
+    one of three to five Malformed. Without a font nothing shows and nothing moves. Stray delimiters are passed over.
     """
     state, scanner, operands = TextState(), Scanner(content), []
 
-    def num(k: int, count: int) -> float:
-        own = operands[-count:] if count <= len(operands) else operands
-        v = own[k] if k < len(own) else 0
+    def num(k: int) -> float:
+        v = operands[k] if k < len(operands) else 0
         return float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else 0.0
 
+    def matrix() -> tuple:
+        if len(operands) == 1:
+            turn = math.radians(num(0))
+            return math.cos(turn), math.sin(turn), -math.sin(turn), math.cos(turn), 0.0, 0.0
+        if len(operands) == 2:
+            return num(0), 0.0, 0.0, num(1), 0.0, 0.0
+        if 2 < len(operands) < 6:
+            raise Malformed(f"a matrix of {len(operands)} numbers")
+        return tuple(map(num, range(6)))
+
     def shown(data):
         if not isinstance(data, bytes) or state.font is None:
             return
@@ -71,54 +83,51 @@ def glyphs(content: bytes, font_of: Callable[[str], Font | None], height: float)
             continue
         if token == END:
             return
-        last = operands[-1] if operands else None
+        first = operands[0] if operands else None
         if token == b"q":
             state.saved.append(state.ctm)
         elif token == b"Q":
             state.ctm = state.saved.pop() if state.saved else IDENTITY
         elif token == b"cm":
-            if len(operands) >= 6:
-                state.ctm = product(tuple(num(k, 6) for k in range(6)), state.ctm)
+            state.ctm = product(matrix(), state.ctm)
         elif token == b"BT":
             state.text = state.line = IDENTITY
         elif token == b"Tf":
-            name = operands[-2] if len(operands) > 1 else None
-            state.font, state.size = (font_of(str(name)) if isinstance(name, Name) else None), num(1, 2)
+            state.font, state.size = (font_of(str(first)) if isinstance(first, Name) else None), num(1)
         elif token == b"Td":
-            state.next_line(num(0, 2), num(1, 2))
+            state.next_line(num(0), num(1))
         elif token == b"TD":
-            state.leading = -num(1, 2)
-            state.next_line(num(0, 2), num(1, 2))
+            state.leading = -num(1)
+            state.next_line(num(0), num(1))
         elif token == b"Tm":
-            if len(operands) >= 6:
-                state.text = state.line = tuple(num(k, 6) for k in range(6))
+            state.text = state.line = matrix()
         elif token == b"T*":
             state.next_line(0.0, -state.leading)
         elif token == b"Tc":
-            state.char_space = num(0, 1)
+            state.char_space = num(0)
         elif token == b"Tw":
-            state.word_space = num(0, 1)
+            state.word_space = num(0)
         elif token == b"Tz":
-            state.stretch = num(0, 1) / 100.0
+            state.stretch = num(0) / 100.0
         elif token == b"TL":
-            state.leading = num(0, 1)
+            state.leading = num(0)
         elif token == b"Ts":
-            state.rise = num(0, 1)
+            state.rise = num(0)
         elif token == b"Tj":
-            yield from shown(last)
+            yield from shown(first)
         elif token == b"TJ":
-            for item in last if isinstance(last, list) else ():
+            for item in first if isinstance(first, list) else ():
                 if isinstance(item, bytes):
                     yield from shown(item)
                 elif isinstance(item, (int, float)):
                     state.text = moved(-item / 1000.0 * state.size * state.stretch, 0.0, state.text)
         elif token == b"'":
             state.next_line(0.0, -state.leading)
-            yield from shown(last)
+            yield from shown(first)
         elif token == b'"':
-            state.word_space, state.char_space = num(0, 3), num(1, 3)
+            state.word_space, state.char_space = num(0), num(1)
             state.next_line(0.0, -state.leading)
-            yield from shown(last)
+            yield from shown(operands[2] if len(operands) > 2 else None)
         elif token == b"ID":  # the data of an inline image end with EI between blanks
             stop = scanner.data.find(b"EI", scanner.pos)
             scanner.pos = len(scanner.data) if stop < 0 else stop + 2

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 from folia.errors import Encrypted, FileData, Malformed, PageNotFound
@@ -20,9 +21,8 @@ LETTER = (0.0, 0.0, 612.0, 792.0)
 INFO_KEYS = {"title": "Title", "author": "Author", "subject": "Subject", "keywords": "Keywords", "creator": "Creator", "producer": "Producer", "creationDate": "CreationDate", "modDate": "ModDate"}
 INHERITED = ("MediaBox", "CropBox", "Rotate", "Resources")
 NOWHERE = {"kind": "none", "page": None, "to": None, "uri": None}
-#: References that are followed in a row.
-HOPS = 32
-
+#: The start of a name that may be XRef or ObjStm with escaped letters.
+_ESCAPED = re.compile(rb"/[A-Za-z]{0,5}#[0-9A-Fa-f]{2}")
 _OBJECT = re.compile(rb"(?<![0-9])(\d{1,10})[\x00\t\n\x0c\r ]+(\d{1,5})[\x00\t\n\x0c\r ]+obj(?![A-Za-z])")
 
 
@@ -61,20 +61,22 @@ class PdfFile:
                 continue
             if isinstance(found, dict):
                 self.trailer.update(found)
-        packed = [n for n in self.places if b"/ObjStm" in self._head(n)] if b"/ObjStm" in data else []
-        if b"/XRef" in data:
-            for n in self.places:
-                if b"/XRef" in self._head(n) and isinstance(s := self.object(n), Stream) and s.dict.get("Type") == "XRef":
-                    self.trailer.update(s.dict)
+        streams = self._streams() if b"/ObjStm" in data or b"/XRef" in data or _ESCAPED.search(data) else []
+        for n in streams:
+            if isinstance(s := self.object(n), Stream) and self.resolve(s.dict.get("Type")) == "XRef":
+                self.trailer.update(s.dict)
         self._secure()
-        for n in packed:
+        for n in streams:
             if isinstance(s := self.object(n), Stream) and self.resolve(s.dict.get("Type")) == "ObjStm":
                 self._unpack(s)
         self.packed = {n: v for n, v in self.packed.items() if n not in self.places}
 
-    def _head(self, n: int) -> bytes:
-        start = self.places[n][2]
-        return self.data[start : start + 2048]
+    def _streams(self) -> list[int]:
+        """The numbers of the objects that may be streams: what they are their parsed dictionaries tell, however long."""
+        starts = sorted((start, n) for n, (_, start, _) in self.places.items())
+        owners = {bisect_right(starts, (m.start(), 1 << 62)) for m in re.finditer(rb"stream", self.data)}
+        found = {starts[k - 1][1] for k in owners if k}
+        return [n for n in self.places if n in found]
 
     def _secure(self) -> None:
         own = self.trailer.get("Encrypt")
@@ -128,11 +130,14 @@ class PdfFile:
         return value
 
     def resolve(self, value):
-        for _ in range(HOPS):
-            if not isinstance(value, Ref):
-                return value
+        """What a value refers to, through any number of references; None where they lead in a circle."""
+        seen: set[int] = set()
+        while isinstance(value, Ref):
+            if value.num in seen:
+                return None
+            seen.add(value.num)
             value = self.object(value.num)
-        return None
+        return value
 
     def decoded(self, stream: Stream) -> bytes:
         num = stream.note.get("num")
@@ -161,14 +166,15 @@ class PdfFile:
     def max_number(self) -> int:
         return max(self.numbers(), default=0)
 
-    def references(self, value, depth: int = 0) -> Iterator[int]:
+    def references(self, value) -> Iterator[int]:
         """The numbers of the objects that a value refers to, in order."""
-        if isinstance(value, Ref):
-            yield value.num
-        elif depth < 64:
+        stack = [value]
+        while stack:
+            value = stack.pop()
+            if isinstance(value, Ref):
+                yield value.num
             inner = value.dict.values() if isinstance(value, Stream) else value.values() if isinstance(value, dict) else value if isinstance(value, list) else ()
-            for x in inner:
-                yield from self.references(x, depth + 1)
+            stack.extend(reversed(list(inner)))
 
     def rows(self) -> Iterator[dict]:
         """A row for each object, for the table of objects."""
@@ -222,7 +228,7 @@ class Page:
 
     @property
     def contents(self) -> bytes:
-        """The decoded content streams, joined by line ends; what is no stream or can't be decoded is left out."""
+        """The decoded content streams, joined by line ends; what is no stream is left out. Malformed where one can't be decoded."""
         own = self.file.resolve(self.spec.get("Contents"))
         out = []
         for item in own if isinstance(own, list) else [own]:
@@ -230,10 +236,7 @@ class Page:
             for part in item if isinstance(item, list) else [item]:
                 part = self.file.resolve(part)
                 if isinstance(part, Stream):
-                    try:
-                        out.append(self.file.decoded(part))
-                    except Malformed:
-                        continue
+                    out.append(self.file.decoded(part))
         return b"\n".join(out)
 
     def glyphs(self) -> Iterator[tuple]:
@@ -283,26 +286,28 @@ class Page:
 
     def images(self) -> list[dict]:
         """The images of the page's resources and of forms in them, each object once."""
-        out, seen = [], set()
+        out, seen, stack = [], set(), []
 
-        def collect(resources, depth=0):
+        def enter(resources):
             resources = self.file.resolve(resources)
             found = self.file.resolve(resources.get("XObject")) if isinstance(resources, dict) else None
-            for name, ref in (found if isinstance(found, dict) else {}).items():
-                xref = ref.num if isinstance(ref, Ref) else None
-                if xref in seen:
-                    continue
-                if xref is not None:
-                    seen.add(xref)
-                value = self.file.resolve(ref)
-                if isinstance(value, Stream):
-                    kind = self.file.resolve(value.dict.get("Subtype"))
-                    if kind == "Image":
-                        out.append(Image(value, self.file.resolve, self.file.decoded).info() | {"xref": xref, "name": name})
-                    elif kind == "Form" and depth < 32:
-                        collect(value.dict.get("Resources"), depth + 1)
-
-        collect(self.spec.get("Resources"))
+            stack.extend(reversed((found if isinstance(found, dict) else {}).items()))
+
+        enter(self.spec.get("Resources"))
+        while stack:
+            name, ref = stack.pop()
+            xref = ref.num if isinstance(ref, Ref) else None
+            if xref in seen:
+                continue
+            if xref is not None:
+                seen.add(xref)
+            value = self.file.resolve(ref)
+            if isinstance(value, Stream):
+                kind = self.file.resolve(value.dict.get("Subtype"))
+                if kind == "Image":
+                    out.append(Image(value, self.file.resolve, self.file.decoded).info() | {"xref": xref, "name": name})
+                elif kind == "Form":
+                    enter(value.dict.get("Resources"))
         return out
 
 

@@ -98,9 +98,6 @@ def glyph_char(name: str) -> str | None:
 class CMap:
     """A ToUnicode map: code to text."""
 
-    #: Codes that one range may list.
-    MOST = 65536
-
     def __init__(self, data: bytes = b""):
         self.code_bytes, self.single, self.ranges = 1, {}, []
         scanner, operands = Scanner(data), []
@@ -131,7 +128,7 @@ class CMap:
         if code in self.single:
             return self.single[code]
         for low, high, target in self.ranges:
-            if low <= code <= min(high, low + self.MOST):
+            if low <= code <= high:
                 if isinstance(target, list):
                     found = self._target(target[code - low]) if code - low < len(target) else None
                 else:
@@ -197,7 +194,7 @@ class Font:
                     self.widths[int(items[k]) + j] = resolve(w)
                 k += 2
             elif k + 2 < len(items):
-                for code in range(int(items[k]), min(int(items[k + 1]), int(items[k]) + CMap.MOST) + 1):
+                for code in range(int(items[k]), min(int(items[k + 1]), 0xFFFF) + 1):  # codes have two bytes at most
                     self.widths[code] = items[k + 2]
                 k += 3
             else:

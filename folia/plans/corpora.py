@@ -259,3 +259,83 @@ def revised(df: DataFrame) -> DataFrame:
         return out
 
     return _each(df, make)
+
+
+def _single(pages: list[dict], streams: list[Stream], more: dict | None = None) -> bytes:
+    """A document whose page k has streams[k] as content and the keys of pages[k]; more are further objects."""
+    objects = {1: {"Type": Name("Catalog"), "Pages": Ref(2, 0)}, 3: font_object("Helvetica")} | (more or {})
+    first = max(objects) + 1
+    objects[2] = {"Type": Name("Pages"), "Count": len(pages), "MediaBox": [0, 0, 600, 800], "Kids": [Ref(first + 2 * k, 0) for k in range(len(pages))]}
+    for k, (own, content) in enumerate(zip(pages, streams)):
+        objects[first + 2 * k], objects[first + 2 * k + 1] = _page(Ref(first + 2 * k + 1, 0)) | own, content
+    return build(objects, {"Root": Ref(1, 0)})
+
+
+#: A page's content for each text operator, with {x} {y} the place and {s} the size.
+SHOWN = [
+    "BT /F1 {s} Tf {x} {y} Td (A B) Tj ET",
+    "q 1 0 0 1 5 7 cm BT /F1 {s} Tf 2 0 0 2 {x} {y} Tm (A B) Tj ET Q",
+    "BT /F1 {s} Tf {x} {y} Td 3 -14 TD (A) Tj T* (B) Tj ET",
+    "BT /F1 {s} Tf 12 TL {x} {y} Td (A) ' (B) ' ET",
+    "BT /F1 {s} Tf 12 TL {x} {y} Td 4 1 (A B) \" ET",
+    "BT /F1 {s} Tf 1 Tc 4 Tw 50 Tz {x} {y} Td (A B) Tj ET",
+    "BT /F1 {s} Tf 3 Ts {x} {y} Td (A) Tj ET",
+    "BT /F1 {s} Tf {x} {y} Td [(A) 120 (B) -250 (A)] TJ ET",
+    "0.5 g 10 10 50 50 re f /GS gs BT /F1 {s} Tf {x} {y} Td (A) Tj ET",
+    "BT /F2 {s} Tf {x} {y} Td (ABC) Tj ET",
+    "BT /F3 {s} Tf {x} {y} Td <004100420043> Tj ET",
+    "q 0 1 -1 0 0 0 cm Q Q BT /F1 {s} Tf {x} {y} 9 9 Td (A) (B) Tj ET",
+]
+
+
+def shown(df: DataFrame) -> DataFrame:
+    """df (doc_id, x, y, s int): a page for each of SHOWN. Font F2 has widths of its own, F3 codes of two bytes."""
+    own = {"Type": Name("Font"), "Subtype": Name("TrueType"), "BaseFont": Name("Own"), "FirstChar": 65, "LastChar": 66, "Widths": [500, 750], "FontDescriptor": {"MissingWidth": 400}}
+    wide = {"Type": Name("Font"), "Subtype": Name("Type0"), "BaseFont": Name("Wide"), "Encoding": Name("Identity-H"), "DescendantFonts": [{"Subtype": Name("CIDFontType2"), "DW": 300, "W": [65, [400, 800]]}], "ToUnicode": Ref(4, 0)}
+    codes = Stream({}, b"1 begincodespacerange <0000> <ffff> endcodespacerange 1 beginbfrange <0041> <0043> <0041> endbfrange")
+    fonts = {"Resources": {"Font": {"F1": Ref(3, 0), "F2": own, "F3": wide}}}
+
+    def make(pdf):
+        r = pdf.iloc[0]
+        streams = [Stream({}, t.format(x=int(r["x"]), y=int(r["y"]), s=int(r["s"])).encode()) for t in SHOWN]
+        return _single([fonts] * len(streams), streams, {4: codes})
+
+    return _each(df, make)
+
+
+def spaced(df: DataFrame) -> DataFrame:
+    """df (doc_id, name, more): name over more, then a block of its own whose two letters have a gap without a blank. The page is turned."""
+
+    def make(pdf):
+        r = pdf.iloc[0]
+        content = b"BT /F1 12 Tf 72 700 Td (%s) Tj 0 -14 Td (%s) Tj 0 -100 Td (A) Tj 40 0 Td (B) Tj ET" % (str(r["name"]).encode(), str(r["more"]).encode())
+        return _single([{"Rotate": 90, "CropBox": [10, 10, 500, 500]}], [Stream({}, content)])
+
+    return _each(df, make)
+
+
+def undecodable(df: DataFrame) -> DataFrame:
+    """df (doc_id, bad int): three pages, of which page bad has a filter that no one undoes, or for 3 damaged Flate data on page 0."""
+
+    def make(pdf):
+        bad = int(pdf["bad"].iloc[0])
+        plain = [b"BT /F1 12 Tf 72 700 Td (page %d) Tj ET" % k for k in range(3)]
+        streams = [Stream({"Filter": Name("LZWDecode")}, b"xyz") if k == bad else Stream({"Filter": Name("FlateDecode")}, zlib.compress(t)[: 12 if bad == 3 and k == 0 else None]) for k, t in enumerate(plain)]
+        return _single([{}] * 3, streams)
+
+    return _each(df, make)
+
+
+def late_type(df: DataFrame) -> DataFrame:
+    """df (doc_id, filler int): catalog, pages and a page in an object stream whose /Type comes after an array of filler numbers."""
+
+    def make(pdf):
+        filler = [0] * int(pdf["filler"].iloc[0])
+        bodies = [serialize({"Type": Name("Catalog"), "Pages": Ref(2, 0)}), serialize({"Type": Name("Pages"), "Kids": [Ref(3, 0)], "Count": 1}), serialize({"Type": Name("Page")})]
+        places = np.cumsum([0, *[len(b) + 1 for b in bodies]])[:-1]
+        head = b" ".join(b"%d %d" % (n + 1, at) for n, at in enumerate(places)) + b" "
+        packed = Stream({"Filler": filler, "Type": Name("ObjStm"), "N": 3, "First": len(head)}, head + b" ".join(bodies))
+        table = Stream({"Filler": filler, "Type": Name("XRef"), "Size": 10, "W": [1, 4, 2], "Root": Ref(1, 0)}, bytes(7))
+        return HEADER + b"8 0 obj\n" + serialize(packed) + b"\nendobj\n9 0 obj\n" + serialize(table) + b"\nendobj\nstartxref\n0\n%%EOF\n"
+
+    return _each(df, make)

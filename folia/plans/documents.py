@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folia import render
@@ -337,7 +338,7 @@ METADATA = "SELECT CAST(doc_id AS VARCHAR) AS doc_id, '1.7' AS version, 0 AS pag
 
 def filters_roundtrip(spark, sf_dir):
     d = _t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string"), F.col("text").alias("body"))
-    return Corpus(corpora.filtered(d)).pages.select("doc_id", "page", F.md5(F.rtrim(F.decode("contents", "UTF-8")).cast("binary")).alias("digest"))
+    return Corpus(corpora.filtered(d)).contents.select("doc_id", "page", F.md5(F.rtrim(F.decode("contents", "UTF-8")).cast("binary")).alias("digest"))
 
 
 FILTERS_ROUNDTRIP = "SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(k AS INT) AS page, md5(rtrim(text, ' ')) AS digest FROM documents, range(6) t(k)"
@@ -507,12 +508,95 @@ UNION ALL SELECT doc_id, CAST(sum(w) AS BIGINT), 'words' FROM d GROUP BY 1 UNION
 """
 
 
+def _each_customer(spark, sf_dir, *columns):
+    return _t(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("doc_id"), *columns)
+
+
+def text_operators_shown(spark, sf_dir):
+    """Where each glyph of each text operator's page is, in ten-thousandths; a document per customer."""
+    k = F.col("c_custkey")
+    c = Corpus(corpora.shown(_each_customer(spark, sf_dir, (40 + k % 7).cast("int").alias("x"), (700 - k % 11).cast("int").alias("y"), (10 + k % 3).cast("int").alias("s"))))
+    return c.glyphs.select("doc_id", "page", "seq", "text", F.round(F.col("ox") * 10000).cast("long").alias("ox"), F.round(F.col("oy") * 10000).cast("long").alias("oy"))
+
+
+TEXT_OPERATORS_SHOWN = """
+WITH d AS (SELECT CAST(c_custkey AS VARCHAR) AS doc_id, 40 + c_custkey % 7 AS x, 700 - c_custkey % 11 AS y, 10 + c_custkey % 3 AS s FROM customer)
+SELECT doc_id, CAST(page AS INT) AS page, CAST(seq AS INT) AS seq, text, CAST(round((x + dx) * 10000) AS BIGINT) AS ox, CAST(round((800 - y - dy) * 10000) AS BIGINT) AS oy
+FROM d, LATERAL (VALUES
+  (0, 0, 'A', 0, 0), (0, 1, ' ', 0.667 * s, 0), (0, 2, 'B', 0.945 * s, 0),
+  (1, 0, 'A', 5, 7), (1, 1, ' ', 5 + 1.334 * s, 7), (1, 2, 'B', 5 + 1.89 * s, 7),
+  (2, 0, 'A', 3, -14), (2, 1, 'B', 3, -28),
+  (3, 0, 'A', 0, -12), (3, 1, 'B', 0, -24),
+  (4, 0, 'A', 0, -12), (4, 1, ' ', 0.667 * s + 1, -12), (4, 2, 'B', 0.945 * s + 6, -12),
+  (5, 0, 'A', 0, 0), (5, 1, ' ', (0.667 * s + 1) / 2, 0), (5, 2, 'B', (0.945 * s + 6) / 2, 0),
+  (6, 0, 'A', 0, 3),
+  (7, 0, 'A', 0, 0), (7, 1, 'B', 0.547 * s, 0), (7, 2, 'A', 1.464 * s, 0),
+  (8, 0, 'A', 0, 0),
+  (9, 0, 'A', 0, 0), (9, 1, 'B', 0.5 * s, 0), (9, 2, 'C', 1.25 * s, 0),
+  (10, 0, 'A', 0, 0), (10, 1, 'B', 0.4 * s, 0), (10, 2, 'C', 1.2 * s, 0),
+  (11, 0, 'A', 0, 0)
+) AS t(page, seq, text, dx, dy)
+"""
+
+
+def text_separators(spark, sf_dir):
+    """Texts with their line ends and empty lines as they are, a blank where a gap has none, and the size of a turned page in dict mode."""
+    c = Corpus(corpora.spaced(_each_customer(spark, sf_dir, F.col("c_name").alias("name"), F.col("c_mktsegment").alias("more"))))
+    return c.text.join(c.page_dict.select("doc_id", F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height")), "doc_id")
+
+
+TEXT_SEPARATORS = "SELECT CAST(c_custkey AS VARCHAR) AS doc_id, 0 AS page, c_name || chr(10) || c_mktsegment || chr(10) || chr(10) || 'A B' AS text, 600 AS width, 800 AS height FROM customer"
+
+
+def undecodable_pages(spark, sf_dir):
+    """Pages whose contents can't be decoded have an error, all other pages their text."""
+    c = Corpus(corpora.undecodable(_each_customer(spark, sf_dir, (F.col("c_custkey") % 5).cast("int").alias("bad"))))
+    errors = c.errors.where("part = 'contents'").select("doc_id", "page", F.col("error_class").alias("listed"))
+    return c.contents.join(c.text, ["doc_id", "page"]).join(errors, ["doc_id", "page"], "left").select("doc_id", "page", F.col("contents").isNull().alias("lost"), "error_class", "listed", "text")
+
+
+UNDECODABLE_PAGES = """
+WITH p AS (SELECT CAST(c_custkey AS VARCHAR) AS doc_id, CAST(k AS INT) AS page, (c_custkey % 5 = k) OR (c_custkey % 5 = 3 AND k = 0) AS lost FROM customer, range(3) t(k))
+SELECT doc_id, page, lost, CASE WHEN lost THEN 'Malformed' END AS error_class, CASE WHEN lost THEN 'Malformed' END AS listed, CASE WHEN lost THEN '' ELSE 'page ' || page END AS text FROM p
+"""
+
+
+def late_types(spark, sf_dir):
+    """Pages in object streams whose type comes after thousands of bytes."""
+    c = Corpus(corpora.late_type(_each_customer(spark, sf_dir, (F.col("c_custkey") % 4 * 2000).cast("int").alias("filler"))))
+    return c.documents.select("doc_id", "page_count", "error_class")
+
+
+LATE_TYPES = "SELECT CAST(c_custkey AS VARCHAR) AS doc_id, 1 AS page_count, NULL::VARCHAR AS error_class FROM customer"
+
+
+def deep_inheritance(spark, sf_dir):
+    """Customers of a nation as one branch, each under the one before: what the nearest of those above says counts, however far up."""
+    before = F.lag("c_custkey").over(W.partitionBy("c_nationkey").orderBy("c_custkey"))
+    turn = F.when(F.col("c_custkey") % 100 == 0, F.col("c_custkey"))
+    nodes = _t(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("string").alias("doc_id"), F.col("c_custkey").alias("node"), before.alias("parent"), turn.alias("turn"))
+    return navigation.inherited(nodes, ["turn"]).select("doc_id", "node", "turn")
+
+
+DEEP_INHERITANCE = "SELECT CAST(c_nationkey AS VARCHAR) AS doc_id, c_custkey AS node, last_value(CASE WHEN c_custkey % 100 = 0 THEN c_custkey END IGNORE NULLS) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS turn FROM customer"
+
+
+def whole_titles(spark, sf_dir):
+    """Digests of titles that are whole texts of documents."""
+    d = _t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string"), F.col("text").alias("title"), F.col("source").alias("author"), F.lit("20240101").alias("day"))
+    return Corpus(corpora.titled(d)).documents.select("doc_id", F.md5(F.col("metadata.title").cast("binary")).alias("digest"))
+
+
+WHOLE_TITLES = "SELECT CAST(doc_id AS VARCHAR) AS doc_id, md5(text) AS digest FROM documents"
+
+
 _ALL = (
     (flagship_roundtrip, FLAGSHIP), (roundtrip_text, ROUNDTRIP_TEXT), (roundtrip_words, ROUNDTRIP_WORDS), (roundtrip_lines, ROUNDTRIP_LINES), (roundtrip_blocks, ROUNDTRIP_BLOCKS), (roundtrip_spans, ROUNDTRIP_SPANS), (roundtrip_dict, ROUNDTRIP_DICT), (text_modes, TEXT_MODES),
     (cluster_lines, CLUSTER_LINES), (cluster_words, CLUSTER_WORDS), (font_widths, FONT_WIDTHS), (text_wrap, TEXT_WRAP), (layout_place, LAYOUT_PLACE), (text_operators, TEXT_OPERATORS),
     (navigation_toc, NAVIGATION_TOC), (navigation_links, NAVIGATION_LINKS), (navigation_annots, NAVIGATION_ANNOTS), (navigation_named, NAVIGATION_NAMED), (object_graph, OBJECT_GRAPH),
     (page_geometry, PAGE_GEOMETRY), (page_slices, PAGE_SLICES), (page_tree, PAGE_TREE), (metadata, METADATA), (filters_roundtrip, FILTERS_ROUNDTRIP), (fonts_decode, FONTS_DECODE), (decrypt, DECRYPT),
     (images_list, IMAGES_LIST), (images_extract, IMAGES_EXTRACT), (pixmaps, PIXMAPS), (stamp_incremental, STAMP_INCREMENTAL), (compressed_objects, COMPRESSED_OBJECTS), (latest_definitions, LATEST_DEFINITIONS), (error_taxonomy, ERROR_TAXONOMY), (render_unavailable, RENDER_UNAVAILABLE), (sql_lateral, SQL_LATERAL),
+    (text_operators_shown, TEXT_OPERATORS_SHOWN), (text_separators, TEXT_SEPARATORS), (undecodable_pages, UNDECODABLE_PAGES), (late_types, LATE_TYPES), (deep_inheritance, DEEP_INHERITANCE), (whole_titles, WHOLE_TITLES),
 )
 QUERIES = {f.__name__: f for f, _ in _ALL}
 ORACLES = {f.__name__: sql for f, sql in _ALL}

@@ -47,7 +47,10 @@ class PdfReader(DataSourceReader):
         fs, path = (pafs.FileSystem.from_uri(self.path)) if "://" in self.path else (pafs.LocalFileSystem(), os.path.abspath(self.path.removeprefix("file:")))
         pattern = any(c in path for c in "*?[")
         root = path[: min(path.index(c) for c in "*?[" if c in path)].rpartition("/")[0] if pattern else path
-        infos = [fs.get_file_info(path)] if not pattern and fs.get_file_info(path).type == pafs.FileType.File else fs.get_file_info(pafs.FileSelector(root, recursive=True))
+        if self.only is not None:  # a pinned file is looked up by its path, without listing the folder
+            infos = [fs.get_file_info(self.only)] if self.only.startswith(root) else []
+        else:
+            infos = [fs.get_file_info(path)] if not pattern and fs.get_file_info(path).type == pafs.FileType.File else fs.get_file_info(pafs.FileSelector(root, recursive=True))
         groups, held = [[]], 0
         for info in sorted(infos, key=lambda i: i.path):
             if info.type == pafs.FileType.File and (not pattern or fnmatch.fnmatch(info.path, path)) and self.only in (None, info.path):
@@ -89,7 +92,7 @@ def _function(name: str):
     class Parse:
         def eval(self, doc_id: str, content: bytes):
             for row in parse(name, doc_id, bytes(content) if content is not None else None):
-                yield tuple(row.get(f) for f in fields)
+                yield row if isinstance(row, tuple) else tuple(row.get(f) for f in fields)
 
     return udtf(Parse, returnType=SCHEMAS[name])
 

@@ -2,7 +2,8 @@
 
 Input is any DataFrame with a string id and a binary column. Each table has a profile of its own, so that a query for
 links doesn't interpret glyphs. Parsing runs in Arrow batches within the scan's tasks, without a shuffle; a document that
-can't be read never fails the job: it has a row in documents with error_class and error_message and none elsewhere.
+can't be read never fails the job: it has a row in documents with error_class and error_message and none elsewhere. Where only
+a part can't be read, that part alone is missing from a table: the table errors names it, and contents has the page's error.
 
 Use table(), or Corpus for several tables of one input.
 """
@@ -27,7 +28,8 @@ BATCH = 4096
 SCHEMAS = {
     "documents": f"doc_id string, version string, page_count int, encrypted boolean, metadata struct<{','.join(f'{k}:string' for k in META)}>, error_class string, error_message string",
     "objects": "doc_id string, obj_num bigint, gen bigint, kind string, value string, raw binary, byte_offset bigint, in_objstm boolean, refs array<bigint>",
-    "pages": f"doc_id string, page int, obj_num bigint, mediabox {RECT}, cropbox {RECT}, rotation int, rect {RECT}, width double, height double, contents binary",
+    "pages": f"doc_id string, page int, obj_num bigint, mediabox {RECT}, cropbox {RECT}, rotation int, rect {RECT}, width double, height double",
+    "contents": "doc_id string, page int, contents binary, error_class string, error_message string",
     "glyphs": "doc_id string, page int, seq int, code int, text string, x0 double, y0 double, x1 double, y1 double, ox double, oy double, font string, size double",
     "toc": f"doc_id string, seq int, level int, title string, page int, kind string, dest_page int, to {POINT}, uri string",
     "links": f"doc_id string, page int, seq int, from {RECT}, kind string, dest_page int, to {POINT}, uri string",
@@ -35,6 +37,7 @@ SCHEMAS = {
     "images": "doc_id string, page int, seq int, xref bigint, name string, width int, height int, bpc int, colorspace string, filter string",
     "image_data": "doc_id string, xref bigint, ext string, image binary, width int, height int, colorspace string, bpc int",
     "destinations": "doc_id string, name string, dest_page int, to " + POINT,
+    "errors": "doc_id string, page int, part string, error_class string, error_message string",
 }
 
 
@@ -52,42 +55,94 @@ def _documents(d) -> Iterator[dict]:
 
 def _pages(d) -> Iterator[dict]:
     for p in d.pages:
-        yield {"page": p.number, "obj_num": p.num, "mediabox": _rect(p.mediabox), "cropbox": _rect(p.cropbox), "rotation": p.rotation, "rect": _rect(p.rect), "width": p.width, "height": p.height, "contents": p.contents}
+        yield {"page": p.number, "obj_num": p.num, "mediabox": _rect(p.mediabox), "cropbox": _rect(p.cropbox), "rotation": p.rotation, "rect": _rect(p.rect), "width": p.width, "height": p.height}
 
 
-def _glyphs(d) -> Iterator[dict]:
-    names = ("code", "text", "x0", "y0", "x1", "y1", "ox", "oy", "size")
+def _error(e: Exception) -> dict:
+    return {"error_class": type(e).__name__, "error_message": str(e)[:500]}
+
+
+def _contents(d) -> Iterator[dict]:
+    for p in d.pages:
+        try:
+            yield {"page": p.number, "contents": p.contents}
+        except Exception as e:
+            yield {"page": p.number} | _error(e)
+
+
+def _whole(items) -> list:
+    """All items of a part of a document, or none where it can't be read: the table errors says so."""
+    try:
+        return list(items())
+    except Exception:
+        return []
+
+
+def _glyphs(d) -> Iterator[tuple]:
     for p in d.pages:
-        for seq, g in enumerate(p.glyphs()):
-            yield dict(zip(names, g)) | {"page": p.number, "seq": seq, "font": "Font"}
+        for seq, (code, text, x0, y0, x1, y1, ox, oy, size) in enumerate(_whole(p.glyphs)):
+            yield p.number, seq, code, text, x0, y0, x1, y1, ox, oy, "Font", size
+
+
+#: What can't be read on its own, by the name of its table: parts of pages, and parts of documents.
+PAGE_PARTS = {"contents": lambda p: p.contents, "glyphs": lambda p: list(p.glyphs()), "links": lambda p: p.links(), "annots": lambda p: p.annots(), "images": lambda p: p.images()}
+PARTS = {"toc": lambda d: d.outline(), "destinations": lambda d: list(_destinations(d)), "objects": lambda d: list(d.file.rows())}
+
+
+def _errors(d) -> Iterator[dict]:
+    """The parts of a document that can't be read. Glyphs that fail for their contents are one error."""
+    for p in d.pages:
+        failed = False
+        for part, read in PAGE_PARTS.items():
+            try:
+                if not (part == "glyphs" and failed):
+                    read(p)
+            except Exception as e:
+                failed = True
+                yield {"page": p.number, "part": part} | _error(e)
+    for part, read in PARTS.items():
+        try:
+            read(d)
+        except Exception as e:
+            yield {"part": part} | _error(e)
+    for xref in _xrefs(d):
+        try:
+            d.image(xref)
+        except Exception as e:
+            yield {"part": f"image {xref}"} | _error(e)
 
 
 def _toc(d) -> Iterator[dict]:
-    for seq, t in enumerate(d.outline()):
+    for seq, t in enumerate(_whole(d.outline)):
         yield {"seq": seq, "level": t["level"], "title": t["title"], "page": t["page1"], "kind": t["kind"], "dest_page": t["page"], "to": _to(t["to"]), "uri": t["uri"]}
 
 
 def _links(d) -> Iterator[dict]:
     for p in d.pages:
-        for seq, x in enumerate(p.links()):
+        for seq, x in enumerate(_whole(p.links)):
             yield {"page": p.number, "seq": seq, "from": _rect(x["from"]), "kind": x["kind"], "dest_page": x["page"], "to": _to(x["to"]), "uri": x["uri"]}
 
 
 def _annots(d) -> Iterator[dict]:
     for p in d.pages:
-        for seq, x in enumerate(p.annots()):
+        for seq, x in enumerate(_whole(p.annots)):
             yield x | {"page": p.number, "seq": seq, "rect": _rect(x["rect"])}
 
 
 def _images(d) -> Iterator[dict]:
     for p in d.pages:
-        for seq, x in enumerate(p.images()):
+        for seq, x in enumerate(_whole(p.images)):
             yield x | {"page": p.number, "seq": seq}
 
 
+def _xrefs(d) -> list[int]:
+    return list(dict.fromkeys(x["xref"] for p in d.pages for x in _whole(p.images) if x["xref"] is not None))
+
+
 def _image_data(d) -> Iterator[dict]:
-    for xref in dict.fromkeys(x["xref"] for p in d.pages for x in p.images() if x["xref"] is not None):
-        yield d.image(xref) | {"xref": xref}
+    for xref in _xrefs(d):
+        for image in _whole(lambda: [d.image(xref)]):  # noqa: B023
+            yield image | {"xref": xref}
 
 
 def _destinations(d) -> Iterator[dict]:
@@ -102,6 +157,7 @@ PROFILES: dict[str, Callable] = {
     "documents": _documents,
     "objects": lambda d: d.file.rows(),
     "pages": _pages,
+    "contents": _contents,
     "glyphs": _glyphs,
     "toc": _toc,
     "links": _links,
@@ -109,32 +165,46 @@ PROFILES: dict[str, Callable] = {
     "images": _images,
     "image_data": _image_data,
     "destinations": _destinations,
+    "errors": _errors,
 }
 
 
 def parse(name: str, doc_id: str | None, content: bytes | None) -> Iterator[dict]:
-    """The rows of one document in a table; errors are rows of documents alone."""
+    """The rows of one document in a table, as dicts, or as tuples of all columns; a document that can't be opened is a row of documents alone."""
     from folia.pdf.document import Document
 
     try:
         rows = PROFILES[name](Document(content or b""))
         for row in rows:
-            yield row | {"doc_id": doc_id}
+            yield (doc_id, *row) if isinstance(row, tuple) else row | {"doc_id": doc_id}
     except Exception as e:  # a scan of many documents goes on whatever one of them holds
         if name == "documents":
-            yield {"doc_id": doc_id, "error_class": type(e).__name__, "error_message": str(e)[:500]}
+            yield {"doc_id": doc_id} | _error(e)
 
 
 def batches(name: str, schema: pa.Schema, source: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
-    rows: list[dict] = []
+    rows: list = []
+
+    def batch() -> pa.RecordBatch:
+        if isinstance(rows[0], tuple):
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+        return pa.RecordBatch.from_pylist(rows, schema=schema)
+
     for doc_id, content in source:
         for row in parse(name, doc_id, content):
             rows.append(row)
             if len(rows) >= BATCH:
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                yield batch()
                 rows = []
     if rows:
-        yield pa.RecordBatch.from_pylist(rows, schema=schema)
+        yield batch()
+
+
+def bounded(spark: SparkSession, size: int = 64 << 20) -> None:
+    """Arrow batches hold at most about so many bytes, since whole files are in them; a bound that is set stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("bB")) > size:
+        spark.conf.set(key, str(size))
 
 
 def table(files: DataFrame, name: str, id_col: str = "doc_id", content_col: str = "content") -> DataFrame:
@@ -145,7 +215,7 @@ def table(files: DataFrame, name: str, id_col: str = "doc_id", content_col: str
     def run(source):
         yield from batches(name, arrow, ((i, c) for b in source for i, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist())))
 
-    files.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")  # whole files are in a batch
+    bounded(files.sparkSession)
     return files.select(F.col(id_col).cast("string").alias("doc_id"), F.col(content_col).alias("content")).mapInArrow(run, schema)
 
 

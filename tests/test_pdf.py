@@ -360,3 +360,73 @@ def test_command_line(tmp_path, capsys):
     assert cli.main(["pages", str(path)]) == 0 and "rotation=0" in capsys.readouterr().out
     assert cli.main(["--version"]) == 0 and cli.main([]) == 0
     assert cli.main(["text", str(tmp_path / "none")]) == 1 and cli.main(["what", "x"]) == 1 and cli.main(["info"]) == 1 and cli.main(["text", str(path), "9"]) == 1
+
+
+# what can't be read or edited says so
+
+
+def test_undecodable_contents_raise():
+    import zlib
+
+    from folia.sources.tables import parse
+
+    good = b"BT /F1 12 Tf 72 700 Td (whole) Tj ET"
+    for bad in (Stream({"Filter": Name("LZWDecode")}, b"x"), Stream({"Filter": Name("FlateDecode")}, zlib.compress(good)[:12])):
+        pages = {k: {"Type": Name("Page"), "Parent": Ref(2, 0), "Resources": {"Font": {"F1": Ref(3, 0)}}, "Contents": Ref(k + 10, 0)} for k in (4, 5)}
+        data = build({1: {"Type": Name("Catalog"), "Pages": Ref(2, 0)}, 2: {"Type": Name("Pages"), "Kids": [Ref(4, 0), Ref(5, 0)], "Count": 2}, 3: {"Type": Name("Font"), "Subtype": Name("Type1"), "BaseFont": Name("Helvetica")}, **pages, 14: bad, 15: Stream({}, good)}, {"Root": Ref(1, 0)})
+        d = Document(data)
+        with pytest.raises(Malformed):
+            d.pages[0].contents  # noqa: B018
+        assert d.pages[1].contents == good
+        assert [(r["page"], r.get("error_class")) for r in parse("contents", "d", data)] == [(0, "Malformed"), (1, None)]
+        assert {r[1] for r in parse("glyphs", "d", data)} == {1}
+        assert [(r["page"], r["part"], r["error_class"]) for r in parse("errors", "d", data)] == [(0, "contents", "Malformed")]
+
+
+def test_stamping_a_page_without_an_object_raises():
+    data = build({1: {"Type": Name("Catalog"), "Pages": Ref(2, 0)}, 2: {"Type": Name("Pages"), "Kids": [{"Type": Name("Page")}], "Count": 1}}, {"Root": Ref(1, 0)})
+    d = api.from_bytes(data)
+    assert d.page_count == 1
+    with pytest.raises(PageNotFound):
+        d.insert_text(0, (10, 10), "lost")
+
+
+def test_operands():
+    """Of surplus operands the first count; a matrix of 0, 1 or 2 numbers is zeros, a turn, a scaling, one of 3 to 5 an error."""
+    font = type("F", (), {"decode": lambda self, data: [(c, chr(c), 0.5) for c in data]})()
+
+    def at(content):
+        return [(round(g[6], 6), round(g[7], 6)) for g in glyphs(content, lambda name: font, 0.0)]
+
+    assert at(b"BT /F1 10 99 Tf 1 2 3 Td (a) (b) Tj ET") == [(1, -2)]
+    assert at(b"90 cm BT /F1 10 Tf 3 0 Td (a) Tj ET") == [(0, -3)]
+    assert at(b"2 3 cm BT /F1 10 Tf 3 4 Td (a) Tj ET") == [(6, -12)]
+    assert at(b"cm BT /F1 10 Tf 3 4 Td (a) Tj ET") == [(0, 0)]
+    assert at(b"BT /F1 10 Tf 1 0 0 1 5 6 7 8 Tm (a) Tj ET") == [(5, -6)]
+    with pytest.raises(Malformed):
+        at(b"1 2 3 cm BT ET")
+
+
+def test_predictors_and_base85_by_a_plain_version():
+    import base64
+    import random
+
+    from folia.pdf.filters import unbase85
+
+    r = random.Random(1)
+    for n in range(40):
+        data = r.randbytes(n) + bytes(4 * (n % 3))
+        text = base64.a85encode(data)
+        assert unbase85(text + b"~>") == data == unbase85(b"<~" + text[: n // 2] + b" \n" + text[n // 2 :] + b"~>rest")
+    assert unbase85(b"87cUR\x7f~>") == b"Hell"
+
+
+def test_deep_documents():
+    """References, forms and arrays nested further than any fixed bound."""
+    n = 3000
+    chain = {k: Ref(k + 1, 0) for k in range(100, 100 + n)} | {100 + n: 7}
+    f = PdfFile(build({1: {"Type": Name("Catalog")}, **chain}, {"Root": Ref(1, 0)}))
+    assert f.resolve(Ref(100, 0)) == 7
+    forms = {k: Stream({"Subtype": Name("Form"), "Resources": {"XObject": {"X": Ref(k + 1, 0)}}}, b"") for k in range(10, 60)} | {60: Stream({"Subtype": Name("Image"), "Width": 1, "Height": 1, "BitsPerComponent": 8, "ColorSpace": Name("DeviceGray")}, b"x")}
+    d = Document(build({1: {"Type": Name("Catalog"), "Pages": Ref(2, 0)}, 2: {"Type": Name("Pages"), "Kids": [Ref(3, 0)]}, 3: {"Type": Name("Page"), "Resources": {"XObject": {"X": Ref(10, 0)}}}, **forms}, {"Root": Ref(1, 0)}))
+    assert [x["xref"] for x in d.pages[0].images()] == [60]
