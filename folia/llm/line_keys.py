@@ -18,8 +18,8 @@ SHORT = 20
 SHARE = 10
 #: Lines of fewer words are cut into segments of characters; from here on pairs of words find what EDITS edits leave alike.
 WORDY = 24
-#: The place of a pair of words that its line repeats.
-ANYWHERE = 0xFFFFFFFF
+#: The place of a pair of words that its line repeats, and of one beyond all that are told apart.
+ANYWHERE = 0xFFFF
 
 _SCRIPTS = [(0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)]
 _BASE = 0x9E3779B97F4A7C15
@@ -144,7 +144,7 @@ def pair_hashes(chunk: Chunk, which: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def rare_keys(chunk: Chunk, which: np.ndarray, counts: np.ndarray) -> list[tuple]:
-    """(key, line, (words << 32 | place) + 2) of the rarest pairs of words of lines `which`, as many as the edits can break and one more."""
+    """(key, line, (words << 16 | place) + 2) of the rarest pairs of words of lines `which`, as many as the edits can break and one more."""
     found, at = pair_hashes(chunk, which)
     if not len(found):
         return []
@@ -155,13 +155,13 @@ def rare_keys(chunk: Chunk, which: np.ndarray, counts: np.ndarray) -> list[tuple
     found, line, at = found[order], line[order].astype(np.int64), at[order]
     new = np.r_[True, (found[1:] != found[:-1]) | (line[1:] != line[:-1])]
     alone = new & np.r_[new[1:], True]
-    place = np.where(alone, at - chunk.word_at[line], ANYWHERE)[new]
+    place = np.where(alone, np.minimum(at - chunk.word_at[line], ANYWHERE), ANYWHERE)[new]
     found, line = found[new], line[new]
     start = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
     rank = np.arange(len(line)) - np.repeat(start, np.diff(np.r_[start, len(line)]))
     first = rank < 2 * slack(-(-SHARE * chunk.m[line] // (SHARE - 1))) + 1
     line = line[first]
-    return [(mixed(found[first] + _U(1)), line, (chunk.m[line] << 32 | place[first]) + 2)]
+    return [(mixed(found[first] + _U(1)), line, (chunk.m[line] << 16 | place[first]) + 2)]
 
 
 def worded(chunk: Chunk) -> np.ndarray:

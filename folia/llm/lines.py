@@ -16,8 +16,8 @@ characters leave alike. A letter of a script written without blanks is a word.
 
 Keys of up to POSTED lines yield their pairs. A more frequent key first yields a chain, in which each line meets its next
 CHAIN ones; then the lines of such keys, as numbers and histograms of characters and words, are compared with all lines of
-the key that are in another class by then, in tiles of PART by PART lines, and only pairs whose histograms leave room for a
-link are verified. So copies in great numbers cost a chain, and no link is lost.
+the key that are in another class by then, in tiles of PART by PART lines, and pairs whose histograms leave room for a link
+are verified there, unless the tile has connected them. So copies in great numbers cost a chain, and no link is lost.
 
 Linked lines form classes. The occurrence of a class with the smallest (doc_id, line number) stays, all others go. Lines
 are told apart by two 64-bit hashes.
@@ -30,7 +30,6 @@ a line that a third of all documents share costs no more.
 from __future__ import annotations
 
 import re
-from collections import Counter as Tally
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -41,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folia.llm import sketch
-from folia.llm.common import BLANKS, column, components, small, tidied, written
+from folia.llm.common import BLANKS, WORD, column, components, small, tidied, written
 from folia.llm.line_keys import ANYWHERE, EDITS, KINDS, LEAST_CHARS, SHARE, Chunk, bound, keys, pair_hashes, slack, worded
 
 #: Lines of a key up to which all its pairs are made, and the next ones that a line of a more frequent key meets in its chain.
@@ -50,6 +49,7 @@ POSTED, CHAIN = 32, 4
 PART, FILTERED = 20_000, 500_000
 #: Characters whose keys are made at once, rows of keys that are gathered before they are paired, and pairs of lines that are compared at once.
 CHUNK, GATHERED, CELLS = 200_000, 100_000, 1 << 18
+LINKS = "a long, check_a long, b long, check_b long"
 #: Buckets of the histograms of characters and words.
 CHARS, WORDS = 16, 128
 
@@ -137,7 +137,7 @@ def links(x: str, y: str, edits: int | None = EDITS) -> bool:
         return False
     a, b = line_words(x), line_words(y)
     most = max(len(a), len(b)) // SHARE
-    if not most or abs(len(a) - len(b)) > most or sum((Tally(a) - Tally(b)).values()) > most:
+    if not most:
         return False
     return edit_distance(tuple(a), tuple(b), most) <= most
 
@@ -180,7 +180,7 @@ def _counted(least: int):
 
 
 def _keyed(edits: int | None, least: int, shared):
-    """(key, node, info): the keys of a task's distinct lines. info is 0 for index keys, 1 for probes, and from 2 on for pairs of words (words << 32 | place) + 2."""
+    """(key, node, info): the keys of a task's distinct lines. info is 0 for index keys, 1 for probes, and from 2 on for pairs of words (words << 16 | place) + 2."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value if shared is not None else None
@@ -194,7 +194,7 @@ def _keyed(edits: int | None, least: int, shared):
 
 def _may_link(info_a, info_b):
     """Whether rows of a key can be of lines that link: segments always, pairs of words by the number of words and their places in them."""
-    m_a, m_b, at_a, at_b = (info_a - 2) >> 32, (info_b - 2) >> 32, (info_a - 2) & ANYWHERE, (info_b - 2) & ANYWHERE
+    m_a, m_b, at_a, at_b = (info_a - 2) >> 16, (info_b - 2) >> 16, (info_a - 2) & ANYWHERE, (info_b - 2) & ANYWHERE
     most = slack(np.maximum(m_a, m_b))
     near = (np.abs(at_a - at_b) <= most) & (np.abs((m_a - at_a) - (m_b - at_b)) <= most)
     return (info_a < 2) | ((np.abs(m_a - m_b) <= most) & (near | (at_a == ANYWHERE) | (at_b == ANYWHERE)))
@@ -297,18 +297,25 @@ def _verified(edits: int | None):
     return rows
 
 
-def shape(line: str) -> tuple[int, int, bytes]:
-    """The number of a line's characters and words, and histograms of them: one edit moves each by 2 at most."""
-    codes, words = np.frombuffer(line.encode("utf-32-le"), dtype="<u4"), line_words(line)
-    places = np.fromiter((xxhash.xxh3_64_intdigest(w.encode()) % WORDS for w in words), dtype=np.int64, count=len(words))
-    counts = np.r_[np.bincount((codes * np.uint32(0x9E3779B1)) >> np.uint32(28), minlength=CHARS), np.bincount(places, minlength=WORDS)]
-    return len(line), len(words), np.minimum(counts, 255).astype(np.uint8).tobytes()
+def shapes(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The number of characters and of words of lines, and histograms of both: one edit moves each by 2 at most."""
+    chunk = Chunk(lines)
+    codes = np.concatenate([chunk.codes, np.zeros(1, dtype=chunk.codes.dtype)])  # so that each line has an end of its own
+    out = np.zeros((len(lines), CHARS + WORDS), dtype=np.uint8)
+    of_chars = np.repeat(np.arange(len(lines)), chunk.n + 1) * CHARS + ((codes * np.uint32(0x9E3779B1)) >> np.uint32(28))
+    kept = np.ones(len(codes), dtype=bool)
+    kept[chunk.at + chunk.n] = False
+    of_words = np.repeat(np.arange(len(lines)), chunk.m) * WORDS + (chunk.words % np.uint64(WORDS)).astype(np.int64)
+    out[:, :CHARS] = np.minimum(np.bincount(of_chars[kept], minlength=len(lines) * CHARS), 255).reshape(-1, CHARS)
+    out[:, CHARS:] = np.minimum(np.bincount(of_words, minlength=len(lines) * WORDS), 255).reshape(-1, WORDS)
+    return chunk.n, chunk.m, out
 
 
 def _shaped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n, m, shapes = list(zip(*map(shape, batch.column("line").to_pylist()))) or [()] * 3
-        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(shapes, pa.binary())], names=["node", "n", "m", "shape"])
+        if batch.num_rows:
+            n, m, found = shapes(batch.column("line").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(n), pa.array(m), pa.array([x.tobytes() for x in found], pa.binary())], names=["node", "n", "m", "shape"])
 
 
 def _shapes(column: pa.Array) -> np.ndarray:
@@ -338,11 +345,19 @@ def _roomy(edits: int | None):
 
 
 def _compared(edits: int | None):
-    """Pairs (a, b) from tiles (key, i, j) of the rows of a frequent key, sorted by tile and info: those of different classes whose histograms leave room for a link."""
+    """Links from tiles (key, i, j) of the rows of a frequent key, sorted by tile and info: between lines of different classes whose histograms leave room. Lines that a tile has connected aren't compared again."""
+
+    def compare(columns, texts, across):
+        node, check, info, part, group, n, m, found = columns
+        up: dict[int, int] = {}
+
+        def root(x):
+            while (y := up.get(x, x)) != x:
+                up[x] = up.get(y, y)
+                x = y
+            return x
 
-    def compare(rows, across):
-        node, info, part, group, n, m, shapes = rows
-        found, x = [], 0
+        out, x = [], 0
         while x < len(node) - 1:
             end = len(node)
             rows = max(1, CELLS // (end - x))
@@ -357,31 +372,35 @@ def _compared(edits: int | None):
             i, j = i[ok], j[ok]
             for s in range(0, len(i), CELLS // WORDS):
                 a, b = i[s : s + CELLS // WORDS], j[s : s + CELLS // WORDS]
-                ok = _room(n[a], n[b], m[a], m[b], np.abs(shapes[a] - shapes[b]), edits)
-                found.append(np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b])], 1)[ok])
+                ok = _room(n[a], n[b], m[a], m[b], np.abs(found[a] - found[b]), edits)
+                for k, l in zip(a[ok].tolist(), b[ok].tolist()):  # noqa: E741
+                    one, other = root(int(group[k])), root(int(group[l]))
+                    if one != other and links(texts[k], texts[l], edits):
+                        up[one] = other
+                        out.append((k, l))
             x += rows
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), dtype=np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        k, l = np.array(out, dtype=np.int64).reshape(-1, 2).T  # noqa: E741
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (node[k], check[k], node[l], check[l])], names=["a", "check_a", "b", "check_b"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile, held = None, []
+        tile, held, texts = None, [], []
 
         def done():
-            columns = [np.concatenate([h[c] for h in held]) for c in range(7)]
-            return compare(columns, tile[1] != tile[2])
+            return compare([np.concatenate([h[c] for h in held]) for c in range(8)], texts, tile[1] != tile[2])
 
         for batch in batches:
-            numbers = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "i", "j", "node", "info", "part", "group", "n", "m")]
-            shapes, tiles = _shapes(batch.column("shape")), np.stack(numbers[:3], 1)
+            numbers = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "i", "j", "node", "check", "info", "part", "group", "n", "m")]
+            found, lines, tiles = _shapes(batch.column("shape")), batch.column("line"), np.stack(numbers[:3], 1)
             edges = np.r_[0, np.flatnonzero((tiles[1:] != tiles[:-1]).any(1)) + 1, len(tiles)]
             for low, high in zip(edges[:-1].tolist(), edges[1:].tolist()):
                 if low == high:
                     continue
                 if held and tuple(tiles[low]) != tile:
                     yield done()
-                    held = []
+                    held, texts = [], []
                 tile = tuple(tiles[low])
-                held.append([x[low:high] for x in numbers[3:]] + [shapes[low:high]])
+                held.append([x[low:high] for x in numbers[3:]] + [found[low:high]])
+                texts += lines[low:high].to_pylist()
         if held:
             yield done()
 
@@ -395,7 +414,7 @@ def numbered(line: Column) -> tuple[Column, Column]:
 
 def _taking_part(docs: DataFrame, least: int, *more: Column) -> DataFrame:
     """number, line and more columns for the lines of docs that take part."""
-    lines = docs.select(*more, F.posexplode(F.split("text", "\n")).alias("number", "line")).where(F.trim("line", F.lit(BLANKS)) != "")
+    lines = docs.select(*more, F.posexplode(F.split("text", "\n")).alias("number", "line")).where(F.col("line").rlike(WORD))
     return lines.where(F.length("line") >= least) if least > 1 else lines
 
 
@@ -412,24 +431,23 @@ def classes(docs: DataFrame, edits: int | None = EDITS, least: int = LEAST_CHARS
     node, check = numbered(F.col("line"))
     lines = _taking_part(texts, least).select(node.alias("node"), check.alias("check"), "line").join(small(wanted, FILTERED), "node")
     lines = written(lines.groupBy("node").agg(F.min(F.struct("check", "line")).alias("_")).select("node", "_.*"), "lines-texts")
-    shapes = written(lines.select("node", "line").mapInArrow(tidied(_shaped), "node long, n long, m long, shape binary"), "lines-shapes")
-    first, second = (lines.select(F.col("node").alias(k), F.col("check").alias(f"check_{k}"), F.col("line").alias(f"line_{k}")) for k in "ab")
-
-    def verified(found: DataFrame) -> DataFrame:
-        both = found.join(first, "a").join(second, "b").select("a", "check_a", "line_a", "b", "check_b", "line_b")
-        return written(both.mapInArrow(tidied(_verified(edits)), "a long, check_a long, b long, check_b long"), "lines-links")
-
-    one, other = (shapes.select(F.col("node").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("n", "m", "shape")]) for k in "ab")
-    linked = verified(written(pairs.join(one, "a").join(other, "b").mapInArrow(tidied(_roomy(edits)), "a long, b long"), "lines-roomy"))
+    shaped = written(lines.select("node", "line").mapInArrow(tidied(_shaped), "node long, n long, m long, shape binary"), "lines-shapes")
+    one, other = (shaped.select(F.col("node").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("n", "m", "shape")]) for k in "ab")
+    roomy = written(pairs.join(one, "a").join(other, "b").mapInArrow(tidied(_roomy(edits)), "a long, b long"), "lines-roomy")
+    needed = lines.join(small(written(roomy.select("a").union(roomy.select("b")).distinct().select(F.col("a").alias("node")), "lines-needed"), FILTERED), "node", "left_semi")
+    first, second = (needed.select(F.col("node").alias(k), F.col("check").alias(f"check_{k}"), F.col("line").alias(f"line_{k}")) for k in "ab")
+    both = roomy.join(first, "a").join(second, "b").select("a", "check_a", "line_a", "b", "check_b", "line_b")
+    linked = written(both.mapInArrow(tidied(_verified(edits)), LINKS), "lines-links")
     if frequent.limit(1).count():
         near = written(components(linked.select("a", "b"), "lines-near").withColumnRenamed("component", "group"), "lines-groups")
-        rows = written(frequent.join(shapes, "node").join(near, "node", "left").withColumn("group", F.coalesce("group", "node")), "lines-frequent")
+        rows = written(frequent.join(small(near, FILTERED), "node", "left").withColumn("group", F.coalesce("group", "node")), "lines-frequent")
         open_keys = rows.groupBy("key").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"), F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("key", "parts")
-        tiles = rows.join(small(written(open_keys, "lines-open")), "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        rows = written(rows.join(small(written(open_keys, "lines-open")), "key"), "lines-compared")
+        texts = lines.join(small(written(rows.select("node").distinct(), "lines-named"), FILTERED), "node", "left_semi")
+        tiles = rows.join(texts, "node").join(shaped, "node").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
         tiles = tiles.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
-        tiles = tiles.select("key", "i", "j", "node", "info", "part", "group", "n", "m", "shape").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "info", "node")
-        late = written(tiles.mapInArrow(tidied(_compared(edits)), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"), "lines-late")
-        linked = linked.union(verified(late))
+        tiles = tiles.select("key", "i", "j", "node", "check", "info", "part", "group", "n", "m", "shape", "line").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "info", "node")
+        linked = linked.union(written(tiles.mapInArrow(tidied(_compared(edits)), LINKS), "lines-late"))
     ends = linked.select(F.col("a").alias("node"), F.col("check_a").alias("check")).union(linked.select("b", "check_b")).distinct()
     return ends.join(components(linked.select("a", "b"), "lines-classes"), "node").select("node", "check", F.col("component").alias("class"))
 

@@ -272,7 +272,7 @@ def test_surrogates(spark, docs, empty):
     from folia.llm.pii import replaced
 
     own = "Mr. John Smith met Frau Anna-Maria Keller and Mr John Smith; г-н Иван Петров. Call +1 (017) 555-7713 or +1-017-555-7713; A.B@MAIL.COM, a.b@mail.com; 4111 1111 1111 1111 or 4111111111111111; 10.0.0.1, 192.168.1.9, 8.8.8.8. token = \"24be64439e3e49cf46b2d7c90f3602a3d0b907ff\" v1.2 1999"
-    df = spark.createDataFrame([(1, own, "x", 5), (2, own.replace("4111", "4222"), "y", None), (None, None, None, None), (3, "", "z", 1), (4, "nothing here", "z", 1), (4, "nothing here", "z", 1)], "doc_id long, text string, n_ip string, other int")
+    df = spark.createDataFrame([(1, own, "x", 5), (2, own.replace("4111 1111 1111 1111", "5500 0000 0000 0004").replace("4111111111111111", "5500000000000004"), "y", None), (None, None, None, None), (3, "", "z", 1), (4, "nothing here", "z", 1), (4, "nothing here", "z", 1)], "doc_id long, text string, n_ip string, other int")
     out = {(r.doc_id, r.n_card): r for r in replaced(df).collect()}
     a, b = out[1, 2], out[2, 2]
     for private in ("Smith", "Keller", "Петров", "017", "A.B@", "a.b@", "1111 1111", "8.8.8.8", "192.168.1.9", "24be64"):
@@ -304,6 +304,72 @@ def test_surrogates_are_distinct(spark):
     assert len(made) == len(set(names)) == len({r.made for r in made}) and not {r.made for r in made} & {r.core for r in made}
 
 
+def passes_check(card):
+    digits = [int(c) for c in re.sub("[^0-9]", "", card)][::-1]
+    return sum(d if k % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for k, d in enumerate(digits)) % 10 == 0
+
+
+def test_surrogates_of_cards_countries_and_scripts(spark):
+    """Numbers without a valid check digit stay, equal digits in two countries are two numbers, names keep their script."""
+    from folia.llm.pii import replaced
+
+    rows = [(1, "order 1234567890123, card 4111 1111 1111 1112."), (2, "+1 415 555 0100 and +44 415 555 0100, +1-415-555-0100"), (3, "+7 999 555 0101 or 999 555 0101"), (4, "Mr Γιώργος Παπαδόπουλος, Ms Անի Պետրոսյան, г-жа Мария Белых")]
+    out = {r.doc_id: r for r in replaced(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[1].text == rows[0][1] and out[1].n_card == 0
+    first, second, third = re.findall(r"\+(?:1|44)[ -](\d{3}[ -]\d{3}[ -]\d{4})", out[2].text)
+    assert first.replace(" ", "-") == third and first != second and "555 0100" not in out[2].text
+    assert re.fullmatch(r"\+7 (\d{3} \d{3} \d{4}) or \1", out[3].text)
+    assert re.fullmatch(r"Mr [\u0370-\u03ff\u1f00-\u1fff]+ [\u0370-\u03ff]+, Ms [\u0530-\u058f]+ [\u0530-\u058f]+, г-жа [а-яА-Я]+ [а-яА-Я-]+", out[4].text), out[4].text
+
+
+def test_spaces_of_surrogates_grow(spark):
+    """More private addresses than their block has room for beside them, and very many names of one word."""
+    from folia.llm.pii import surrogates
+
+    cores = [("ip", f"192.168.{a}.{b}") for a in range(256) for b in range(200)] + [("name", "m:" + "".join(chr(0x430 + k // 30**i % 30) for i in range(3)).capitalize()) for k in range(3000)]
+    made = surrogates(spark.createDataFrame(cores, "kind string, core string")).collect()
+    assert len(made) == len(cores) == len({(r.kind, r.made) for r in made})
+    assert not {r.made for r in made} & {c for _, c in cores} and all(re.fullmatch("(192\\.168|10|\\d+)(\\.\\d+){2,3}", r.made) for r in made if r.kind == "ip")
+
+
+def test_surrogates_against_plain_rules(spark):
+    """All documents of the smallest tables: everything but entities stays, one entity has one surrogate, and no two share one."""
+    import regex
+
+    from folia.llm.pii import ANY, PATTERNS, replaced
+
+    path = "/root/testdata/sf0.001/documents.parquet"
+    docs = spark.read.parquet(path).select("doc_id", "text")
+    before, after = {r.doc_id: r.text for r in docs.collect()}, {r.doc_id: r for r in replaced(docs).collect()}
+    found, made, counts = regex.compile(ANY), {}, collections.Counter()
+    for i, text in before.items():
+        if text is None:
+            assert after[i].text is None
+            continue
+        at, own = 0, collections.Counter()
+        out, pieces = after[i].text, found.split(text)
+        hits = found.findall(text)
+        for k, hit in enumerate(hits):
+            kind = next((x for x in PATTERNS if x != "name" and regex.fullmatch(PATTERNS[x], hit)), "name")
+            assert out.startswith(pieces[k], at)
+            at += len(pieces[k])
+            end = out.index(pieces[k + 1], at) if pieces[k + 1] else len(out)
+            put = out[at : at + len(hit)] if kind in ("card", "phone") else out[at:end]
+            if kind == "card" and not passes_check(hit):
+                assert put == hit
+                at += len(hit)
+                continue
+            own[kind] += 1
+            core = regex.sub("[^0-9]", "", hit) if kind in ("card",) else hit.lower() if kind in ("email", "ip", "key") else None
+            if core:
+                shown = regex.sub("[^0-9]", "", put) if kind == "card" else put.lower()
+                assert made.setdefault((kind, core), shown) == shown and put != hit
+            at += len(put)
+        assert out[at:] == pieces[-1] and all(after[i][f"n_{k}"] == own[k] for k in PATTERNS), i
+        counts += own
+    assert sum(counts.values()) > 20 and len({(k, v) for (k, _), v in made.items()}) == len(made) and not {(k, v) for (k, _), v in made.items()} & set(made)
+
+
 # 6 licences
 
 
@@ -500,7 +566,7 @@ def test_met_finds_every_pair_that_keys_allow(monkeypatch):
 
     monkeypatch.setattr(M, "POSTED", 5)
     r = random.Random(6)
-    rows = sorted({(k, (r.randrange(20, 22) << 32 | r.randrange(2)) + 2, r.randrange(10**6)) for k in range(40) for _ in range(r.choice([1, 2, 4, 5, 6, 9, 30]))})
+    rows = sorted({(k, (r.randrange(20, 22) << 16 | r.randrange(2)) + 2, r.randrange(10**6)) for k in range(40) for _ in range(r.choice([1, 2, 4, 5, 6, 9, 30]))})
     groups = collections.defaultdict(list)
     for k, info, node in rows:
         groups[k].append((node, info))
@@ -669,6 +735,76 @@ def test_p_values(spark):
     assert [x.p for x in row] == pytest.approx([0.5 * math.erfc(-x / math.sqrt(2)) for x in z], rel=1e-5)
 
 
+def plain_chance(token):
+    """The chance that an ordinary string looks as random as token, by the definitions of the tests."""
+    from folia.llm.secrets import ALPHABETS, NONCENTRALITY
+
+    t = token.rstrip("=").replace("-", "+").replace("_", "/")
+    if len(t) < 18 or re.fullmatch("[0-9]*", t):
+        return None
+    name = next((n for n, p in (("hex", "[0-9a-f]*"), ("HEX", "[0-9A-F]*"), ("base32", "[A-Z2-7]*")) if re.fullmatch(p, t)), "base64")
+    size, x = len(ALPHABETS[name]), [ALPHABETS[name].index(c) for c in t if c in ALPHABETS[name]]
+    n, df = len(x), size - 1
+    chi = sum((x.count(k) - n / size) ** 2 / (n / size) for k in range(size))
+    uniform = max(0.0, ((chi / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df)))
+    high = [2 * k >= size for k in x]
+    up = sum(high)
+    if 0 < up < n:
+        runs, mean = 1 + sum(a != b for a, b in zip(high, high[1:])), 1 + 2 * up * (n - up) / n
+        runs_z = (runs - mean) / math.sqrt((mean - 1) * (mean - 2) / (n - 1))
+    else:
+        runs_z = math.sqrt(n)
+    center = sum(x) / n
+    spread = sum((k - center) ** 2 for k in x)
+    serial = sum((a - center) * (b - center) for a, b in zip(x, x[1:])) / spread * math.sqrt(n) if spread else math.sqrt(n)
+    d, shift = uniform**2 + runs_z**2 + serial**2, n * NONCENTRALITY
+    f, c = (3 + shift) ** 2 / (3 + 2 * shift), (3 + 2 * shift) / (3 + shift)
+    return 0.5 * math.erfc(-(((d / (c * f)) ** (1 / 3) - (1 - 2 / (9 * f))) / math.sqrt(2 / (9 * f))) / math.sqrt(2))
+
+
+def plain_secrets(texts, level):
+    """The spans of the base rules and of the battery for each text, with the false discovery rate held stratum by stratum."""
+    from folia.llm.secrets import LAST_BIN, PER_TEN, STRATA
+
+    tested, bins = [], collections.defaultdict(collections.Counter)
+    for t in texts:
+        left = ASSIGN.sub(lambda m: "\x01" * len(m[0]) if len(m[2]) >= 6 else m[0], t)
+        for p in ("AKIA[A-Z0-9]{16,}", "[0-9a-f]{24,}"):
+            left = re.sub(p, lambda m: "\x01" * len(m[0]), left)
+        own = []
+        for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", left):
+            if (p := plain_chance(m[0])) is not None:
+                stratum, b = sum(len(m[0]) >= k for k in STRATA[1:]), min(LAST_BIN, math.floor(-math.log10(max(p, 1e-300)) * PER_TEN))
+                bins[stratum][b] += 1
+                own.append((m.start(), m.end(), stratum, b))
+        tested.append(own)
+    cuts = {}
+    for stratum, counts in bins.items():
+        held = [b for b in counts if 10 ** (-b / PER_TEN) <= level * sum(n for c, n in counts.items() if c >= b) / sum(counts.values())]
+        cuts[stratum] = min(held, default=LAST_BIN + 1)
+    names, out = ["assign", "access", "hex", "random"], []
+    for t, own in zip(texts, tested):
+        spans = base_spans(t) + [(a, 3, b) for a, b, stratum, bin_ in own if bin_ >= cuts[stratum]]
+        out.append(",".join(f"{names[k]}:{a}:{b}" for a, k, b in sorted(spans)))
+    return out
+
+
+def test_secrets_equal_a_plain_version(spark):
+    """Whole small tables with keys planted in them, beside and next to base spans: the same spans, and nearly all keys found."""
+    from folia.llm.secrets import LEVEL, secrets
+
+    r = random.Random(12)
+    texts = [x.text or "" for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    planted = [base64.b64encode(r.randbytes(n)).decode() for n in (24, 30, 36, 48) for _ in range(40)]
+    texts += [f"the key {k} is here" for k in planted] + [f"{r.randbytes(16).hex()}-{planted[0]} AKIA{'ABCDEFGH' * 2}/{planted[5]}"]
+    texts += [" ".join(f"token={k}abcdef" for k in range(700))]
+    got = {x.doc_id: x.spans for x in secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    expected = plain_secrets(texts, LEVEL)
+    assert [got[k] for k in range(len(texts))] == expected
+    found = sum("random" in x for x in expected[-len(planted) - 2 : -2])
+    assert found >= 0.9 * len(planted), found
+
+
 # shared parts
 
 
