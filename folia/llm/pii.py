@@ -7,7 +7,12 @@ and names after a form of address. Each gets a surrogate drawn by a keyed hash o
 - surrogates are of the same kind, and take the notation of each occurrence: separators, country code, check digit,
   address class, letter case, script and gender of names;
 - two entities never share a surrogate, and no surrogate is an entity of the corpus: those that would are drawn again
-  with the next attempt, round by round, until none is left (distinctness).
+  with the next attempt, round by round, until none is left (distinctness). Names grow with the attempts, and private
+  addresses move to larger private blocks, so these spaces grow with the entities.
+
+A number of 13 to 19 digits is a card only if it passes the mod-10 check. Telephone numbers of the same digits are one entity
+unless the corpus has them with different country codes. Names have surrogates in Latin, Cyrillic, Greek or Armenian; those
+in other scripts get Latin ones.
 
 Scale: one scan writes the pieces of texts with entities, another passes the other texts through unmoved. Distinct
 entities and their surrogates are joined by hash; an entity that very many documents share is one row of these.
@@ -18,10 +23,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folia.llm.common import let, small, written
+from folia.llm.common import column, let, shared_path, small, written
 
 KEY = "folia-surrogates-1"
-ROUNDS = 40
+#: Rounds of drawing in a row that may settle no entity before a kind counts as used up.
+IDLE = 40
 
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _GROUPED = "|".join(f"[0-9]{{4}}(?:{x}[0-9]{{4}}){{3}}|[0-9]{{4}}{x}[0-9]{{6}}{x}[0-9]{{5}}" for x in " -")
@@ -57,13 +63,25 @@ NAMES = {
         "f": ("Анна", "Вера", "Галина", "Дарья", "Елена", "Ирина", "Мария", "Нина", "Ольга", "Тамара"),
         "last": ("Белых", "Гончар", "Дубко", "Живаго", "Коваль", "Литвин", "Мороз", "Седых", "Франко", "Черных"),
     },
+    "greek": {
+        "m": ("Αλέξανδρος", "Βασίλης", "Γιάννης", "Δημήτρης", "Κώστας", "Μιχάλης", "Νίκος", "Πέτρος", "Σπύρος", "Χρήστος"),
+        "f": ("Άννα", "Βασιλική", "Δήμητρα", "Ειρήνη", "Ελένη", "Κατερίνα", "Μαρία", "Νίκη", "Σοφία", "Χριστίνα"),
+        "last": ("Αγγέλου", "Βλάχου", "Γεωργίου", "Δούκα", "Ζήση", "Ιωάννου", "Κωνσταντίνου", "Μάρκου", "Νικολάου", "Χατζή"),
+    },
+    "armenian": {
+        "m": ("Արամ", "Գևորգ", "Դավիթ", "Կարեն", "Հայկ", "Նարեկ", "Սուրեն", "Տիգրան", "Վահան", "Ռուբեն"),
+        "f": ("Անահիտ", "Արփի", "Գայանե", "Լիլիթ", "Մարիամ", "Նարինե", "Շուշան", "Սիրան", "Տաթև", "Հասմիկ"),
+        "last": ("Աբրահամյան", "Գրիգորյան", "Դավթյան", "Հակոբյան", "Մարտիրոսյան", "Պետրոսյան", "Սարգսյան", "Վարդանյան", "Խաչատրյան", "Կարապետյան"),
+    },
 }
 
 
 def _kind(value: Column) -> Column:
+    """The kind of what a pattern found; null for a number that is no card."""
     out = F.lit("name")
     for kind in ("key", "card", "phone", "ip", "email"):
-        out = F.when(value.rlike(f"^(?:{PATTERNS[kind]})$"), kind).otherwise(out)
+        is_one = value.rlike(f"^(?:{PATTERNS[kind]})$")
+        out = F.when(is_one, F.when(_valid(_digits(value)), kind) if kind == "card" else F.lit(kind)).otherwise(out)
     return out
 
 
@@ -80,7 +98,7 @@ def _title(value: Column) -> Column:
 
 
 def canonical(kind: Column, value: Column) -> Column:
-    """What the notations of one entity share: digits without country code, the lower-case address, a name with its gender."""
+    """What the notations of one entity share: digits without country code, the lower-case address, a name with its gender. For the country see countries()."""
     title = F.regexp_replace(_title(value), "[. ]", "")
     gender = F.when(title.isin(*MALE), "m").when(title.isin(*FEMALE), "f").otherwise("n")
     name = F.concat(gender, F.lit(":"), F.regexp_replace(F.substring(value, F.length(_title(value)) + 1, F.length(value)), "[ -]", " "))
@@ -111,6 +129,10 @@ def _check_digit(digits: Column) -> Column:
     return F.pmod(10 - total % 10, F.lit(10)).cast("string")
 
 
+def _valid(digits: Column) -> Column:
+    return F.substring(digits, F.length(digits), F.lit(1)) == _check_digit(F.substring(digits, F.lit(1), F.length(digits) - 1))
+
+
 def _pick(options: tuple, digest: Column, at: int) -> Column:
     return F.get(F.array(*[F.lit(x) for x in options]), _number(digest, at, len(options)).cast("int"))
 
@@ -119,11 +141,14 @@ def surrogate(kind: Column, core: Column, attempt: Column) -> Column:
     """The canonical surrogate of a canonical entity."""
     digits, digest = _drawn_digits(kind, core, attempt), _hash(kind, core, attempt, "letters")
     body = F.substring(digits, F.lit(1), F.length(core) - 1)
-    valid = F.substring(core, F.length(core), F.lit(1)) == _check_digit(F.substring(core, F.lit(1), F.length(core) - 1))
-    card = F.when(valid, F.concat(body, _check_digit(body))).otherwise(F.substring(digits, F.lit(1), F.length(core)))
-    phone = F.substring(digits, F.lit(1), F.length(core))
+    card = F.concat(body, _check_digit(body))
+    phone = F.substring(digits, F.lit(1), F.length(_national(core)))
     octets = [(1 + _number(digest, 1 + 8 * k, 254)).cast("string") for k in range(4)]
-    ip = F.when(core.rlike("^(10|127)\\."), F.concat_ws(".", F.substring_index(core, ".", 1), *octets[1:])).when(core.startswith("192.168."), F.concat_ws(".", F.lit("192.168"), *octets[2:])).otherwise(F.concat_ws(".", *octets))
+    own = (attempt < 8) | ((attempt < 24) & (core.startswith("10.")))  # the block that an address is in, then a larger one
+    block = F.when(core.startswith("192.168."), "192.168").when(core.startswith("127."), "127").when(core.startswith("10."), "10")
+    wide = F.when(attempt < 24, F.lit("10"))
+    at = F.when(own | block.isNull(), block).otherwise(wide)
+    ip = F.concat_ws(".", at, F.when(at.isNull(), octets[0]), F.when(at.isNull() | (at != "192.168"), octets[1]), octets[2], octets[3])
     domain = _hash(kind, F.substring_index(core, "@", -1), F.lit(0), "domain")
     email = F.concat(_letters(digest, 1, 7), F.lit("."), F.substring(digits, 1, 4), F.lit("@"), _letters(domain, 1, 6), F.lit(".example."), _pick(("com", "org", "net"), domain, 20))
     key = F.rpad(F.sha2(digest, 512), F.length(core), F.sha2(digits, 512))
@@ -131,18 +156,21 @@ def surrogate(kind: Column, core: Column, attempt: Column) -> Column:
 
 
 def _name(core: Column, digest: Column, attempt: Column) -> Column:
-    """As many words as the name has: a first name of its gender, surnames, in its script; later attempts lengthen the surname."""
+    """As many words as the name has: a first name of its gender, surnames, in its script; every third attempt lengthens the surname."""
     count = F.size(F.split(core, " "))
     female = F.when(core.startswith("f:"), True).when(core.startswith("m:"), False).otherwise(_number(digest, 1, 2) == 0)
 
     def made(script):
         n = NAMES[script]
         first = F.when(female, _pick(n["f"], digest, 9)).otherwise(_pick(n["m"], digest, 9))
-        more = [F.when(attempt > 3 * k, F.concat(F.lit("-"), _pick(n["last"], digest, 25 + 8 * k))).otherwise("") for k in range(4)]
-        tail = F.concat(_pick(n["last"], digest, 17), *more)
+        more = F.when(attempt > 2, F.array_join(F.transform(F.sequence(F.lit(1), F.floor(attempt / 3).cast("int")), lambda k: F.concat(F.lit("-"), _pick(n["last"], F.sha2(F.concat_ws("|", digest, k.cast("string")), 256), 1))), "")).otherwise("")
+        tail = F.concat(_pick(n["last"], digest, 17), more)
         return F.concat(F.when(count > 1, F.concat(first, F.lit(" "))).otherwise(""), F.when(count > 2, F.concat(_pick(n["last"], digest, 57), F.lit(" "))).otherwise(""), tail)
 
-    return F.when(core.rlike("\\p{IsCyrillic}+$"), made("cyrillic")).otherwise(made("latin"))
+    out = made("latin")
+    for script in ("cyrillic", "greek", "armenian"):
+        out = F.when(core.rlike(f"\\p{{Is{script.capitalize()}}}+$"), made(script)).otherwise(out)
+    return out
 
 
 def written_as(kind: Column, value: Column, made: Column) -> Column:
@@ -163,11 +191,29 @@ def written_as(kind: Column, value: Column, made: Column) -> Column:
     return F.when(kind == "card", placed(F.lit(0))).when(kind == "phone", let(skip, placed)).when(kind == "name", name).when(upper & (kind == "email"), F.upper(made)).otherwise(made)
 
 
+def _national(core: Column) -> Column:
+    """A telephone number's digits, without the country that countries() may have put before them."""
+    return F.substring_index(core, "|", -1)
+
+
+def countries(entities: DataFrame) -> DataFrame:
+    """distinct (kind, core, country) to (kind, core, country, whole): whole is core, with the country before it where telephone numbers of these digits have several countries."""
+    several = written(entities.where("kind = 'phone' and country <> ''").groupBy("core").agg(F.countDistinct("country").alias("n")).where("n > 1").select(F.col("core").alias("_several")), "pii-countries")
+    joined = entities.join(small(several), (F.col("kind") == "phone") & (F.col("core") == F.col("_several")), "left")
+    return joined.select("kind", "core", "country", F.when(F.col("_several").isNotNull(), F.concat_ws("|", "country", "core")).otherwise(F.col("core")).alias("whole"))
+
+
 def surrogates(entities: DataFrame) -> DataFrame:
-    """(kind, core, made) for distinct entities (kind, core). Each round settles those without a rival and draws the others anew."""
-    known = entities.select(F.col("kind").alias("_k"), F.col("core").alias("_c"))
-    todo, done = entities.withColumn("attempt", F.lit(0)), None
-    for _ in range(ROUNDS):
+    """(kind, core, made) for distinct entities (kind, core). Each round settles those without a rival and draws the others anew.
+
+    What is settled is appended to one table, which each round reads once. A kind is used up, which is an error, when IDLE
+    rounds in a row settle nothing.
+    """
+    spark = entities.sparkSession
+    known = entities.select(F.col("kind").alias("_k"), _national(F.col("core")).alias("_c"))
+    todo, done, idle = entities.withColumn("attempt", F.lit(0)), None, 0
+    place = shared_path(spark, "pii-done")
+    while idle < IDLE:
         drawn = written(todo.withColumn("made", surrogate(F.col("kind"), F.col("core"), F.col("attempt"))), "pii-drawn")
         first = drawn.groupBy("kind", "made").agg(F.min("core").alias("first"))
         taken = first.join(known, (F.col("kind") == F.col("_k")) & (F.col("made") == F.col("_c")), "left_anti")
@@ -175,10 +221,12 @@ def surrogates(entities: DataFrame) -> DataFrame:
             older = done.select(F.col("kind").alias("_k"), F.col("made").alias("_m"))
             taken = taken.join(older, (F.col("kind") == F.col("_k")) & (F.col("made") == F.col("_m")), "left_anti")
         settled = written(taken.select("kind", F.col("first").alias("core"), "made"), "pii-settled")
-        done = settled if done is None else written(done.unionByName(settled), "pii-done")
+        settled.write.mode("append").parquet(place)
+        done = spark.read.schema(settled.schema).parquet(place)
         todo = drawn.join(settled.select("kind", "core"), ["kind", "core"], "left_anti").select("kind", "core", (F.col("attempt") + 1).alias("attempt"))
         if todo.limit(1).count() == 0:
             return done
+        idle = 0 if settled.limit(1).count() else idle + 1
     raise ValueError("surrogates are used up: a kind has more entities than notations")
 
 
@@ -187,19 +235,22 @@ def replaced(docs: DataFrame) -> DataFrame:
 
     Null texts stay null and empty ones empty, with no entities; texts without entities stay as they are. Rows are rewritten
     one by one, so repeated rows and null ids need no rule. An empty table gives an empty result. Columns of docs that
-    have one of the new names are replaced; the others pass through.
+    have one of the new names are replaced; the others pass through. What looks like a card without a valid check digit stays.
     """
     new = [f"n_{k}" for k in PATTERNS]
     base = docs.drop(*new)
     other = [c for c in base.columns if c != "text"]
-    packed = base.select(F.struct(*[F.col(c) for c in other], F.lit(0).alias("_")).alias("_row"), "text")
+    packed = base.select(F.struct(*[column(c) for c in other], F.lit(0).alias("_")).alias("_row"), "text")
     has = F.coalesce(F.when(F.col("text").rlike(HINT), F.col("text").rlike(ANY)), F.lit(False))
     rest = packed.where(~has).select("_row", "text", *[F.lit(0).cast("long").alias(n) for n in new])
     found = packed.where(has).select(F.monotonically_increasing_id().alias("_id"), "_row", F.split("text", ANY, -1).alias("parts"), F.regexp_extract_all("text", F.lit(ANY), F.lit(0)).alias("values"))
     found = written(found, "pii-found")
     each = found.select("_id", F.posexplode("values").alias("pos", "value")).withColumn("kind", _kind(F.col("value"))).withColumn("core", canonical(F.col("kind"), F.col("value")))
-    made = written(surrogates(written(each.select("kind", "core").distinct(), "pii-entities")), "pii-surrogates")
-    put = each.join(small(made), ["kind", "core"]).withColumn("put", written_as(F.col("kind"), F.col("value"), F.col("made")))
+    each = each.withColumn("country", F.when(F.col("kind") == "phone", _digits(F.regexp_extract("value", _COUNTRY, 1))).otherwise(""))
+    named = written(countries(each.where("kind is not null").select("kind", "core", "country").distinct()), "pii-countries")
+    made = surrogates(written(named.select("kind", F.col("whole").alias("core")).distinct(), "pii-entities"))
+    made = written(named.join(made.withColumnRenamed("core", "whole"), ["kind", "whole"]).drop("whole"), "pii-surrogates")
+    put = each.join(small(made), ["kind", "core", "country"], "left").withColumn("put", F.when(F.col("kind").isNull(), F.col("value")).otherwise(written_as(F.col("kind"), F.col("value"), F.col("made"))))
     counts = [F.count(F.when(F.col("kind") == k, 1)).alias(f"n_{k}") for k in PATTERNS]
     listed = put.groupBy("_id").agg(F.sort_array(F.collect_list(F.struct("pos", "put"))).alias("puts"), *counts)
     whole = found.join(listed, "_id").withColumn("text", F.array_join(F.transform("parts", lambda p, i: F.concat(p, F.coalesce(F.get(F.col("puts"), i)["put"], F.lit("")))), ""))
