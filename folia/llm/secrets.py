@@ -1,6 +1,6 @@
 """Secret scans: fixed patterns, then a battery of randomness tests on every token of a text (native).
 
-A candidate is a run of 20 or more characters of the base64 alphabets outside the patterns' spans. Its encoding is
+A candidate is a run of 20 or more characters of the base64 alphabets in what the patterns' spans leave of the text. Its encoding is
 inferred (hex, base32, base64), and its characters become numbers of that alphabet. Under uniform independent characters
 three tests give near-normal deviates: chi-squared uniformity over the alphabet (by its cube root), runs about the
 middle, and lag-one serial correlation. The sum of their squares is small for a random key of any length and grows with
@@ -33,7 +33,9 @@ PATTERNS = {
 KINDS = [*PATTERNS, "random"]
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 #: The hex pattern matches inside nearly every word; this one finds its passing matches alone, since matches are whole runs.
-LONG_HEX = "[0-9a-f]{24,}"
+LONG_HEX, LONG_ACCESS = "[0-9a-f]{24,}", "AKIA[A-Z0-9]{16,}"
+#: What stands for a character of a base span, spans that are put together at a time, and their type.
+OVER, BLOCK, SPANS = "\x01", 256, "array<struct<start:int,kind:int,end:int,n:int>>"
 
 CANDIDATE = "[A-Za-z0-9+/_=-]{20,}+"
 #: The alphabets by inferred encoding.
@@ -52,22 +54,51 @@ def _found(text: Column, pattern: str, kind: str, group: int = 0) -> Column:
     """struct(start, kind, end, n) of each match, in order; n is the length of the group."""
 
     def fold(parts):
-        step = F.aggregate(
-            F.sequence(F.lit(0), F.size(parts["hits"]) - 1),
-            F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int,n:int>>").alias("out")),
-            lambda acc, k: let(
-                acc["at"] + F.length(F.get(parts["rest"], k)),
-                lambda start: F.struct(
-                    (start + F.length(F.get(parts["hits"], k))).alias("at"),
-                    F.array_append(acc["out"], F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), (start + F.length(F.get(parts["hits"], k))).alias("end"), F.length(F.get(parts["groups"], k)).alias("n"))).alias("out"),
-                ),
-            ),
-        )
-        return step["out"]
+        # Spans are put together BLOCK at a time, since an array is copied with each item that it takes.
+        def block(first):
+            last = F.least(first + BLOCK, F.size(parts["hits"])) - 1
+
+            def step(acc, k):
+                def item(start):
+                    end = start + F.length(F.get(parts["hits"], k))
+                    span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), end.alias("end"), F.length(F.get(parts["groups"], k)).alias("n"))
+                    return F.struct(end.alias("at"), F.array_append(acc["out"], span).alias("out"))
+
+                return let(acc["at"] + F.length(F.get(parts["rest"], k)), item)
+
+            return lambda at: F.aggregate(F.sequence(first, last), F.struct(at.alias("at"), F.array().cast(SPANS).alias("out")), step)
+
+        def blocks(acc, first):
+            return let(block(first)(acc["at"]), lambda b: F.struct(b["at"].alias("at"), F.array_append(acc["out"], b["out"]).alias("out")))
+
+        starts = F.sequence(F.lit(0), F.size(parts["hits"]) - 1, F.lit(BLOCK))
+        return F.flatten(F.aggregate(starts, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPANS}>").alias("out")), blocks)["out"])
 
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     parts = F.struct(hits.alias("hits"), (F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else hits).alias("groups"), F.split(text, pattern, -1).alias("rest"))
-    return F.when(text.rlike(pattern), let(parts, fold)).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int,n:int>>"))
+    return F.when(text.rlike(pattern), let(parts, fold)).otherwise(F.array().cast(SPANS))
+
+
+def _cut(text: Column, pattern: str, passes=None) -> Column:
+    """text with each match that passes written over by as many characters that no candidate has."""
+
+    def written_over(parts):
+        def piece(rest, k):
+            hit = F.get(parts["hits"], k)
+            over = F.repeat(F.lit(OVER), F.length(hit))
+            return F.concat(rest, F.coalesce(over if passes is None else F.when(passes(F.get(parts["groups"], k)), over).otherwise(hit), F.lit("")))
+
+        return F.array_join(F.transform(parts["rest"], piece), "")
+
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    parts = F.struct(hits.alias("hits"), (hits if passes is None else F.regexp_extract_all(text, F.lit(pattern), F.lit(2))).alias("groups"), F.split(text, pattern, -1).alias("rest"))
+    return F.when(text.rlike(pattern), let(parts, written_over)).otherwise(text)
+
+
+def without_base(text: Column) -> Column:
+    """text with what the base rules find written over, kind by kind: passing assignments, then keys and hex runs of what is left."""
+    out = _cut(text, PATTERNS["assign"], lambda group: F.length(group) >= LEAST["assign"])
+    return _cut(_cut(out, LONG_ACCESS), LONG_HEX)
 
 
 def base_spans(text: Column) -> Column:
@@ -145,24 +176,21 @@ def _stratum(n: Column) -> Column:
     return out
 
 
-def candidates(text: Column, base: Column) -> Column:
-    """struct(start, end, stratum, bin) of each testable token of text that meets no span of base; bin rises as p falls."""
-    runs = _found(text, CANDIDATE, "random")
-
-    def free(spans):
-        return F.filter(runs, lambda r: ~F.exists(spans, lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
+def candidates(text: Column) -> Column:
+    """struct(start, end, stratum, bin) of each testable token of what the base rules leave of text; bin rises as p falls."""
 
     def tested(r):
         p = p_value(F.substring(text, r["start"] + 1, r["n"]))
         return F.struct(r["start"].alias("start"), r["end"].alias("end"), _stratum(r["n"]).alias("stratum"), F.least(F.lit(LAST_BIN), F.floor(-F.log10(F.greatest(p, F.lit(1e-300))) * PER_TEN).cast("int")).alias("bin"))
 
-    return F.filter(F.transform(F.when(text.rlike(CANDIDATE), free(base)).otherwise(F.filter(base, lambda b: F.lit(False))), tested), lambda x: x["bin"].isNotNull())
+    runs = F.when(text.rlike(CANDIDATE), _found(without_base(text), CANDIDATE, "random")).otherwise(F.array().cast(SPANS))
+    return F.filter(F.transform(runs, tested), lambda x: x["bin"].isNotNull())
 
 
 def scanned(docs: DataFrame) -> DataFrame:
     """doc_id, base and found of every row of docs (doc_id, text): base spans and tested candidates."""
     bare = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("base", base_spans(F.col("text")))
-    return bare.withColumn("found", candidates(F.col("text"), F.col("base"))).select("doc_id", "base", "found")
+    return bare.withColumn("found", candidates(F.col("text"))).select("doc_id", "base", "found")
 
 
 def thresholds(found: DataFrame, level: float = LEVEL) -> DataFrame:
