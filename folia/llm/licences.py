@@ -2,8 +2,9 @@
 
 A text is brought into canonical form: lower case, copyright lines out, equivalent spellings made equal, everything but
 letters and digits a single space. Its SHA-256 is looked up among the digests of known licences. Whole texts, paragraphs
-and lines are looked up alike, so a document that is a licence, and one that carries a licence's text or notice among its
-own lines, are both found; a text that merely mentions a licence is not.
+and lines are looked up alike, so a document that is a licence, and one that carries a notice, or a licence's text as a
+paragraph of its own, are both found. A text that merely mentions a licence is not, nor is one in which a licence of several
+paragraphs stands among others.
 
 Scale: a text without a word that every known licence has is passed by with one pattern. The known digests are fewer than a
 thousand rows, fixed in this module, so their broadcast is bounded; nothing else moves but one row per unit found.
@@ -12,6 +13,7 @@ thousand rows, fixed in this module, so their broadcast is bounded; nothing else
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -56,8 +58,9 @@ EQUIVALENT = (
 STEPS = (
     ("(^|\\n)[^a-z0-9\\n]*(copyright( ?\\([c]\\)| ?©)? ?[0-9<\\[{(y][^\\n]*|\\([c]\\) [^\\n]*|©[^\\n]*|all rights reserved[^a-z0-9\\n]*)", "\n"),
     ("https?://", "http "),
-    ("[^a-z0-9]+", " "),
-    *[(f"(^| ){a.strip()}($| |s |d )", f"$1{b.strip()}$2") for a, b in EQUIVALENT if a != b],
+    ("[^a-z0-9]+", "  "),  # two, so that neighbours that are both replaced share no blank
+    *[(f"(^| ){a.strip().replace(' ', '  ')}($| |s |d )", f"$1{b.strip().replace(' ', '  ')}$2") for a, b in EQUIVALENT if a != b],
+    ("  +", " "),
     ("^ +| +$", ""),
 )
 
@@ -166,8 +169,8 @@ def scanned(docs: DataFrame) -> DataFrame:
     n_units counts paragraphs and lines found. Null and empty texts have no licence. Rows are scanned one by one, so repeated
     rows and null ids need no rule. An empty table gives an empty result. Other columns are not looked at.
     """
-    spark = docs.sparkSession
-    table = spark.createDataFrame(sorted(known().items()), "digest string, licence string")
+    listed = F.from_json(F.lit(json.dumps(known(), sort_keys=True)), "map<string,string>")
+    table = docs.sparkSession.range(1).select(F.explode(listed).alias("digest", "licence"))
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_id", F.monotonically_increasing_id())
     has = F.col("text").rlike(HINT)
     rest = base.where(~has).select("doc_id", F.lit(None).cast("string").alias("licence"), F.lit("").alias("notices"), F.lit(0).cast("long").alias("n_units"))
