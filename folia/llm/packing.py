@@ -14,6 +14,7 @@ a task that runs again writes the same bytes.
 
 from __future__ import annotations
 
+import contextlib
 import json
 import uuid
 import zlib
@@ -87,6 +88,8 @@ class Writer:
         self.held = 0
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        if len(ids) and int(ids.max()) >> self.bits:
+            raise ValueError(f"id {int(ids.max())} doesn't fit in {self.bits} bits")
         self.doc_ids.append(doc_id or 0)
         self.nulls.append(doc_id is None)
         self.starts.append(self.starts[-1] + len(ids))
@@ -116,8 +119,16 @@ class Writer:
         footer = b"".join([np.array(head, "<u8").tobytes(), np.array(self.doc_ids, "<i8").tobytes(), np.array(self.nulls, "u1").tobytes(), np.array(self.starts, "<u8").tobytes(), np.array(self.offsets, "<u8").tobytes()])
         self.out.write(footer + len(footer).to_bytes(8, "little") + MAGIC)
         self.out.close()
+        if self.fs.get_file_info(self.path).type != pafs.FileType.NotFound:  # from a task that ran before: the same bytes
+            self.fs.delete_file(self.path)
         self.fs.move(self.unfinished, self.path)
 
+    def abandon(self) -> None:
+        """Takes the unfinished file away, where the task can't go on."""
+        with contextlib.suppress(OSError):
+            self.out.close()
+            self.fs.delete_file(self.unfinished)
+
 
 class Reader:
     """Random access to one file: doc_ids, starts, and the ids of any range or document."""
@@ -176,7 +187,7 @@ def _byte_letters() -> dict[int, str]:
 
 
 def library_encoder(path: str) -> tuple[Callable[[str], np.ndarray], int]:
-    """How the tokenizers library encodes a text with the file at path, without special tokens, and its vocabulary's size.
+    """How the tokenizers library encodes a text with the file at path, without special tokens, and the number that its ids stay below.
 
     A byte-level file without normaliser encodes each piece of a text alone, so its model is asked once for a piece and
     the answer is kept. Texts that contain an added token or characters beyond the plain ones, and other kinds of files, go
@@ -198,7 +209,7 @@ def library_encoder(path: str) -> tuple[Callable[[str], np.ndarray], int]:
             return np.frombuffer(b"".join(map(memo.__getitem__, pieces(text))), "<u4")
         return np.array(library.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
-    return encode, library.get_vocab_size()
+    return encode, max(library.get_vocab(with_added_tokens=True).values()) + 1
 
 
 _ENCODERS: dict = {}
@@ -216,26 +227,33 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None =
 
     Returns the dataset's index (shard, n_docs, n_ids), kept in folder/index. Null texts count as empty; null ids come
     first; rows that share an id are ordered by text; an empty table makes an empty dataset. Other columns are not read.
-    The ids of documents are range-partitioned, so no key is hot, and each task streams its documents to one file.
+    Rows are range-partitioned by id, the start of the text and a number of their own, so no key is hot, and each task streams
+    its documents to one file.
     """
     spark = docs.sparkSession
 
     def shard(batches):
         encode, vocabulary = _encoder(make, tokenizer)
         number, out = TaskContext.get().partitionId(), None
-        for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                if out is None:
-                    fs, path = place(folder)
-                    fs.create_dir(f"{path}/shards", recursive=True)
-                    out = Writer(fs, f"{path}/shards/{number:07d}.ids", width(vocabulary), block)
-                ids = encode(text.as_py() or "")
-                out.add(doc_id, ids if end_id is None else np.append(ids, np.uint32(end_id)))
+        try:
+            for batch in batches:
+                for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+                    if out is None:
+                        fs, path = place(folder)
+                        fs.create_dir(f"{path}/shards", recursive=True)
+                        out = Writer(fs, f"{path}/shards/{number:07d}.ids", width(vocabulary), block)
+                    ids = encode(text.as_py() or "")
+                    out.add(doc_id, ids if end_id is None else np.append(ids, np.uint32(end_id)))
+            if out is not None:
+                out.close()
+        except BaseException:
+            if out is not None:
+                out.abandon()
+            raise
         if out is not None:
-            out.close()
             yield pa.RecordBatch.from_pydict({"shard": [number], "n_docs": [len(out.doc_ids)], "n_ids": [out.starts[-1]]}, schema=pa.schema([("shard", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id", F.substring("text", 1, 64), F.monotonically_increasing_id()).sortWithinPartitions("doc_id", "text").select("doc_id", "text")
     ordered.mapInArrow(tidied(shard), "shard int, n_docs long, n_ids long").write.parquet(f"{folder}/index")
     return spark.read.schema("shard int, n_docs long, n_ids long").parquet(f"{folder}/index")
 
