@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folia.llm import sketch
-from folia.llm.common import components, small, tidied, written
+from folia.llm.common import column, components, small, tidied, written
 
 #: Words in a shingle, and the similarity from which documents link, in hundredths.
 WORDS, PERCENT = 5, 80
@@ -115,10 +115,10 @@ def _posted(shared):
             tokens, los, ns, places = [], [], [], []
             for text in batch.column("text"):
                 found = shingles(text.as_py())
-                lo = np.frombuffer(xxhash.xxh3_128_digest(found.tobytes()), "<i8")[1]
-                if not len(found) or lo in seen:
+                hi, lo = np.frombuffer(xxhash.xxh3_128_digest(found.tobytes()), "<i8").tolist()
+                if not len(found) or (hi, lo) in seen:
                     continue
-                seen.add(lo)
+                seen.add((hi, lo))
                 n, k = len(found), prefix_length(len(found))
                 known = np.minimum(counts[sketch.places(found)], (1 << 23) - 1).astype(np.uint64)
                 first = np.argsort((known << np.uint64(40)) | (found >> np.uint64(24)), kind="stable")[:k]
@@ -320,16 +320,17 @@ def linked(docs: DataFrame) -> DataFrame:
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """The rows of docs without near copies: of each group the document with the smallest doc_id stays, of its repeated rows one.
+    """The rows of docs without near copies: of each group the document with the smallest doc_id stays, of rows that share this id the one whose text comes first.
 
     Documents without shingles and rows with a null doc_id stay as they are.
     """
     found = written(linked(docs), "jaccard-found")
     gone = written(found.where("doc_id <> component_id and n_shingles > 0").select(F.col("doc_id").alias("_gone")).distinct(), "jaccard-gone")
-    left = docs.join(small(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
+    packed = docs.select(F.struct(*[column(c) for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_doc"), F.col("text").alias("_text"))
+    left = packed.join(small(gone), F.col("_doc") == F.col("_gone"), "left_anti")
     again = written(found.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again")), "jaccard-again")
-    if again.limit(1).count() == 0:
-        return left
-    once = left.join(small(again), F.col("doc_id") == F.col("_again"), "left_anti")
-    repeated = left.join(small(again), F.col("doc_id") == F.col("_again"), "left_semi")
-    return once.unionByName(repeated.dropDuplicates(["doc_id"]))
+    if again.limit(1).count():
+        once = left.join(small(again), F.col("_doc") == F.col("_again"), "left_anti").select("_row")
+        repeated = left.join(small(again), F.col("_doc") == F.col("_again"), "left_semi")
+        left = once.union(repeated.groupBy("_doc").agg(F.min_by("_row", F.struct(F.col("_text").isNull(), "_text", F.to_json("_row"))).alias("_row")).select("_row"))
+    return left.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
