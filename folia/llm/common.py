@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folia.storage import shared_dir, shared_path, written
+
+__all__ = ["shared_dir", "shared_path", "written"]
+
 #: The characters that part words: space and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_RUN = "[\\x20\\x09-\\x0D]+"
@@ -24,34 +26,6 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or where it is unset and Spark runs in this machine alone, a new one."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not found:
-        if not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="folia-shared-"))
-        found = sc.getCheckpointDir()
-    return found.rstrip("/")
-
-
-def shared_path(spark: SparkSession, label: str) -> str:
-    """A fresh place in the shared folder, removed when the application ends."""
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    jvm = spark._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return path
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """The same rows read back from Parquet in the shared folder: lineage ends here, and a lost executor costs no recomputation."""
-    path = shared_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def small(df: DataFrame, rows: int = BROADCAST_ROWS, weight: Column | None = None) -> DataFrame:
     """df marked for broadcast if it has at most so many rows (with weight: of at most ten times that weight in all); otherwise df as it is. df should be cheap to count."""
     head = df.limit(rows + 1)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folia.llm.common import n_words, small, written
+from folia.llm.common import column, n_words, small, written
 
 SEED = "folia-mix-1"
 #: Fixed values of the query's contract: weights of sources by rank, repeating, and the most a document may be repeated.
@@ -154,7 +154,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_copies: int = MAX_COPIES, seed: st
 
 def mixed(docs: DataFrame, weights=WEIGHTS, max_copies: int = MAX_COPIES, seed: str = SEED) -> DataFrame:
     """The rows of docs, each as often as the mix takes it, with docs' own columns. The texts are not shuffled."""
-    sized = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id"), F.col("source"), n_words(F.col("text")).alias("size"))
+    sized = docs.select(F.struct(*[column(c) for c in docs.columns]).alias("_row"), F.col("doc_id"), F.col("source"), n_words(F.col("text")).alias("size"))
     made = plan(written(sized.select("doc_id", "source", "size"), "mix-sizes"), weights, max_copies, seed)
     taken = decide(sized, made, seed).where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return taken.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])

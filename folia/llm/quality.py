@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folia.llm.common import BLANKS, let, words, written
+from folia.llm.common import BLANKS, column, let, words, written
 
 #: Buckets of hashed n-grams, and the n-grams of the raw distribution that are added to the trusted ones.
 BUCKETS, SMOOTHING = 1 << 14, float(1 << 14)
@@ -109,7 +109,7 @@ def assessed(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, b
     ratio, 0, and the base rules decide alone. An empty table gives an empty result.
     """
     llr = written(ratios(docs, trusted(labels, max_trusted), buckets), "quality-ratios")
-    packed = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text").withColumn("_llr", llr.select("llr").scalar())
+    packed = docs.select(F.struct(*[column(c) for c in docs.columns]).alias("_row"), "doc_id", "text").withColumn("_llr", llr.select("llr").scalar())
     return packed.withColumn("_v", verdict(F.col("text"), F.col("_llr"), threshold, buckets)).select("_row", "doc_id", "_v.*")
 
 
