@@ -54,9 +54,21 @@ def image_files(images: DataFrame, image_data: DataFrame) -> DataFrame:
     return images.join(image_data.select("doc_id", "xref", "ext", "image"), ["doc_id", "xref"], "left")
 
 
-def overlapping(left: DataFrame, right: DataFrame, predicate, keys=("doc_id", "page")) -> DataFrame:
-    """Pairs of rectangles on the same page that meet the predicate: an equi join with a residual condition."""
-    condition = predicate
-    for k in keys:
-        condition = condition & (left[k] == right[k])
-    return left.join(right, condition)
+def overlapping(left: DataFrame, right: DataFrame, predicate, keys=("doc_id", "page"), boxes=None, size: float = 0.0) -> DataFrame:
+    """keys and the other columns of both sides for pairs on the same page that meet the predicate: an equi join with a residual condition.
+
+    predicate(l, r) makes the condition from functions that give a side's column by name. With boxes, the columns of the sides' rectangles, pairs
+    whose rectangles have no point in common are left out: both sides meet in the squares of size that their rectangles touch, each
+    pair in the square of its common corner alone, so a page of very many rectangles isn't one group.
+    """
+    a, b = (side.select(*keys, F.struct(*[c for c in side.columns if c not in keys]).alias(name)) for side, name in ((left, "_l"), (right, "_r")))
+    on = list(keys)
+    corner = F.lit(True)
+    if boxes is not None:
+        on += ["_sx", "_sy"]
+        low = {k: F.greatest(F.col("_l")[boxes[0]][k], F.col("_r")[boxes[1]][k]) for k in ("x0", "y0")}
+        corner = (F.floor(low["x0"] / size) == F.col("_sx")) & (F.floor(low["y0"] / size) == F.col("_sy"))
+        for axis in "xy":
+            a, b = (side.withColumn(f"_s{axis}", F.explode(F.sequence(F.floor(F.col(name)[box][f"{axis}0"] / size), F.floor(F.col(name)[box][f"{axis}1"] / size)))) for side, name, box in ((a, "_l", boxes[0]), (b, "_r", boxes[1])))
+    found = a.join(b, on).where(corner).where(predicate(lambda c: F.col("_l").getField(c), lambda c: F.col("_r").getField(c)))
+    return found.select(*keys, "_l.*", "_r.*")

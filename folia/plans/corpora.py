@@ -96,17 +96,15 @@ def titled(df: DataFrame) -> DataFrame:
 
 def _predicted(data: bytes, columns: int) -> bytes:
     """Rows with the PNG predictors in turn, each by its own tag."""
-    rows, above = [], np.zeros(columns, dtype=np.int32)
-    for k, at in enumerate(range(0, len(data), columns)):
-        row = np.frombuffer(data[at : at + columns].ljust(columns, b"\0"), dtype=np.uint8).astype(np.int32)
-        left, corner = np.r_[0, row[:-1]], np.r_[0, above[:-1]]
-        near = left + above - corner
-        a, b, c = abs(near - left), abs(near - above), abs(near - corner)
-        paeth = np.where((a <= b) & (a <= c), left, np.where(b <= c, above, corner))
-        guess = (np.zeros(columns, dtype=np.int32), left, above, (left + above) // 2, paeth)[k % 5]
-        rows.append(bytes([k % 5]) + ((row - guess) & 255).astype(np.uint8).tobytes())
-        above = row
-    return b"".join(rows)
+    rows = np.frombuffer(data.ljust(-(-len(data) // columns) * columns, b"\0"), dtype=np.uint8).reshape(-1, columns).astype(np.int32)
+    left, above = np.pad(rows, ((0, 0), (1, 0)))[:, :-1], np.pad(rows, ((1, 0), (0, 0)))[:-1]
+    corner = np.pad(left, ((1, 0), (0, 0)))[:-1]
+    near = left + above - corner
+    a, b, c = abs(near - left), abs(near - above), abs(near - corner)
+    paeth = np.where((a <= b) & (a <= c), left, np.where(b <= c, above, corner))
+    kinds = np.arange(len(rows)) % 5
+    guess = np.choose(kinds[:, None], (np.zeros_like(rows), left, above, (left + above) // 2, paeth))
+    return np.c_[kinds, (rows - guess) & 255].astype(np.uint8).tobytes()
 
 
 FILTERS = ("FlateDecode", "ASCIIHexDecode", "ASCII85Decode", "predicted", "chain", "none")

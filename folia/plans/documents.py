@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from folia import render
 from folia.functions import text as T
 from folia.operators import authoring, grouping, navigation
 from folia.pdf.fonts import COURIER, HELVETICA, HELVETICA_BOLD
+from folia.pdf.images import Pixmap, unpng
 from folia.plans import corpora
 from folia.plans.geometry import k, sql_k
 from folia.sources import tables
@@ -408,10 +410,18 @@ SELECT doc_id, CAST(xref AS BIGINT) AS xref, ext, CAST(len(s) AS INT) AS n, md5(
 
 
 def pixmaps(spark, sf_dir):
-    """A pixmap's attributes and one pixel, as Column arithmetic on its samples."""
-    p = _pixels(spark, sf_dir).withColumn("x", F.col("doc_id").cast("int") % 4).withColumn("y", F.col("doc_id").cast("int") % 5).withColumn("n", F.lit(3)).withColumn("width", F.lit(4))
-    at = F.col("y") * F.col("n") * F.col("width") + F.col("x") * F.col("n")
-    return p.select("doc_id", (F.col("n") * F.col("width")).alias("stride"), F.col("n").isin(2, 4).alias("alpha"), F.when(F.col("n") <= 2, "DeviceGray").otherwise("DeviceRGB").alias("colorspace"), *[F.get("pixels", at + c).alias(f"c{c}") for c in range(3)])
+    """Pixmaps' attributes and one pixel of each, after a PNG was made of it and read again."""
+
+    def run(frames):
+        for frame in frames:
+            rows = []
+            for doc_id, pixels in zip(frame["doc_id"], frame["pixels"]):
+                width, height, _, _, samples = unpng(Pixmap(4, 5, 3, bytes(map(int, pixels))).to_png())
+                p = Pixmap(width, height, 3, samples)
+                rows.append((doc_id, p.stride, p.alpha, p.colorspace, *p.pixel(int(doc_id) % 4, int(doc_id) % 5)))
+            yield pd.DataFrame(rows, columns=["doc_id", "stride", "alpha", "colorspace", "c0", "c1", "c2"])
+
+    return _pixels(spark, sf_dir).select("doc_id", "pixels").mapInPandas(run, "doc_id string, stride int, alpha boolean, colorspace string, c0 int, c1 int, c2 int")
 
 
 PIXMAPS = f"WITH {PIXELS}, q AS (SELECT *, (vec % 5) * 12 + (vec % 4) * 3 AS a FROM (SELECT *, CAST(doc_id AS INT) AS vec FROM px)) SELECT doc_id, 12 AS stride, false AS alpha, 'DeviceRGB' AS colorspace, CAST(p[a + 1] AS INT) AS c0, CAST(p[a + 2] AS INT) AS c1, CAST(p[a + 3] AS INT) AS c2 FROM q"

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folia.functions import geometry as G
+from folia.operators import navigation
 
 
 def k(value, by: int = 1000):
@@ -142,8 +143,10 @@ SELECT l_orderkey, {_select({c: sql_k(c) for c in ("x0", "y0", "x1", "y1")})} FR
 def spatial_join(spark, sf_dir):
     """Rectangles of parts that contain points of suppliers with the same key: an equi join with a residual predicate."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", (F.col("p_partkey") % 25).cast("int").alias("cell"), G.rect(F.lit(0), F.lit(0), F.col("p_size") * 20, F.col("p_retailprice")).alias("r"))
+    spot = G.rect(F.col("p")["x"], F.col("p")["y"], F.col("p")["x"], F.col("p")["y"])
     supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", F.col("s_nationkey").cast("int").alias("cell"), G.point(F.col("s_suppkey") % 997, "s_acctbal").alias("p"))
-    return part.join(supplier, "cell").where(G.contains_point(F.col("r"), F.col("p"))).select("p_partkey", "s_suppkey", "cell")
+    found = navigation.overlapping(part, supplier.withColumn("spot", spot), lambda l, r: G.contains_point(l("r"), r("p")), ["cell"], ("r", "spot"), 250.0)  # noqa: E741
+    return found.select("p_partkey", "s_suppkey", "cell")
 
 
 SPATIAL_JOIN = """

@@ -25,3 +25,27 @@ def zoom(matrix=None, dpi: float | None = None) -> tuple:
 
 def render(content: bytes, page: int, matrix=None, dpi: float | None = None, colorspace: str = "rgb", alpha: bool = False):
     raise RenderingUnavailable(REASON)
+
+
+class Native:
+    """The facade of a native library: what it is, whether it is there, and why not."""
+
+    @staticmethod
+    def available() -> bool:
+        return available()
+
+    @staticmethod
+    def version() -> str | None:
+        return None
+
+    @staticmethod
+    def reason() -> str | None:
+        return unavailable_reason()
+
+    @staticmethod
+    def render(content: bytes, page: int, **style):
+        return render(content, page, **style)
+
+    @staticmethod
+    def text(content: bytes, page: int) -> str:
+        raise RenderingUnavailable(REASON)

@@ -430,3 +430,10 @@ def test_deep_documents():
     forms = {k: Stream({"Subtype": Name("Form"), "Resources": {"XObject": {"X": Ref(k + 1, 0)}}}, b"") for k in range(10, 60)} | {60: Stream({"Subtype": Name("Image"), "Width": 1, "Height": 1, "BitsPerComponent": 8, "ColorSpace": Name("DeviceGray")}, b"x")}
     d = Document(build({1: {"Type": Name("Catalog"), "Pages": Ref(2, 0)}, 2: {"Type": Name("Pages"), "Kids": [Ref(3, 0)]}, 3: {"Type": Name("Page"), "Resources": {"XObject": {"X": Ref(10, 0)}}}, **forms}, {"Root": Ref(1, 0)}))
     assert [x["xref"] for x in d.pages[0].images()] == [60]
+
+
+def test_native_facade():
+    assert not render.Native.available() and render.Native.version() is None and render.Native.reason()
+    for call in (render.Native.render, render.Native.text):
+        with pytest.raises(RenderingUnavailable):
+            call(b"", 0)

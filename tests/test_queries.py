@@ -44,6 +44,25 @@ def test_entry_without_the_optional_subpackage(monkeypatch):
     assert set(entry.queries()) == set(QUERIES) and set(entry.oracle_sql()) == set(ORACLES)
 
 
+def test_entry_with_the_optional_subpackage_deleted(tmp_path):
+    """Without both folders and the pipeline's file the other queries are there; a missing library is an error, not fewer queries."""
+    import shutil
+    import subprocess
+    import sys
+
+    import __spark_entry__ as entry
+
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    shutil.copytree(os.path.join(root, "folia"), tmp_path / "folia", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(os.path.join(root, "__spark_entry__.py"), tmp_path)
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    run = lambda code, cwd: subprocess.run([sys.executable, "-c", code], cwd=cwd, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, capture_output=True, text=True)
+    assert run(code, tmp_path).stdout.split() == [str(len(QUERIES)), str(len(ORACLES))]
+    if os.path.isdir(os.path.join(root, "folia", "llm")):
+        gone = run("import sys; sys.modules['xxhash'] = None; " + code, root)
+        assert gone.returncode and "xxhash" in gone.stderr
+
+
 def test_titles_are_whole_texts(spark, monkeypatch):
     """metadata writes the whole text of each document as its title, and whole titles are read."""
     from folia.plans import corpora
