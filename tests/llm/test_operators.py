@@ -26,11 +26,8 @@ def words(text):
 # 1 mixing
 
 
-def test_mix(rows, docs, empty):
-    from folia.llm.mixing import mix, mixed
-
-    got = mix(docs).collect()
-    assert len(got) == len(rows)
+def plain_targets(rows):
+    """The size and the target of each source of rows (doc_id, text, lang, source, n_chars)."""
     sizes = collections.Counter()
     for i, t, _, s, _ in rows:
         sizes[s] += len(words(t))
@@ -43,6 +40,15 @@ def test_mix(rows, docs, empty):
             target[s] = min(share[s], 3 * sizes[s])
             free.discard(s)
         left = sum(sizes.values()) - sum(target[s] for s in target) if over else 0
+    return sizes, target
+
+
+def test_mix(rows, docs, empty):
+    from folia.llm.mixing import mix, mixed
+
+    got = mix(docs).collect()
+    assert len(got) == len(rows)
+    sizes, target = plain_targets(rows)
     taken = collections.Counter()
     for r in got:
         assert r.size == len(words(next(t for i, t, *_ in rows if i == r.doc_id))) and r.source_size == sizes[r.source] and r.target == pytest.approx(target[r.source])
@@ -216,11 +222,9 @@ def test_memory_of_pieces_is_bounded():
 # 4 quality
 
 
-def test_quality(spark, rows, docs, empty):
-    from folia.llm.quality import BUCKETS, SMOOTHING, kept, verdicts
-
-    labels = spark.createDataFrame([(k, int(k % 4 != 0), 0) for k in range(40)] + [(None, 1, 0), (3, None, None)], "doc_id long, quality int, toxic int")
-    good = {k for k in range(40) if k % 4}
+def plain_verdicts(rows, good):
+    """The columns of op4 for rows (doc_id, text, ...), with the documents of good as the target."""
+    from folia.llm.quality import BUCKETS, SMOOTHING
 
     def h(*ws):
         seed = 42
@@ -247,6 +251,14 @@ def test_quality(spark, rows, docs, empty):
         failed = len(w) < 10 or 100 * len(again) > 20 * len(w)
         score = sum(math.log((own[b] * (n_raw / raw[b]) + SMOOTHING) / (n_own + SMOOTHING)) for b in f) / len(f) if f else None
         expected.append((i, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(again), failed, score and round(score, 9), not failed and score >= -0.1))
+    return expected
+
+
+def test_quality(spark, rows, docs, empty):
+    from folia.llm.quality import kept, verdicts
+
+    labels = spark.createDataFrame([(k, int(k % 4 != 0), 0) for k in range(40)] + [(None, 1, 0), (3, None, None)], "doc_id long, quality int, toxic int")
+    expected = plain_verdicts(rows, {k for k in range(40) if k % 4})
     got = [(*tuple(r)[:7], r.score and round(r.score, 9), r.kept) for r in verdicts(docs, labels).collect()]
     assert sorted(got, key=str) == sorted(expected, key=str)
     assert 0 < sum(x[-1] for x in expected) < len(rows)
@@ -592,10 +604,13 @@ def plain_classes(lines):
             x = up[x]
         return x
 
+    split = {x: line_words(x) for x in lines}
+    counts = {x: collections.Counter(w) for x, w in split.items()}
     for x in lines:
         for y in lines:
-            a, b = line_words(x), line_words(y)
-            if x < y and (edit_distance(x, y, most := bound(min(len(x), len(y)), None)) <= most or _plain(a, b, 99) <= max(len(a), len(b)) // 10):
+            a, b = split[x], split[y]
+            near = min(len(x), len(y)) >= 40 and max(sum((counts[x] - counts[y]).values()), sum((counts[y] - counts[x]).values())) <= max(len(a), len(b)) // 10
+            if x < y and (edit_distance(x, y, most := bound(min(len(x), len(y)), None)) <= most or (near and _plain(a, b, len(a)) <= max(len(a), len(b)) // 10)):
                 up[root(x)] = root(y)
     groups = collections.defaultdict(list)
     for x in lines:
@@ -837,3 +852,38 @@ def test_pipeline(spark, tmp_path, docs):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, str(tmp_path))
     assert empty.count() == 0
+
+
+def test_pipeline_against_plain_stages(spark, tmp_path, rows, bpe):
+    """run() on the corpus against plain versions of its stages, one after the other, over all rows."""
+    import corpus_pipeline
+
+    w = words(rows[6][1].replace("the", "thereon"))  # the same words in other lines: near copies that share no line
+    rows = [*rows, *[(600 + n, "\n".join(" ".join(w[k : k + n]) for k in range(0, len(w), n)), "en", "src1", 1) for n in (31, 43, 57)]]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(k, int(k % 4 != 0), 0) for k in range(40)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    kept = [r for r, v in zip(rows, plain_verdicts(rows, {k for k in range(40) if k % 4})) if v[-1]]
+    places = sorted(((i is None, i or 0), k, x) for i, t, *_ in kept for k, x in enumerate(t.split("\n")) if words(x))
+    named, first = plain_classes(sorted({x for *_, x in places})), {}
+    for *place, x in places:
+        first.setdefault(named[x], place)
+    deduplicated = []
+    for i, t, lang, source, _ in kept:
+        left = "\n".join(x for k, x in enumerate(t.split("\n")) if not words(x) or first[named[x]] == [(i is None, i or 0), k])
+        deduplicated.append((i, left, lang, source, len(left)))
+    groups = similar([(i, t) for i, t, *_ in deduplicated if i is not None])
+    apart = [r for r in deduplicated if r[0] is None or not words(r[1]) or groups[r[0]][1] == r[0]]
+    assert len(rows) > len(kept) > len(apart) > 10 and any(a[1] != b[1] for a, b in zip(kept, deduplicated))
+    assert {631, 643} <= {r[0] for r in deduplicated} and {631, 643} & {r[0] for r in apart} == {631}
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    by_id, copies, taken = {r[0]: r for r in apart}, collections.Counter(r.doc_id for r in got), collections.Counter()
+    encoder = bpe[1]
+    for r in got:
+        assert tuple(r)[:5] == by_id[r.doc_id], r.doc_id
+        taken[r.source] += len(words(r.text))
+    for i in copies:
+        row = next(r for r in got if r.doc_id == i)
+        assert list(row.token_ids) == encoder.encode_ordinary(row.text) and row.n_tokens == len(row.token_ids) and copies[i] <= 3
+    sizes, target = plain_targets(apart)
+    for s in sizes:
+        assert abs(taken[s] - target[s]) <= max(len(words(r[1])) for r in apart if r[3] == s) / 2
