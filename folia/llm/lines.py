@@ -17,7 +17,7 @@ characters leave alike. A letter of a script written without blanks is a word.
 Keys of up to POSTED lines yield their pairs. A more frequent key first yields a chain, in which each line meets its next
 CHAIN ones; then the lines of such keys, as numbers and histograms of characters and words, are compared with all lines of
 the key that are in another class by then, in tiles of PART by PART lines, and pairs whose histograms leave room for a link
-are verified there, unless the tile has connected them. So copies in great numbers cost a chain, and no link is lost.
+are verified there, unless the tile has connected them or another of their common keys does it. So copies in great numbers cost a chain, and no link is lost.
 
 Linked lines form classes. The occurrence of a class with the smallest (doc_id, line number) stays, all others go. Lines
 are told apart by two 64-bit hashes.
@@ -319,16 +319,22 @@ def _shaped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shapes(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, CHARS + WORDS).astype(np.int16)
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, CHARS + WORDS)
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How far the histograms of characters and of words are apart."""
+    gap = np.maximum(x, y) - np.minimum(x, y)
+    return gap[:, :CHARS].sum(1, dtype=np.int32), gap[:, CHARS:].sum(1, dtype=np.int32)
 
 
 def _room(n_a, n_b, m_a, m_b, apart, edits: int | None):
     """Whether sizes and the differences of histograms leave room for a link."""
     least, most = np.minimum(n_a, n_b), np.maximum(m_a, m_b) // SHARE
     few = bound(least, edits)
-    ok = (np.abs(n_a - n_b) <= few) & (apart[..., :CHARS].sum(-1) <= 2 * few)
+    ok = (np.abs(n_a - n_b) <= few) & (apart[0] <= 2 * few)
     if edits is None:
-        ok |= (least >= LEAST_CHARS) & (np.abs(m_a - m_b) <= most) & (apart[..., CHARS:].sum(-1) <= 2 * most)
+        ok |= (least >= LEAST_CHARS) & (np.abs(m_a - m_b) <= most) & (apart[1] <= 2 * most)
     return ok
 
 
@@ -338,16 +344,16 @@ def _roomy(edits: int | None):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("n_a", "n_b", "m_a", "m_b")]
-            ok = pa.array(_room(*sizes, np.abs(_shapes(batch.column("shape_a")) - _shapes(batch.column("shape_b"))), edits))
+            ok = pa.array(_room(*sizes, _apart(_shapes(batch.column("shape_a")), _shapes(batch.column("shape_b"))), edits))
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(ok) for c in ("a", "b")], names=["a", "b"])
 
     return rows
 
 
 def _compared(edits: int | None):
-    """Links from tiles (key, i, j) of the rows of a frequent key, sorted by tile and info: between lines of different classes whose histograms leave room. Lines that a tile has connected aren't compared again."""
+    """Links from tiles (key, i, j) of the rows of a frequent key, sorted by tile and info: between lines of different classes whose histograms leave room. Lines that a tile has connected aren't compared again, and of the frequent keys that may link a pair only the smallest compares it."""
 
-    def compare(columns, texts, across):
+    def compare(key, columns, texts, own, across):
         node, check, info, part, group, n, m, found = columns
         up: dict[int, int] = {}
 
@@ -357,6 +363,10 @@ def _compared(edits: int | None):
                 x = y
             return x
 
+        def first_key(x, y):
+            shared, i, j = np.intersect1d(x[0], y[0], return_indices=True)
+            return shared[_may_link(x[1][i], y[1][j])][0]
+
         out, x = [], 0
         while x < len(node) - 1:
             end = len(node)
@@ -372,10 +382,10 @@ def _compared(edits: int | None):
             i, j = i[ok], j[ok]
             for s in range(0, len(i), CELLS // WORDS):
                 a, b = i[s : s + CELLS // WORDS], j[s : s + CELLS // WORDS]
-                ok = _room(n[a], n[b], m[a], m[b], np.abs(found[a] - found[b]), edits)
+                ok = _room(n[a], n[b], m[a], m[b], _apart(found[a], found[b]), edits)
                 for k, l in zip(a[ok].tolist(), b[ok].tolist()):  # noqa: E741
                     one, other = root(int(group[k])), root(int(group[l]))
-                    if one != other and links(texts[k], texts[l], edits):
+                    if one != other and first_key(own[k], own[l]) == key and links(texts[k], texts[l], edits):
                         up[one] = other
                         out.append((k, l))
             x += rows
@@ -383,24 +393,27 @@ def _compared(edits: int | None):
         return pa.RecordBatch.from_arrays([pa.array(c) for c in (node[k], check[k], node[l], check[l])], names=["a", "check_a", "b", "check_b"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile, held, texts = None, [], []
+        tile, held, texts, own = None, [], [], []
 
         def done():
-            return compare([np.concatenate([h[c] for h in held]) for c in range(8)], texts, tile[1] != tile[2])
+            return compare(tile[0], [np.concatenate([h[c] for h in held]) for c in range(8)], texts, own, tile[1] != tile[2])
 
         for batch in batches:
             numbers = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "i", "j", "node", "check", "info", "part", "group", "n", "m")]
             found, lines, tiles = _shapes(batch.column("shape")), batch.column("line"), np.stack(numbers[:3], 1)
+            lists = [batch.column(c) for c in ("keys", "infos")]
+            starts, flat = lists[0].offsets.to_numpy(), [x.values.to_numpy(zero_copy_only=False) for x in lists]
             edges = np.r_[0, np.flatnonzero((tiles[1:] != tiles[:-1]).any(1)) + 1, len(tiles)]
             for low, high in zip(edges[:-1].tolist(), edges[1:].tolist()):
                 if low == high:
                     continue
                 if held and tuple(tiles[low]) != tile:
                     yield done()
-                    held, texts = [], []
+                    held, texts, own = [], [], []
                 tile = tuple(tiles[low])
                 held.append([x[low:high] for x in numbers[3:]] + [found[low:high]])
                 texts += lines[low:high].to_pylist()
+                own += [[x[starts[k] : starts[k + 1]] for x in flat] for k in range(low, high)]
         if held:
             yield done()
 
@@ -444,9 +457,10 @@ def classes(docs: DataFrame, edits: int | None = EDITS, least: int = LEAST_CHARS
         open_keys = rows.groupBy("key").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"), F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("key", "parts")
         rows = written(rows.join(small(written(open_keys, "lines-open")), "key"), "lines-compared")
         texts = lines.join(small(written(rows.select("node").distinct(), "lines-named"), FILTERED), "node", "left_semi")
-        tiles = rows.join(texts, "node").join(shaped, "node").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        posts = rows.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("key", "info"))).alias("_")).select("node", F.col("_.key").alias("keys"), F.col("_.info").alias("infos"))
+        tiles = rows.join(texts.join(shaped, "node").join(posts, "node"), "node").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
         tiles = tiles.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
-        tiles = tiles.select("key", "i", "j", "node", "check", "info", "part", "group", "n", "m", "shape", "line").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "info", "node")
+        tiles = tiles.select("key", "i", "j", "node", "check", "info", "part", "group", "n", "m", "shape", "keys", "infos", "line").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "info", "node")
         linked = linked.union(written(tiles.mapInArrow(tidied(_compared(edits)), LINKS), "lines-late"))
     ends = linked.select(F.col("a").alias("node"), F.col("check_a").alias("check")).union(linked.select("b", "check_b")).distinct()
     return ends.join(components(linked.select("a", "b"), "lines-classes"), "node").select("node", "check", F.col("component").alias("class"))
