@@ -170,7 +170,7 @@ def worded(chunk: Chunk) -> np.ndarray:
 
 
 def keys(lines: list[str], edits: int | None = EDITS, counts: np.ndarray | None = None, chunk: Chunk | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, number of the line, info) of lines: info 0 for index keys, 1 for probes, from 2 on for grams of words."""
+    """(key, number of the line, info) of lines: info 0 for index keys, 1 for probes, from 2 on for pairs of words."""
     chunk = chunk or Chunk(lines)
     n, m = chunk.n, chunk.m
 

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from folia.llm import sketch
 from folia.llm.common import BLANKS, WORD, column, components, small, tidied, written
-from folia.llm.line_keys import ANYWHERE, EDITS, KINDS, LEAST_CHARS, SHARE, Chunk, bound, keys, pair_hashes, slack, worded
+from folia.llm.line_keys import ANYWHERE, EDITS, LEAST_CHARS, SHARE, Chunk, bound, keys, pair_hashes, slack, worded
 
 #: Lines of a key up to which all its pairs are made, and the next ones that a line of a more frequent key meets in its chain.
 POSTED, CHAIN = 32, 4
