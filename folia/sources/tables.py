@@ -53,8 +53,8 @@ def _documents(d) -> Iterator[dict]:
     yield {"version": d.file.version, "page_count": len(d.pages), "encrypted": d.encrypted, "metadata": d.metadata}
 
 
-def _pages(d) -> Iterator[dict]:
-    for p in d.pages:
+def _pages(d, index: int | None = None) -> Iterator[dict]:
+    for p in d.pages if index is None else d.pages[index:][:1] if -len(d.pages) <= index else ():
         yield {"page": p.number, "obj_num": p.num, "mediabox": _rect(p.mediabox), "cropbox": _rect(p.cropbox), "rotation": p.rotation, "rect": _rect(p.rect), "width": p.width, "height": p.height}
 
 
@@ -169,12 +169,12 @@ PROFILES: dict[str, Callable] = {
 }
 
 
-def parse(name: str, doc_id: str | None, content: bytes | None) -> Iterator[dict]:
-    """The rows of one document in a table, as dicts, or as tuples of all columns; a document that can't be opened is a row of documents alone."""
+def parse(name: str, doc_id: str | None, content: bytes | None, profile: Callable | None = None) -> Iterator[dict]:
+    """The rows of one document in a table (or those of its profile here), as dicts, or as tuples of all columns; a document that can't be opened is a row of documents alone."""
     from folia.pdf.document import Document
 
     try:
-        rows = PROFILES[name](Document(content or b""))
+        rows = (profile or PROFILES[name])(Document(content or b""))
         for row in rows:
             yield (doc_id, *row) if isinstance(row, tuple) else row | {"doc_id": doc_id}
     except Exception as e:  # a scan of many documents goes on whatever one of them holds
@@ -182,7 +182,7 @@ def parse(name: str, doc_id: str | None, content: bytes | None) -> Iterator[dict
             yield {"doc_id": doc_id} | _error(e)
 
 
-def batches(name: str, schema: pa.Schema, source: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+def batches(name: str, schema: pa.Schema, source: Iterator[tuple], profile: Callable | None = None) -> Iterator[pa.RecordBatch]:
     rows: list = []
 
     def batch() -> pa.RecordBatch:
@@ -191,7 +191,7 @@ def batches(name: str, schema: pa.Schema, source: Iterator[tuple]) -> Iterator[p
         return pa.RecordBatch.from_pylist(rows, schema=schema)
 
     for doc_id, content in source:
-        for row in parse(name, doc_id, content):
+        for row in parse(name, doc_id, content, profile):
             rows.append(row)
             if len(rows) >= BATCH:
                 yield batch()
@@ -207,13 +207,13 @@ def bounded(spark: SparkSession, size: int = 64 << 20) -> None:
         spark.conf.set(key, str(size))
 
 
-def table(files: DataFrame, name: str, id_col: str = "doc_id", content_col: str = "content") -> DataFrame:
-    """One table of SCHEMAS over files."""
+def table(files: DataFrame, name: str, id_col: str = "doc_id", content_col: str = "content", profile: Callable | None = None) -> DataFrame:
+    """One table of SCHEMAS over files, of the rows that profile has in place of its own."""
     schema = SCHEMAS[name]
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(source):
-        yield from batches(name, arrow, ((i, c) for b in source for i, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist())))
+        yield from batches(name, arrow, ((i, c) for b in source for i, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist())), profile)
 
     bounded(files.sparkSession)
     return files.select(F.col(id_col).cast("string").alias("doc_id"), F.col(content_col).alias("content")).mapInArrow(run, schema)
@@ -256,12 +256,8 @@ class Corpus:
         raise AttributeError(name)
 
     def page(self, index: int) -> DataFrame:
-        """Rows of pages by index; negative ones count from the end of each document."""
-        pages = self.pages
-        if index >= 0:
-            return pages.where(F.col("page") == index)
-        counts = self.documents.select(F.col("doc_id").alias("_d"), "page_count")
-        return pages.join(counts, F.col("doc_id") == F.col("_d")).where(F.col("page") == F.col("page_count") + index).drop("_d", "page_count")
+        """Rows of pages by index; negative ones count from the end of each document. Each is taken in the one parse of its document."""
+        return table(self.files, "pages", self.id_col, self.content_col, lambda d: _pages(d, index))
 
     def create_views(self, prefix: str = "pdf_") -> None:
         """Temporary views of all tables, for SQL."""

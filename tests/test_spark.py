@@ -165,3 +165,14 @@ def test_rows_of_late_types_are_dealt_out(spark):
     found = Corpus(files).documents.withColumn("part", F.spark_partition_id()).collect()
     assert sorted(str(r.doc_id) for r in found) == ["None"] * 8 + ["a"] * 16 + ["b"] * 8
     assert {(r.page_count, r.error_class) for r in found} == {(1, None)} and len({r.part for r in found}) > 1
+
+
+def test_pages_by_index_in_one_parse(spark):
+    """Pages by index from either end, none beyond; documents are not parsed again to be counted and joined."""
+    from folia.plans import corpora
+
+    rows = spark.createDataFrame([(d, k, 100 + k, 200, 0) for d, n in (("a", 1), ("b", 3)) for k in range(n)], "doc_id string, pos int, w int, h int, turn int")
+    c = Corpus(corpora.boxed(rows))
+    found = {k: sorted((r.doc_id, r.page, r.mediabox.x1) for r in c.page(k).collect()) for k in (0, 2, 3, -1, -3, -4)}
+    assert found == {0: [("a", 0, 100.0), ("b", 0, 100.0)], 2: [("b", 2, 102.0)], 3: [], -1: [("a", 0, 100.0), ("b", 2, 102.0)], -3: [("b", 0, 100.0)], -4: []}
+    assert "Join" not in c.page(-1)._jdf.queryExecution().executedPlan().toString()
