@@ -22,7 +22,8 @@ are verified there, unless the tile has connected them or another of their commo
 Linked lines form classes. The occurrence of a class with the smallest (doc_id, line number) stays, all others go. Lines
 are told apart by two 64-bit hashes.
 
-Scale: only hashes move for all lines, about 24 bytes for each key; a line has up to 21 keys when it is short, and one for
+Scale: only hashes move for all lines, about 14 bytes for each key, packed by the first bits of the keys, and keys that one line alone has
+end where they arrive; a line has up to 21 keys when it is short, and one for
 five words when it is long. Texts move only for lines whose keys meet another's. Equal lines are one line from the start, so
 a line that a third of all documents share costs no more.
 """
@@ -49,6 +50,8 @@ POSTED, CHAIN = 32, 4
 PART, FILTERED = 20_000, 500_000
 #: Characters whose keys are made at once, rows of keys that are gathered before they are paired, and pairs of lines that are compared at once.
 CHUNK, GATHERED, CELLS = 200_000, 100_000, 1 << 18
+#: Slots that keys are dealt to by their first 12 bits; the next 32 tell them apart within one. Rows of keys that a task packs at once.
+SLOTS, PACKED = 1 << 12, 1 << 19
 LINKS = "a long, check_a long, b long, check_b long"
 #: Buckets of the histograms of characters and words.
 CHARS, WORDS = 16, 128
@@ -180,18 +183,63 @@ def _counted(least: int):
 
 
 def _keyed(edits: int | None, least: int, shared):
-    """(key, node, info): the keys of a task's distinct lines. info is 0 for index keys, 1 for probes, and from 2 on for pairs of words (words << 16 | place) + 2."""
+    """The keys of a task's distinct lines with their nodes and infos, packed by slot. info is 0 for index keys, 1 for probes, and from 2 on for pairs of words (words << 16 | place) + 2."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = shared.value if shared is not None else None
+        counts, waiting, n = shared.value if shared is not None else None, [], 0
         for nodes, lines in _distinct(batches, least if edits is not None else max(least, 1)):
             key, line, info = keys(lines, edits, counts)
-            node = np.array(nodes, dtype=np.uint64).view(np.int64)[line]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, node, info)], names=["key", "node", "info"])
+            waiting.append((key, np.array(nodes, dtype=np.uint64).view(np.int64)[line], info))
+            n += len(key)
+            if n >= PACKED:
+                yield _packed(*map(np.concatenate, zip(*waiting)))
+                waiting, n = [], 0
+        if n:
+            yield _packed(*map(np.concatenate, zip(*waiting)))
 
     return rows
 
 
+def _packed(key: np.ndarray, node: np.ndarray, info: np.ndarray) -> pa.RecordBatch:
+    """A row (slot, low, node, info) for each slot: the bytes of 32 bits of its keys, of their nodes, and of their infos by planes, of which most are empty."""
+    key = key.view(np.uint64)
+    order = np.argsort(key)
+    key, node, info = key[order], node[order], info[order]
+    low = ((key >> np.uint64(20)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    edges = np.searchsorted((key >> np.uint64(52)).astype(np.int32), np.arange(SLOTS + 1, dtype=np.int32))
+    slot = np.flatnonzero(edges[1:] > edges[:-1])
+    ends = list(zip(edges[slot].tolist(), edges[slot + 1].tolist()))
+    planes = info.view(np.uint8).reshape(-1, 8)
+    blocks = [low[s:e].tobytes() for s, e in ends], [node[s:e].tobytes() for s, e in ends], [planes[s:e].T.tobytes() for s, e in ends]
+    return pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), *[pa.array(x, pa.binary()) for x in blocks]], names=["slot", "low", "node", "info"])
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows of _packed sorted by slot: (key, node, info) of the keys that more than one row has, sorted by them, a slot at a time."""
+
+    def whole(slot, blocks):
+        low, node, planes = zip(*blocks)
+        low, node = np.frombuffer(b"".join(low), np.uint32), np.frombuffer(b"".join(node), np.int64)
+        order = np.argsort(low)
+        same = low[order][1:] == low[order][:-1]
+        pick = order[np.r_[same, False] | np.r_[False, same]] if len(order) > 1 else order[:0]
+        info = np.concatenate([np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view(np.int64).ravel() for x in planes])[pick]
+        low, node = low[pick], node[pick]
+        order = np.lexsort((node, info, low))
+        return pa.RecordBatch.from_arrays([pa.array(x[order]) for x in (low.astype(np.int64) | slot << 32, node, info)], names=["key", "node", "info"])
+
+    now, blocks = None, []
+    for batch in batches:
+        for slot, *block in zip(*[batch.column(c).to_pylist() for c in ("slot", "low", "node", "info")]):
+            if slot != now:
+                if blocks:
+                    yield whole(now, blocks)
+                now, blocks = slot, []
+            blocks.append(block)
+    if blocks:
+        yield whole(now, blocks)
+
+
 def _may_link(info_a, info_b):
     """Whether rows of a key can be of lines that link: segments always, pairs of words by the number of words and their places in them."""
     m_a, m_b, at_a, at_b = (info_a - 2) >> 16, (info_b - 2) >> 16, (info_a - 2) & ANYWHERE, (info_b - 2) & ANYWHERE
@@ -436,8 +484,8 @@ def classes(docs: DataFrame, edits: int | None = EDITS, least: int = LEAST_CHARS
     spark, texts, shared = docs.sparkSession, docs.select("text"), None
     if edits is None:
         shared = spark.sparkContext.broadcast(sketch.total(texts.mapInArrow(tidied(_counted(least)), "piece int, counts binary")))
-    posted = texts.mapInArrow(tidied(_keyed(edits, least, shared)), "key long, node long, info long").repartition("key").sortWithinPartitions("key", "info", "node")
-    met = written(posted.mapInArrow(tidied(_met), "a long, b long, key long, info long"), "lines-met")
+    posted = texts.mapInArrow(tidied(_keyed(edits, least, shared)), "slot int, low binary, node binary, info binary").repartition("slot").sortWithinPartitions("slot")
+    met = written(posted.mapInArrow(tidied(lambda batches: _met(_shared(batches))), "a long, b long, key long, info long"), "lines-met")
     pairs = written(met.where("key is null").select("a", "b").distinct(), "lines-pairs")
     frequent = met.where("key is not null").select("key", F.col("a").alias("node"), "info")
     wanted = written(pairs.select("a").union(pairs.select("b")).union(frequent.select("node")).distinct().select(F.col("a").alias("node")), "lines-wanted")

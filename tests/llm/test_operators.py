@@ -887,3 +887,24 @@ def test_pipeline_against_plain_stages(spark, tmp_path, rows, bpe):
     sizes, target = plain_targets(apart)
     for s in sizes:
         assert abs(taken[s] - target[s]) <= max(len(words(r[1])) for r in apart if r[3] == s) / 2
+
+
+def test_packed_keys_keep_all_that_lines_share():
+    """Packing and unpacking drops the keys that one row alone has, and no other, whatever tasks they come from."""
+    from collections import Counter
+
+    import numpy as np
+    import pyarrow as pa
+
+    from folia.llm import lines as M
+
+    rng = np.random.default_rng(5)
+    pool = rng.integers(-(1 << 63), (1 << 63) - 1, 3000)
+    parts = [(pool[rng.integers(0, 3000, n)], rng.integers(-(1 << 63), (1 << 63) - 1, n), rng.integers(0, 1 << 40, n)) for n in (2000, 1, 1500)]
+    rows = sorted((r for p in parts for r in pa.Table.from_batches([M._packed(*p)]).to_pylist()), key=lambda r: r["slot"])
+    schema = pa.schema([("slot", pa.int32()), ("low", pa.binary()), ("node", pa.binary()), ("info", pa.binary())])
+    got = [tuple(x.values()) for b in M._shared(iter([pa.RecordBatch.from_pylist(rows[:100], schema), pa.RecordBatch.from_pylist(rows[100:], schema)])) for x in b.to_pylist()]
+    want = [((int(k) & (1 << 64) - 1) >> 20, int(n), int(i)) for p in parts for k, n, i in zip(*p)]
+    times = Counter(k for k, _, _ in want)
+    assert got == sorted((x for x in want if times[x[0]] > 1), key=lambda x: (x[0], x[2], x[1]))
+    assert sum(len(r["low"]) + len(r["node"]) for r in rows) == 12 * len(want)
