@@ -485,14 +485,14 @@ def classes(docs: DataFrame, edits: int | None = EDITS, least: int = LEAST_CHARS
     if edits is None:
         shared = spark.sparkContext.broadcast(sketch.total(texts.mapInArrow(tidied(_counted(least)), "piece int, counts binary")))
     posted = texts.mapInArrow(tidied(_keyed(edits, least, shared)), "slot int, low binary, node binary, info binary").repartition("slot").sortWithinPartitions("slot")
-    met = written(posted.mapInArrow(tidied(lambda batches: _met(_shared(batches))), "a long, b long, key long, info long"), "lines-met")
+    met = written(posted.mapInArrow(tidied(lambda batches: _met(_shared(batches))), "a long, b long, key long, info long"), "lines-met", "zstd")
     pairs = written(met.where("key is null").select("a", "b").distinct(), "lines-pairs")
     frequent = met.where("key is not null").select("key", F.col("a").alias("node"), "info")
     wanted = written(pairs.select("a").union(pairs.select("b")).union(frequent.select("node")).distinct().select(F.col("a").alias("node")), "lines-wanted")
     node, check = numbered(F.col("line"))
     lines = _taking_part(texts, least).select(node.alias("node"), check.alias("check"), "line").join(small(wanted, FILTERED), "node")
-    lines = written(lines.groupBy("node").agg(F.min(F.struct("check", "line")).alias("_")).select("node", "_.*"), "lines-texts")
-    shaped = written(lines.select("node", "line").mapInArrow(tidied(_shaped), "node long, n long, m long, shape binary"), "lines-shapes")
+    lines = written(lines.groupBy("node").agg(F.min(F.struct("check", "line")).alias("_")).select("node", "_.*"), "lines-texts", "zstd")
+    shaped = written(lines.select("node", "line").mapInArrow(tidied(_shaped), "node long, n long, m long, shape binary"), "lines-shapes", "zstd")
     one, other = (shaped.select(F.col("node").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("n", "m", "shape")]) for k in "ab")
     roomy = written(pairs.join(one, "a").join(other, "b").mapInArrow(tidied(_roomy(edits)), "a long, b long"), "lines-roomy")
     needed = lines.join(small(written(roomy.select("a").union(roomy.select("b")).distinct().select(F.col("a").alias("node")), "lines-needed"), FILTERED), "node", "left_semi")
@@ -518,7 +518,7 @@ def dropped(docs: DataFrame, edits: int | None = EDITS, least: int = LEAST_CHARS
     """doc_id, text_id (xxhash64 of the text) and gone, an array of struct(block, bits): bit k of a block stands for line 64 * block + k of that text, which goes."""
     node, check = numbered(F.col("line"))
     occurring = _taking_part(docs, least, F.col("doc_id"), F.xxhash64("text").alias("text_id")).select("doc_id", "text_id", "number", node.alias("node"), check.alias("check"))
-    occurring = written(occurring, "lines-occurring")
+    occurring = written(occurring, "lines-occurring", "zstd")
     linked = written(classes(docs.select("doc_id", "text"), edits, least), "lines-linked")
     place = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_id", "number")
     named = occurring.join(small(linked, FILTERED), ["node", "check"], "left")
