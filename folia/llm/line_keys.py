@@ -63,7 +63,7 @@ class Chunk:
         self.at = np.cumsum(self.n + 1) - self.n - 1
         power, self.inverse = _powers(len(data) + 1)
         self.sums = np.r_[_U(0), np.cumsum((data.astype(_U) + _U(1)) * power[: len(data)], dtype=_U)]
-        kind = KINDS[data]
+        kind = KINDS.take(data, mode="clip")
         own, blank = kind == 2, kind == 1
         first = ~blank
         first[1:] &= own[1:] | (kind[:-1] != 0)

@@ -15,9 +15,11 @@ of all pairs gives the order; any order finds every link. From WORDY words on th
 characters leave alike. A letter of a script written without blanks is a word.
 
 Keys of up to POSTED lines yield their pairs. A more frequent key first yields a chain, in which each line meets its next
-CHAIN ones; then the lines of such keys, as numbers and histograms of characters and words, are compared with all lines of
-the key that are in another class by then, in tiles of PART by PART lines, and pairs whose histograms leave room for a link
-are verified there, unless the tile has connected them or another of their common keys does it. So copies in great numbers cost a chain, and no link is lost.
+CHAIN ones. Then the frequent keys that have lines of several classes make up bundles, with all lines of these classes that
+have such a key: two lines of one key are in one bundle. The lines of a bundle, once each and as numbers and histograms of
+characters and words, are compared with those of other classes, and pairs whose histograms leave room for a link are verified
+there, unless the task has connected them. A bundle of more than PART lines is compared by its keys instead, in tiles of
+PART by PART lines, a pair at one of its common keys only. So copies in great numbers cost a chain, and no link is lost.
 
 Linked lines form classes. The occurrence of a class with the smallest (doc_id, line number) stays, all others go. Lines
 are told apart by two 64-bit hashes.
@@ -30,9 +32,11 @@ a line that a third of all documents share costs no more.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from operator import ne
 
 import numpy as np
 import pyarrow as pa
@@ -41,12 +45,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folia.llm import sketch
-from folia.llm.common import BLANKS, WORD, column, components, small, tidied, written
+from folia.llm.common import BLANKS, column, components, small, tidied, written
 from folia.llm.line_keys import ANYWHERE, EDITS, LEAST_CHARS, SHARE, Chunk, bound, keys, pair_hashes, slack, worded
 
 #: Lines of a key up to which all its pairs are made, and the next ones that a line of a more frequent key meets in its chain.
 POSTED, CHAIN = 32, 4
-#: Lines of a frequent key that meet in one task, and rows of numbers up to which a side is broadcast.
+#: Lines of a frequent key or of a bundle of them that meet in one task, and rows of numbers up to which a side is broadcast.
 PART, FILTERED = 20_000, 500_000
 #: Characters whose keys are made at once, rows of keys that are gathered before they are paired, and pairs of lines that are compared at once.
 CHUNK, GATHERED, CELLS = 200_000, 100_000, 1 << 18
@@ -131,18 +135,16 @@ def line_words(line: str) -> list[str]:
     return _WORDS.findall(line)
 
 
-def links(x: str, y: str, edits: int | None = EDITS) -> bool:
-    """Whether two lines link."""
-    most = int(bound(min(len(x), len(y)), edits))
-    if edit_distance(x, y, most) <= most:
+def links(x: str, y: str, edits: int | None = EDITS, split=line_words) -> bool:
+    """Whether two lines link. split: line_words, or one that keeps its answers."""
+    least, most = min(len(x), len(y)), int(bound(min(len(x), len(y)), edits))
+    if edits is not None or least < LEAST_CHARS:
+        return edit_distance(x, y, most) <= most
+    a, b = split(x), split(y)
+    many = max(len(a), len(b)) // SHARE
+    if many and len(a) == len(b) and sum(map(ne, a, b)) <= many:  # replaced words alone, the most frequent case
         return True
-    if edits is not None or min(len(x), len(y)) < LEAST_CHARS:
-        return False
-    a, b = line_words(x), line_words(y)
-    most = max(len(a), len(b)) // SHARE
-    if not most:
-        return False
-    return edit_distance(tuple(a), tuple(b), most) <= most
+    return edit_distance(x, y, most) <= most or (many > 0 and edit_distance(tuple(a), tuple(b), many) <= many)
 
 
 def _distinct(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[list[int], list[str]]]:
@@ -468,6 +470,66 @@ def _compared(edits: int | None):
     return rows
 
 
+def _bundled(edits: int | None):
+    """Links from the rows of bundles, sorted by bundle and words: between lines of different classes whose histograms leave room. Lines that a bundle has connected aren't compared again. With each link come the classes of its ends and the smallest that the bundle has joined to them."""
+
+    def compare(columns, texts):
+        node, check, group, n, m, found = columns
+        up, split = {}, functools.cache(line_words)
+
+        def root(x):
+            while (y := up.get(x, x)) != x:
+                up[x] = up.get(y, y)
+                x = y
+            return x
+
+        out, x = [], 0
+        while x < len(node) - 1:
+            rows = max(1, CELLS // (len(node) - x))
+            end = len(node)
+            if edits is None:  # sorted by words: no link reaches further
+                end = int(np.searchsorted(m, m[min(x + rows, end) - 1] * SHARE // (SHARE - 1) + 5))
+            one, other = slice(x, min(x + rows, len(node))), slice(x + 1, end)
+            ok = (group[one, None] != group[other]) & _room(n[one, None], n[other], m[one, None], m[other], (0, 0), edits)  # by sizes first
+            i, j = np.nonzero(np.triu(ok))
+            i, j = i + x, j + x + 1
+            for s in range(0, len(i), CELLS // WORDS):
+                a, b = i[s : s + CELLS // WORDS], j[s : s + CELLS // WORDS]
+                ok = _room(n[a], n[b], m[a], m[b], _apart(found[a], found[b]), edits)
+                for k, l in zip(a[ok].tolist(), b[ok].tolist()):  # noqa: E741
+                    one, other = root(int(group[k])), root(int(group[l]))
+                    if one != other and links(texts[k], texts[l], edits, split):
+                        up[one] = other
+                        out.append((k, l))
+            x += rows
+        k, l = np.array(out, dtype=np.int64).reshape(-1, 2).T  # noqa: E741
+        least: dict[int, int] = {}
+        for x in {*group[k].tolist(), *group[l].tolist()}:
+            least[root(x)] = min(x, least.get(root(x), x))
+        joined = np.array([least[root(x)] for x in group[k].tolist()], dtype=np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (node[k], check[k], node[l], check[l], group[k], group[l], joined)], names=["a", "check_a", "b", "check_b", "group_a", "group_b", "class"])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, texts = None, [], []
+        for batch in batches:
+            bundle, *numbers = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("bundle", "node", "check", "group", "n", "m")]
+            found, lines = _shapes(batch.column("shape")), batch.column("line")
+            edges = np.r_[0, np.flatnonzero(bundle[1:] != bundle[:-1]) + 1, len(bundle)]
+            for low, high in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                if low == high:
+                    continue
+                if held and bundle[low] != now:
+                    yield compare([np.concatenate(x) for x in zip(*held)], texts)
+                    held, texts = [], []
+                now = bundle[low]
+                held.append([x[low:high] for x in numbers] + [found[low:high]])
+                texts += lines[low:high].to_pylist()
+        if held:
+            yield compare([np.concatenate(x) for x in zip(*held)], texts)
+
+    return rows
+
+
 def numbered(line: Column) -> tuple[Column, Column]:
     """The number of a line, and a second hash: what tells lines apart."""
     return F.xxhash64(line), F.xxhash64(F.lit(1), line)
@@ -475,10 +537,18 @@ def numbered(line: Column) -> tuple[Column, Column]:
 
 def _taking_part(docs: DataFrame, least: int, *more: Column) -> DataFrame:
     """number, line and more columns for the lines of docs that take part."""
-    lines = docs.select(*more, F.posexplode(F.split("text", "\n")).alias("number", "line")).where(F.col("line").rlike(WORD))
+    lines = docs.select(*more, F.posexplode(F.split("text", "\n")).alias("number", "line")).where(F.ltrim("line", F.lit(BLANKS)) != "")
     return lines.where(F.length("line") >= least) if least > 1 else lines
 
 
+def _by_keys(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """The tiles of frequent keys, from rows (key, node, info, group, parts) and lines (node, check, line, n, m, shape)."""
+    posts = rows.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("key", "info"))).alias("_")).select("node", F.col("_.key").alias("keys"), F.col("_.info").alias("infos"))
+    tiles = rows.join(lines.join(posts, "node"), "node").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    tiles = tiles.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
+    return tiles.select("key", "i", "j", "node", "check", "info", "part", "group", "n", "m", "shape", "keys", "infos", "line").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "info", "node")
+
+
 def classes(docs: DataFrame, edits: int | None = EDITS, least: int = LEAST_CHARS) -> DataFrame:
     """(node, check, class) of the lines that link with another line, from docs (doc_id, text)."""
     spark, texts, shared = docs.sparkSession, docs.select("text"), None
@@ -499,33 +569,56 @@ def classes(docs: DataFrame, edits: int | None = EDITS, least: int = LEAST_CHARS
     first, second = (needed.select(F.col("node").alias(k), F.col("check").alias(f"check_{k}"), F.col("line").alias(f"line_{k}")) for k in "ab")
     both = roomy.join(first, "a").join(second, "b").select("a", "check_a", "line_a", "b", "check_b", "line_b")
     linked = written(both.mapInArrow(tidied(_verified(edits)), LINKS), "lines-links")
+    near = written(components(linked.select("a", "b"), "lines-near").withColumnRenamed("component", "group"), "lines-groups")
+    joint = None
     if frequent.limit(1).count():
-        near = written(components(linked.select("a", "b"), "lines-near").withColumnRenamed("component", "group"), "lines-groups")
         rows = written(frequent.join(small(near, FILTERED), "node", "left").withColumn("group", F.coalesce("group", "node")), "lines-frequent")
-        open_keys = rows.groupBy("key").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"), F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("key", "parts")
-        rows = written(rows.join(small(written(open_keys, "lines-open")), "key"), "lines-compared")
-        texts = lines.join(small(written(rows.select("node").distinct(), "lines-named"), FILTERED), "node", "left_semi")
-        posts = rows.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("key", "info"))).alias("_")).select("node", F.col("_.key").alias("keys"), F.col("_.info").alias("infos"))
-        tiles = rows.join(texts.join(shaped, "node").join(posts, "node"), "node").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-        tiles = tiles.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
-        tiles = tiles.select("key", "i", "j", "node", "check", "info", "part", "group", "n", "m", "shape", "keys", "infos", "line").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "info", "node")
-        linked = linked.union(written(tiles.mapInArrow(tidied(_compared(edits)), LINKS), "lines-late"))
+        groups = written(rows.groupBy("key", "group").agg(F.count("*").alias("n")), "lines-classes")
+        open_keys = groups.groupBy("key").agg(F.ceil(F.sum("n") / PART).cast("int").alias("parts"), F.count("*").alias("n")).where("n > 1").select("key", "parts")
+        open_keys = written(open_keys, "lines-open")
+        edges = groups.join(small(open_keys), "key", "left_semi").select(F.col("key").alias("a"), F.col("group").alias("b"))
+        bundles = written(components(edges, "lines-keys").select(F.col("node").alias("key"), F.col("component").alias("bundle")).join(small(open_keys), "key"), "lines-bundles")
+        rows = written(rows.join(small(bundles, FILTERED), "key"), "lines-compared")
+        members = written(rows.select("bundle", "node", "group").distinct(), "lines-members")
+        large = written(members.groupBy("bundle").agg(F.count("*").alias("n")).where(F.col("n") > PART).select("bundle"), "lines-large")
+        named = small(written(members.select("node"), "lines-named"), FILTERED)
+        full = lines.join(named, "node", "left_semi").join(shaped.join(named, "node", "left_semi"), "node")
+        members = members.join(small(large), "bundle", "left_anti")
+        whole = members.join(full, "node").select("bundle", "node", "check", "group", "n", "m", "shape", "line").repartition("bundle").sortWithinPartitions("bundle", "m", "node")
+        late = written(whole.mapInArrow(tidied(_bundled(edits)), f"{LINKS}, group_a long, group_b long, class long"), "lines-late")
+        joint = late.select(F.col("group_a").alias("group"), "class").union(late.select("group_b", "class"))
+        linked = linked.union(late.select(linked.columns))
+        if large.limit(1).count():
+            late = written(_by_keys(rows.join(small(large), "bundle", "left_semi"), full).mapInArrow(tidied(_compared(edits)), LINKS), "lines-late")
+            one, other = (near.select(F.col("node").alias(k), F.col("group").alias(f"group_{k}")) for k in "ab")
+            met = late.join(small(one, FILTERED), "a", "left").join(small(other, FILTERED), "b", "left").select(F.coalesce("group_a", "a").alias("a"), F.coalesce("group_b", "b").alias("b"))
+            joint = joint.union(components(met, "lines-joint"))
+            linked = linked.union(late)
+        joint = written(joint.distinct(), "lines-joint")
     ends = linked.select(F.col("a").alias("node"), F.col("check_a").alias("check")).union(linked.select("b", "check_b")).distinct()
-    return ends.join(components(linked.select("a", "b"), "lines-classes"), "node").select("node", "check", F.col("component").alias("class"))
+    ends = ends.join(small(near, FILTERED), "node", "left").select("node", "check", F.coalesce("group", "node").alias("group"))
+    if joint is None:
+        return ends.withColumnRenamed("group", "class")
+    return ends.join(small(joint, FILTERED), "group", "left").select("node", "check", F.coalesce("class", "group").alias("class"))
 
 
 def dropped(docs: DataFrame, edits: int | None = EDITS, least: int = LEAST_CHARS) -> DataFrame:
     """doc_id, text_id (xxhash64 of the text) and gone, an array of struct(block, bits): bit k of a block stands for line 64 * block + k of that text, which goes."""
     node, check = numbered(F.col("line"))
-    occurring = _taking_part(docs, least, F.col("doc_id"), F.xxhash64("text").alias("text_id")).select("doc_id", "text_id", "number", node.alias("node"), check.alias("check"))
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_id"), "text")  # hashed once a text, not once a line
+    occurring = _taking_part(texts, least, F.col("doc_id"), F.col("text_id")).select("doc_id", "text_id", "number", node.alias("node"), check.alias("check"))
     occurring = written(occurring, "lines-occurring", "zstd")
     linked = written(classes(docs.select("doc_id", "text"), edits, least), "lines-linked")
     place = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_id", "number")
     named = occurring.join(small(linked, FILTERED), ["node", "check"], "left")
     named = named.select("doc_id", "text_id", "number", place.alias("place"), F.coalesce("class", "node").alias("class"), F.when(F.col("class").isNull(), F.col("check")).otherwise(0).alias("alone"))
-    first = written(named.groupBy("class", "alone").agg(F.count("*").alias("n"), F.min("place").alias("first")).where("n > 1").drop("n"), "lines-first")
-    gone = named.join(small(first), ["class", "alone"]).where(F.col("place") != F.col("first")).select("doc_id", "text_id", "number")
-    bits = gone.groupBy("doc_id", "text_id", F.floor(F.col("number") / 64).cast("int").alias("block")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("number") % 64)).alias("bits"))
+    again = written(named.groupBy("class", "alone").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "lines-again")
+    named = written(named.join(small(again, FILTERED), ["class", "alone"]), "lines-repeated", "zstd")
+    first = written(named.groupBy("class", "alone").agg(F.min("place").alias("first")), "lines-first")
+    rows = named.select("doc_id", "text_id", "number", F.lit(False).alias("stays")).union(first.select("first.doc_id", "first.text_id", "first.number", F.lit(True)))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("number") % 64)
+    bits = rows.groupBy("doc_id", "text_id", F.floor(F.col("number") / 64).cast("int").alias("block")).agg(*[F.coalesce(F.bit_or(F.when(F.col("stays") == which, bit)), F.lit(0).cast("long")).alias(name) for which, name in ((False, "all"), (True, "stay"))])
+    bits = bits.select("doc_id", "text_id", "block", F.col("all").bitwiseAND(F.bitwise_not("stay")).alias("bits")).where("bits <> 0")
     return written(bits.groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("block", "bits")).alias("gone")), "lines-dropped")
 
 

@@ -649,6 +649,35 @@ def test_lines_with_replaced_words(spark, monkeypatch):
         assert kept == set(firsts.values())
 
 
+def test_bundles_of_frequent_keys(spark, monkeypatch):
+    """Lines that meet at many frequent keys are compared in a bundle, each line once, or by their keys where a bundle is too large for a task."""
+    import folia.llm.lines as M
+
+    r = random.Random(23)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(3, 9)))
+    base, others, lines = [word() for _ in range(40)], [word() for _ in range(3)], set()
+    for _ in range(150):
+        w = list(base)
+        for k in r.sample(range(40), r.choice([3, 3, 4, 5])):
+            w[k] = r.choice(others)
+        lines.add(" ".join(w))
+    lines, tables = sorted(lines), {}
+    expected, written = plain_classes(lines), M.written
+    assert 1 < len(set(expected.values())) < len(lines)
+
+    def noted(df, label, *more):
+        tables[label] = written(df, label, *more)
+        return tables[label]
+
+    monkeypatch.setattr(M, "written", noted)
+    for part in (M.PART, 5):
+        monkeypatch.setattr(M, "PART", part)
+        got = M.without_repeats(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(3), edits=None)
+        assert sorted(x.text for x in got.collect() if x.text) == sorted(set(expected.values()))
+        assert 0 < tables["lines-members"].count() <= len(lines) < tables["lines-compared"].count()
+        assert (tables["lines-large"].count() > 0) == (part == 5)
+
+
 def test_short_lines(spark):
     """Short lines take part: equal ones of any length, those of 20 characters and more within one edit."""
     import folia.llm.lines as M
